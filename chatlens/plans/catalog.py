@@ -116,3 +116,148 @@ register("creator_stats", f"""
 SELECT channel_username, count(*) AS total_creators, CAST(sum(message_count) AS BIGINT) AS total_messages,
   {sql_round("sum(message_count) * 1.0 / count(*)", 2)} AS avg_messages_per_creator
 FROM ({SQL_CREATOR_COUNTS}) c GROUP BY ALL""")(lambda s, sf: people.creator_stats(msgs(s, sf)))
+
+# ================================================================ files
+from chatlens.functions.expr import ANALYSIS_BINS, COLLECTION_BINS  # noqa: E402
+from chatlens.operators import files  # noqa: E402
+
+NAMED = "file_name IS NOT NULL AND file_name <> ''"
+SQL_EXT = f"lower(nullif(regexp_extract(file_name, {lit(P.EXTENSION)}, 1), ''))"
+
+
+def sql_zero_filled(rows: str, label: str, labels) -> str:
+    vals = ", ".join(f"({i}, '{x}')" for i, x in enumerate(labels))
+    return f"""WITH r AS ({rows}),
+sp AS (SELECT DISTINCT channel_username FROM r),
+l AS (SELECT * FROM (VALUES {vals}) v(ord, {label})),
+c AS (SELECT channel_username, {label}, count(*) AS count FROM r GROUP BY ALL)
+SELECT sp.channel_username, CAST(l.ord AS BIGINT) AS ord, l.{label}, coalesce(c.count, 0) AS count
+FROM sp CROSS JOIN l LEFT JOIN c ON c.channel_username = sp.channel_username AND c.{label} = l.{label}"""
+
+
+def sql_dup_summary(counts: str, what: str) -> str:
+    return f"""SELECT channel_username,
+  CAST(coalesce(sum(CASE WHEN count > 1 THEN count END), 0) AS BIGINT) AS files_with_duplicate_{what}s,
+  count(*) AS total_unique_file{what}s, CAST(sum(count) AS BIGINT) AS total_files,
+  coalesce({sql_round("sum(CASE WHEN count > 1 THEN count ELSE 0 END) * 1.0 / sum(count)", 3)}, 0.0) AS duplicate_ratio
+FROM ({counts}) c GROUP BY ALL"""
+
+
+SQL_NAME_COUNTS = f"SELECT channel_username, file_name AS filename, count(*) AS count FROM messages WHERE {NAMED} GROUP BY ALL"
+SQL_SIZE_COUNTS = "SELECT channel_username, file_size AS size_bytes, count(*) AS count FROM messages WHERE file_size > 0 GROUP BY ALL"
+
+
+def sql_bins(kind: str) -> str:
+    m = 1048576
+    if kind == "analysis":
+        return (f"CASE WHEN file_size <= {m} THEN '0-1MB' WHEN file_size <= {5 * m} THEN '1-5MB' "
+                f"WHEN file_size <= {10 * m} THEN '5-10MB' ELSE '10MB+' END")
+    return (f"CASE WHEN file_size < {m} THEN '0-1MB' WHEN file_size < {10 * m} THEN '1-10MB' "
+            f"WHEN file_size < {100 * m} THEN '10-100MB' WHEN file_size < {1024 * m} THEN '100MB-1GB' ELSE '1GB+' END")
+
+
+def sql_human(x: str) -> str:
+    parts = []
+    for k, unit in enumerate(["B", "KB", "MB", "GB", "TB"]):
+        v = f"(CAST({x} AS DOUBLE) / {float(1024 ** k)})"
+        parts.append(f"WHEN {v} < 1024.0 THEN printf('%.1f', round_even({v}, 1)) || ' {unit}'")
+    pb = f"(CAST({x} AS DOUBLE) / {float(1024 ** 5)})"
+    return (f"CASE WHEN {x} IS NULL OR {x} = 0 THEN '0 B' " + " ".join(parts)
+            + f" ELSE printf('%.1f', round_even({pb}, 1)) || ' PB' END")
+
+
+register("filename_duplicates", sql_dup_summary(SQL_NAME_COUNTS, "name"))(
+    lambda s, sf: files.filename_duplicates(msgs(s, sf)))
+register("filename_top10", sql_top(SQL_NAME_COUNTS, "filename", 10))(lambda s, sf: files.filename_top(msgs(s, sf), 10))
+register("filename_length_stats", f"""
+SELECT channel_username, count(*) AS count, min(length(file_name)) AS min, max(length(file_name)) AS max,
+  {sql_round("avg(length(file_name))", 2)} AS mean, CAST(floor(median(length(file_name))) AS BIGINT) AS median
+FROM messages WHERE {NAMED} GROUP BY ALL""")(lambda s, sf: files.filename_length_stats(msgs(s, sf)))
+register("extensions_top10", f"""
+SELECT channel_username, rank, '.' || ext AS ext, count FROM ({sql_top(
+    f"SELECT channel_username, {SQL_EXT} AS ext, count(*) AS count FROM messages WHERE {NAMED} AND {SQL_EXT} IS NOT NULL GROUP BY ALL",
+    "ext", 10)}) x""")(lambda s, sf: files.extensions_top(msgs(s, sf), 10))
+register("filename_char_flags", f"""
+SELECT channel_username, count_if(regexp_matches(file_name, {lit(P.SPECIAL_CHAR)})) AS files_with_special_chars,
+  count_if(contains(file_name, ' ')) AS files_with_spaces
+FROM messages WHERE {NAMED} GROUP BY ALL""")(lambda s, sf: files.filename_char_flags(msgs(s, sf)))
+register("filename_length_buckets", sql_zero_filled(
+    f"SELECT channel_username, CASE WHEN length(file_name) <= 10 THEN '1-10' WHEN length(file_name) <= 20 THEN '11-20' "
+    f"WHEN length(file_name) <= 30 THEN '21-30' WHEN length(file_name) <= 40 THEN '31-40' "
+    f"WHEN length(file_name) <= 50 THEN '41-50' ELSE '50+' END AS bucket FROM messages WHERE {NAMED}",
+    "bucket", ["1-10", "11-20", "21-30", "31-40", "41-50", "50+"]))(
+    lambda s, sf: files.filename_length_buckets(msgs(s, sf)))
+
+register("filesize_duplicates", sql_dup_summary(SQL_SIZE_COUNTS, "size"))(
+    lambda s, sf: files.filesize_duplicates(msgs(s, sf)))
+register("filesize_top10", f"""
+SELECT channel_username, rank, size_bytes, count, {sql_round("size_bytes / 1048576.0", 2)} AS size_mb
+FROM ({sql_top(SQL_SIZE_COUNTS, "size_bytes", 10)}) x""")(lambda s, sf: files.filesize_top(msgs(s, sf), 10))
+register("filesize_histogram", sql_zero_filled(
+    f"SELECT channel_username, {sql_bins('analysis')} AS bin FROM messages WHERE file_size > 0", "bin", ANALYSIS_BINS))(
+    lambda s, sf: files.filesize_histogram(msgs(s, sf)))
+register("filesize_potential_dups", """
+WITH s AS (SELECT * FROM messages WHERE file_size > 0),
+sz AS (SELECT channel_username, file_size AS size_bytes, count(*) AS n_files FROM s GROUP BY ALL HAVING count(*) > 1),
+t AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY channel_username ORDER BY size_bytes DESC) AS rank FROM sz) q
+      WHERE rank <= 10),
+nm AS (SELECT channel_username, file_size AS size_bytes, file_name, count(*) AS occurrences FROM s GROUP BY ALL)
+SELECT t.channel_username, t.rank, t.size_bytes, t.n_files, nm.file_name, nm.occurrences
+FROM t JOIN nm ON t.channel_username = nm.channel_username AND t.size_bytes = nm.size_bytes""")(
+    lambda s, sf: files.filesize_potential_dups(msgs(s, sf), 10))
+register("total_data_size", f"""
+SELECT channel_username, total_bytes, file_count, {sql_human("total_bytes")} AS total_human FROM (
+  SELECT channel_username, CAST(sum(file_size) AS BIGINT) AS total_bytes, count(*) AS file_count
+  FROM messages WHERE file_size > 0 GROUP BY ALL) x""")(lambda s, sf: files.total_data_size(msgs(s, sf)))
+register("file_uniqueness_singletons", """
+WITH s AS (SELECT * FROM messages WHERE file_size > 0),
+sc AS (SELECT channel_username, CAST(sum(n) AS BIGINT) AS total_files, count_if(n = 1) AS unique_sizes, count_if(n > 1) AS duplicate_sizes
+       FROM (SELECT channel_username, file_size, count(*) AS n FROM s GROUP BY ALL) a GROUP BY ALL),
+nc AS (SELECT channel_username, count_if(n = 1) AS unique_filenames, count_if(n > 1) AS duplicate_filenames
+       FROM (SELECT channel_username, file_name, count(*) AS n FROM s WHERE file_name IS NOT NULL AND file_name <> '' GROUP BY ALL) b
+       GROUP BY ALL)
+SELECT sc.channel_username, total_files, unique_sizes, duplicate_sizes, total_files - unique_sizes AS files_with_duplicate_sizes,
+  coalesce(unique_filenames, unique_sizes) AS total_unique_filenames,
+  total_files - coalesce(unique_filenames, unique_sizes) AS files_with_duplicate_names,
+  CAST(total_files - coalesce(unique_filenames, unique_sizes) AS DOUBLE) / CAST(total_files AS DOUBLE) AS duplicate_ratio
+FROM sc LEFT JOIN nc ON sc.channel_username = nc.channel_username""")(
+    lambda s, sf: files.file_uniqueness_singletons(msgs(s, sf)))
+register("filesize_histogram_wide", sql_zero_filled(
+    f"SELECT channel_username, {sql_bins('collection')} AS bin FROM messages WHERE file_size > 0", "bin", COLLECTION_BINS))(
+    lambda s, sf: files.filesize_histogram_wide(msgs(s, sf)))
+register("extensions_wide_top10", sql_top(
+    f"SELECT channel_username, lower(string_split(file_name, '.')[-1]) AS extension, count(*) AS count FROM messages "
+    f"WHERE file_size > 0 AND {NAMED} AND contains(file_name, '.') GROUP BY ALL", "extension", 10))(
+    lambda s, sf: files.extensions_wide_top(msgs(s, sf), 10))
+register("file_summary", f"""
+SELECT channel_username, count(*) AS total_files, CAST(sum(file_size) AS BIGINT) AS total_storage_bytes,
+  {sql_round("sum(file_size) / 1048576.0", 2)} AS total_storage_mb,
+  {sql_round("avg(file_size)", 2)} AS average_file_size_bytes,
+  {sql_round("avg(file_size) / 1048576.0", 2)} AS average_file_size_mb
+FROM messages WHERE file_size IS NOT NULL GROUP BY ALL""")(lambda s, sf: files.file_summary(msgs(s, sf)))
+register("mime_top10", sql_top(
+    "SELECT channel_username, mime_type, count(*) AS count FROM messages WHERE mime_type IS NOT NULL AND mime_type <> '' GROUP BY ALL",
+    "mime_type", 10))(lambda s, sf: files.mime_top(msgs(s, sf), 10))
+register("size_percentiles", """
+SELECT channel_username, count_if(file_size < 1048576) AS small,
+  count_if(file_size >= 1048576 AND file_size <= 10485760) AS medium, count_if(file_size > 10485760) AS large,
+  quantile_cont(file_size, 0.5) AS p50, quantile_cont(file_size, 0.75) AS p75, quantile_cont(file_size, 0.9) AS p90
+FROM messages WHERE file_size > 0 GROUP BY ALL""")(lambda s, sf: files.size_percentiles(msgs(s, sf)))
+register("largest_files_top10", """
+SELECT channel_username, rank, message_id, file_name, file_size FROM (
+  SELECT channel_username, message_id, file_name, file_size,
+    row_number() OVER (PARTITION BY channel_username ORDER BY file_size DESC, message_id ASC) AS rank
+  FROM messages WHERE file_size > 0) x WHERE rank <= 10""")(lambda s, sf: files.largest_files(msgs(s, sf), 10))
+
+
+def _sql_family() -> str:
+    parts = " ".join(f"WHEN ext IN ({', '.join(repr(e) for e in exts)}) THEN '{fam}'"
+                     for fam, exts in files.FORMAT_FAMILIES.items())
+    return f"CASE {parts} ELSE 'other' END"
+
+
+register("format_families", f"""
+SELECT channel_username, {_sql_family()} AS family, upper(ext) AS format, count(*) AS count,
+  {sql_round("avg(file_size)", 2)} AS avg_size_bytes
+FROM (SELECT channel_username, {SQL_EXT} AS ext, file_size FROM messages WHERE {NAMED}) x
+WHERE ext IS NOT NULL GROUP BY ALL""")(lambda s, sf: files.format_families(msgs(s, sf)))
