@@ -50,7 +50,12 @@ def correlation(df: DataFrame, *, by: Sequence[str] = BY, digits: int = 6) -> Da
     aggs = []
     for xn, xc in x.items():
         for yn in ("views", "forwards", "replies"):
-            aggs.append(round_half_even(F.corr(xc, F.col(yn).cast("double")), digits).alias(f"corr_{xn}_{yn}"))
+            yc = F.col(yn).cast("double")
+            # corr() divides by the product of deviations and raises under ANSI when one side is
+            # constant; a constant side has no correlation, so it is NULL here.
+            flat = (F.stddev_pop(xc) == 0) | (F.stddev_pop(yc) == 0)
+            c = F.when(~flat, F.try_divide(F.covar_pop(xc, yc), F.stddev_pop(xc) * F.stddev_pop(yc)))
+            aggs.append(round_half_even(c, digits).alias(f"corr_{xn}_{yn}"))
     return df.groupBy(*by).agg(*aggs)
 
 

@@ -261,3 +261,165 @@ SELECT channel_username, {_sql_family()} AS family, upper(ext) AS format, count(
   {sql_round("avg(file_size)", 2)} AS avg_size_bytes
 FROM (SELECT channel_username, {SQL_EXT} AS ext, file_size FROM messages WHERE {NAMED}) x
 WHERE ext IS NOT NULL GROUP BY ALL""")(lambda s, sf: files.format_families(msgs(s, sf)))
+
+# ================================================================ time
+from chatlens.functions.expr import MONTH_NAMES  # noqa: E402
+from chatlens.operators import timeline, validate  # noqa: E402
+
+SQL_DAILY = ("SELECT channel_username, strftime(date, '%Y-%m-%d') AS day, count(*) AS count "
+             "FROM messages WHERE date IS NOT NULL GROUP BY ALL")
+register("timeline_daily", SQL_DAILY)(lambda s, sf: timeline.daily(msgs(s, sf)))
+register("timeline_sampled", f"""
+WITH r AS (SELECT *, row_number() OVER (PARTITION BY channel_username ORDER BY day) AS rn,
+                 count(*) OVER (PARTITION BY channel_username) AS n FROM ({SQL_DAILY}) d)
+SELECT channel_username, day, count FROM r WHERE (rn - 1) % (CASE WHEN n > 100 THEN n // 100 ELSE 1 END) = 0""")(
+    lambda s, sf: timeline.daily_sampled(msgs(s, sf), 100))
+_months = ", ".join(f"({i + 1}, '{m}')" for i, m in enumerate(MONTH_NAMES))
+register("monthly_histogram", f"""
+WITH d AS (SELECT * FROM messages WHERE date IS NOT NULL),
+sp AS (SELECT DISTINCT channel_username FROM d),
+l AS (SELECT * FROM (VALUES {_months}) v(month, label)),
+c AS (SELECT channel_username, month(date) AS month, count(*) AS count FROM d GROUP BY ALL)
+SELECT sp.channel_username, CAST(l.month AS BIGINT) AS month, l.label, coalesce(c.count, 0) AS count
+FROM sp CROSS JOIN l LEFT JOIN c ON c.channel_username = sp.channel_username AND c.month = l.month""")(
+    lambda s, sf: timeline.monthly_histogram(msgs(s, sf)))
+register("year_month", "SELECT channel_username, strftime(date, '%Y-%m') AS year_month, count(*) AS count "
+                       "FROM messages WHERE date IS NOT NULL GROUP BY ALL")(lambda s, sf: timeline.year_month(msgs(s, sf)))
+register("channel_info", """
+SELECT channel_username, count(*) AS total_messages, min(date) AS first_date, max(date) AS last_date,
+  count(DISTINCT CAST(date AS DATE)) AS active_days
+FROM messages GROUP BY ALL""")(lambda s, sf: timeline.channel_info(msgs(s, sf)))
+register("temporal_activity", """
+SELECT channel_username, granularity, period, count(*) AS count FROM (
+  SELECT channel_username, 'monthly' AS granularity, strftime(date, '%Y-%m') AS period FROM messages WHERE date IS NOT NULL
+  UNION ALL SELECT channel_username, 'daily', strftime(date, '%Y-%m-%d') FROM messages WHERE date IS NOT NULL
+  UNION ALL SELECT channel_username, 'hourly', strftime(date, '%H') FROM messages WHERE date IS NOT NULL) x
+GROUP BY ALL""")(lambda s, sf: timeline.temporal_activity(msgs(s, sf)))
+register("activity_by_hour", f"""
+SELECT channel_username, hour, count, {sql_round("count * 100.0 / sum(count) OVER (PARTITION BY channel_username)", 2)} AS percentage
+FROM (SELECT channel_username, CAST(hour(date) AS BIGINT) AS hour, count(*) AS count FROM messages
+      WHERE date IS NOT NULL GROUP BY ALL) h""")(lambda s, sf: timeline.activity_by_hour(msgs(s, sf)))
+register("monthly_trend", f"""
+SELECT channel_username, year_month, count, previous, count - previous AS change,
+  {sql_round("(count - previous) * 100.0 / nullif(previous, 0)", 2)} AS change_pct
+FROM (SELECT *, lag(count) OVER (PARTITION BY channel_username ORDER BY year_month) AS previous FROM (
+  SELECT channel_username, strftime(date, '%Y-%m') AS year_month, count(*) AS count FROM messages
+  WHERE date IS NOT NULL GROUP BY ALL) a) b""")(lambda s, sf: timeline.monthly_trend(msgs(s, sf)))
+
+# ================================================================ validation and quality
+register("message_validation", """
+SELECT channel_username, count(*) AS total,
+  count_if(message_id IS NOT NULL AND channel_username IS NOT NULL AND text IS NOT NULL) AS valid,
+  count_if(NOT (message_id IS NOT NULL AND channel_username IS NOT NULL AND text IS NOT NULL)) AS invalid,
+  count_if(NOT (message_id IS NOT NULL AND channel_username IS NOT NULL AND text IS NOT NULL)) AS missing_field,
+  CAST(0 AS BIGINT) AS invalid_format
+FROM messages GROUP BY ALL""")(lambda s, sf: validate.message_validation(msgs(s, sf)))
+register("quality_issues", """
+SELECT channel_username, issue, count(*) AS count FROM (
+  SELECT channel_username, 'text too short' AS issue FROM messages WHERE text IS NOT NULL AND length(trim(text)) < 3
+  UNION ALL SELECT channel_username, 'negative file size' FROM messages WHERE file_size < 0) x
+GROUP BY ALL""")(lambda s, sf: validate.quality_issue_counts(msgs(s, sf)))
+register("contract_violations", """
+SELECT channel_username, count(*) AS total,
+  count_if(length(text) > 4096) AS text_too_long,
+  count_if(length(file_name) > 255) AS file_name_too_long,
+  count_if(coalesce(file_size < 0, false) OR coalesce(views < 0, false) OR coalesce(forwards < 0, false)
+           OR coalesce(replies < 0, false)) AS negative_counts,
+  count_if(date < TIMESTAMP '2020-01-01 00:00:00') AS date_too_old,
+  count_if(date > now()::TIMESTAMP) AS date_in_future,
+  count_if(date IS NULL) AS date_missing,
+  count_if(file_size > 104857600) AS large_files
+FROM messages GROUP BY ALL""")(lambda s, sf: validate.contract_violations(msgs(s, sf)))
+register("dataset_check", """
+SELECT channel_username, count(*) AS rows, count_if(message_id IS NULL) AS null_message_id,
+  count_if(channel_username IS NULL) AS null_channel_username, count_if(date IS NULL) AS null_date
+FROM messages GROUP BY ALL""")(lambda s, sf: validate.dataset_check(msgs(s, sf)))
+register("source_summary", """
+SELECT channel_username, 'file' AS source_type, count(*) AS total_records, min(date) AS date_start, max(date) AS date_end,
+  CAST(0.95 AS DOUBLE) AS quality_score,
+  CAST(count(message_id) + count(channel_username) + count(date) AS DOUBLE) / CAST(count(*) * 3 AS DOUBLE) AS completeness_score
+FROM messages GROUP BY ALL""")(lambda s, sf: validate.source_summary(msgs(s, sf)))
+register("run_stats", """
+SELECT count(*) AS total,
+  count_if(message_id IS NOT NULL AND channel_username IS NOT NULL AND text IS NOT NULL) AS valid,
+  count_if(NOT (message_id IS NOT NULL AND channel_username IS NOT NULL AND text IS NOT NULL)) AS invalid,
+  count_if((text IS NOT NULL AND length(trim(text)) < 3) OR coalesce(file_size < 0, false)) AS rows_with_issues,
+  CAST(ceil(count(*) / 100.0) AS BIGINT) AS batches
+FROM messages""")(lambda s, sf: validate.run_stats(msgs(s, sf)))
+
+_audit = []
+for _c, _l, _h in (("text", 10000, 100000), ("caption", 5000, 50000)):
+    _audit.append(f"""count({_c}) AS {_c}_present, count_if({_c} IS NULL) AS {_c}_missing,
+  {sql_round(f"avg(length({_c}))", 1)} AS {_c}_avg_length, min(length({_c})) AS {_c}_min_length,
+  max(length({_c})) AS {_c}_max_length, count_if(length({_c}) > {_l}) AS {_c}_over_{_l},
+  count_if(length({_c}) > {_h}) AS {_c}_over_{_h}""")
+register("text_size_audit", f"SELECT channel_username, {', '.join(_audit)} FROM messages GROUP BY ALL")(
+    lambda s, sf: content.text_size_audit(msgs(s, sf)))
+register("basic_metrics", """
+SELECT channel_username, count(*) AS total_messages,
+  count_if(coalesce(trim(text) <> '', false)) AS text_messages,
+  count_if(coalesce(file_name <> '', false) OR coalesce(file_size > 0, false)) AS media_messages,
+  count_if(coalesce(is_forwarded, false)) AS forwarded_messages,
+  avg(CASE WHEN trim(text) <> '' THEN length(text) END) AS avg_text_length,
+  min(CASE WHEN trim(text) <> '' THEN length(text) END) AS min_text_length,
+  max(CASE WHEN trim(text) <> '' THEN length(text) END) AS max_text_length
+FROM messages GROUP BY ALL""")(lambda s, sf: content.basic_metrics(msgs(s, sf)))
+
+# ================================================================ content classes and engagement
+from chatlens.operators.content import WORD_TOKEN  # noqa: E402
+
+_has_text = "text IS NOT NULL AND text <> ''"
+register("pattern_presence", f"""
+SELECT channel_username,
+  count_if(len(regexp_extract_all(coalesce(text, ''), {lit(P.URL)})) > 0) AS messages_with_urls,
+  count_if(len(regexp_extract_all(coalesce(text, ''), {lit(P.HASHTAG)})) > 0) AS messages_with_hashtags,
+  count_if(len(regexp_extract_all(coalesce(text, ''), {lit(P.MENTION)})) > 0) AS messages_with_mentions,
+  CAST(sum(len(regexp_extract_all(coalesce(text, ''), {lit(P.HASHTAG)}))) AS BIGINT) AS total_hashtags,
+  CAST(sum(len(regexp_extract_all(coalesce(text, ''), {lit(P.MENTION)}))) AS BIGINT) AS total_mentions,
+  CAST(sum(len(regexp_extract_all(coalesce(text, ''), {lit(P.URL)}))) AS BIGINT) AS total_urls
+FROM messages GROUP BY ALL""")(lambda s, sf: content.pattern_presence(msgs(s, sf)))
+register("content_types", """
+SELECT channel_username, CASE WHEN t AND m THEN 'text_media' WHEN t THEN 'text_only' WHEN m THEN 'media_only' ELSE 'empty' END
+  AS content_type, count(*) AS count
+FROM (SELECT channel_username, coalesce(text <> '', false) AS t, coalesce(media_type <> '', false) AS m FROM messages) x
+GROUP BY ALL""")(lambda s, sf: content.content_types(msgs(s, sf)))
+register("length_classes", f"""
+SELECT channel_username, CASE WHEN length(text) < 50 THEN 'short' WHEN length(text) <= 200 THEN 'medium' ELSE 'long' END
+  AS length_class, count(*) AS count, CAST(sum(length(text)) AS BIGINT) AS total_length,
+  {sql_round("avg(length(text))", 2)} AS avg_length
+FROM messages WHERE {_has_text} GROUP BY ALL""")(lambda s, sf: content.length_classes(msgs(s, sf)))
+register("common_words", sql_top(
+    f"SELECT channel_username, word, count(*) AS count FROM (SELECT channel_username, "
+    f"unnest(regexp_extract_all(lower(text), {lit(WORD_TOKEN)})) AS word FROM messages WHERE {_has_text}) w "
+    f"WHERE length(word) >= 1 GROUP BY ALL", "word", 10))(lambda s, sf: content.common_words(msgs(s, sf), 10))
+register("caption_stats", f"""
+SELECT channel_username, count_if(caption <> '') AS messages_with_caption,
+  {sql_round("count_if(caption <> '') * 100.0 / count(*)", 2)} AS caption_percentage,
+  min(CASE WHEN caption <> '' THEN length(caption) END) AS caption_min_length,
+  max(CASE WHEN caption <> '' THEN length(caption) END) AS caption_max_length,
+  {sql_round("avg(CASE WHEN caption <> '' THEN length(caption) END)", 2)} AS caption_avg_length
+FROM messages GROUP BY ALL""")(lambda s, sf: content.caption_stats(msgs(s, sf)))
+
+_eng = ", ".join(f"CAST(sum(coalesce({c}, 0)) AS BIGINT) AS total_{c}, {sql_round(f'avg(coalesce({c}, 0))', 2)} AS avg_{c}"
+                 for c in ("views", "forwards", "replies"))
+register("engagement", f"SELECT channel_username, count(*) AS total_messages, {_eng} FROM messages GROUP BY ALL")(
+    lambda s, sf: people.engagement(msgs(s, sf)))
+_corr = ", ".join(f"{sql_round(f'CASE WHEN stddev_pop(CAST({x} AS DOUBLE)) = 0 OR stddev_pop(CAST({y} AS DOUBLE)) = 0 THEN NULL ELSE corr(CAST({x} AS DOUBLE), CAST({y} AS DOUBLE)) END', 6)} AS corr_{xn}_{y}"
+                  for xn, x in (("text_length", "length(text)"), ("file_size", "file_size"), ("hour", "hour(date)"))
+                  for y in ("views", "forwards", "replies"))
+register("correlation", f"SELECT channel_username, {_corr} FROM messages GROUP BY ALL")(
+    lambda s, sf: people.correlation(msgs(s, sf)))
+_avg_eng = ", ".join(f"{sql_round(f'avg(coalesce({c}, 0))', 2)} AS avg_{c}" for c in ("views", "forwards", "replies"))
+register("engagement_by_type", f"""
+SELECT channel_username, dimension, value, count(*) AS messages, {_avg_eng} FROM (
+  SELECT channel_username, 'media_type' AS dimension, media_type AS value, views, forwards, replies FROM messages
+  UNION ALL SELECT channel_username, 'extension', {SQL_EXT}, views, forwards, replies FROM messages) x
+WHERE value IS NOT NULL AND value <> '' GROUP BY ALL""")(lambda s, sf: people.engagement_by_type(msgs(s, sf)))
+register("popular_files_top10", f"""
+SELECT channel_username, rank, message_id, file_name, file_size, views FROM (
+  SELECT *, row_number() OVER (PARTITION BY channel_username ORDER BY views DESC NULLS LAST, message_id ASC) AS rank
+  FROM messages WHERE {NAMED}) x WHERE rank <= 10""")(lambda s, sf: people.popular_files(msgs(s, sf), 10))
+register("forward_edges", """
+SELECT forwarded_from AS source, channel_username, count(*) AS messages, CAST(sum(coalesce(views, 0)) AS BIGINT) AS views
+FROM messages WHERE is_forwarded AND forwarded_from IS NOT NULL AND forwarded_from <> '' GROUP BY ALL""")(
+    lambda s, sf: people.forward_edges(msgs(s, sf)))

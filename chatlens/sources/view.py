@@ -49,9 +49,27 @@ LEFT JOIN pages p ON p.page_id = d.doc_id % 50
 """
 
 
+def _null_safe_count_if(sql: str) -> str:
+    """DuckDB's count_if returns NULL when every input is NULL; Spark's returns 0. Rewrite each
+    ``count_if(p)`` to ``count_if(coalesce(p, false))`` (matching parentheses)."""
+    out, i, token = [], 0, "count_if("
+    while True:
+        j = sql.find(token, i)
+        if j < 0:
+            out.append(sql[i:])
+            return "".join(out)
+        k, depth = j + len(token), 1
+        while depth:
+            depth += {"(": 1, ")": -1}.get(sql[k], 0)
+            k += 1
+        inner = _null_safe_count_if(sql[j + len(token):k - 1])
+        out.append(sql[i:j] + f"count_if(coalesce({inner}, false))")
+        i = k
+
+
 def oracle_with(sql: str) -> str:
     """Prefix an oracle query with the message view as a CTE named ``messages``."""
-    body = sql.strip()
+    body = _null_safe_count_if(sql.strip())
     if body[:4].upper() == "WITH":
         return f"WITH messages AS ({VIEW_SQL}),\n{body[4:]}"
     return f"WITH messages AS ({VIEW_SQL})\n{body}"
