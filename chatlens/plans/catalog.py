@@ -423,3 +423,111 @@ register("forward_edges", """
 SELECT forwarded_from AS source, channel_username, count(*) AS messages, CAST(sum(coalesce(views, 0)) AS BIGINT) AS views
 FROM messages WHERE is_forwarded AND forwarded_from IS NOT NULL AND forwarded_from <> '' GROUP BY ALL""")(
     lambda s, sf: people.forward_edges(msgs(s, sf)))
+
+# ================================================================ merge (U1-U7, J1, J2) over two overlapping loads
+from pyspark.sql import functions as F  # noqa: E402
+
+from chatlens.operators import merge  # noqa: E402
+
+LOAD1_BEFORE = "2024-09-01 00:00:00"
+LOAD2_FROM = "2024-06-01 00:00:00"
+
+
+def loads(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame]:
+    """Two overlapping loads of the whole message table: load 1 holds messages before September
+    2024 (and undated ones), load 2 those from June 2024 on, re-collected with higher view counts.
+    Together they cover every message; the overlap is three months."""
+    m = msgs(spark, sf).select("channel_username", "message_id", "date", "views", "text")
+    l1 = (m.where(F.coalesce(F.col("date") < F.lit(LOAD1_BEFORE).cast("timestamp_ntz"), F.lit(True)))
+           .withColumn("load_seq", F.lit(1).cast("bigint")))
+    l2 = (m.where(F.col("date") >= F.lit(LOAD2_FROM).cast("timestamp_ntz"))
+           .withColumn("views", F.col("views") + 1000).withColumn("load_seq", F.lit(2).cast("bigint")))
+    return l1, l2
+
+
+SQL_LOADS = f"""l1 AS (SELECT channel_username, message_id, date, views, text, CAST(1 AS BIGINT) AS load_seq FROM messages
+       WHERE coalesce(date < TIMESTAMP '{LOAD1_BEFORE}', true)),
+l2 AS (SELECT channel_username, message_id, date, views + 1000 AS views, text, CAST(2 AS BIGINT) AS load_seq FROM messages
+       WHERE date >= TIMESTAMP '{LOAD2_FROM}'),
+comb AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY channel_username, message_id
+         ORDER BY load_seq DESC, message_id DESC) AS rn FROM (SELECT * FROM l1 UNION ALL SELECT * FROM l2) u) q WHERE rn = 1)"""
+
+
+def _combined(spark, sf):
+    l1, l2 = loads(spark, sf)
+    return merge.keep_latest(merge.union_loads(l1, l2), ["load_seq", "message_id"])
+
+
+register("combine_keep_latest", f"""WITH {SQL_LOADS}
+SELECT channel_username, message_id, date, views, load_seq FROM comb""")(
+    lambda s, sf: _combined(s, sf).select("channel_username", "message_id", "date", "views", "load_seq"))
+
+
+def _combine_summary(spark, sf):
+    l1, l2 = loads(spark, sf)
+    return merge.combine_summary(l1, l2, _combined(spark, sf))
+
+
+register("combine_summary", f"""WITH {SQL_LOADS},
+e AS (SELECT channel_username, count(*) AS existing_messages FROM l1 GROUP BY ALL),
+n AS (SELECT channel_username, count(*) AS new_rows FROM l2 GROUP BY ALL),
+c AS (SELECT channel_username, count(*) AS total_messages FROM comb GROUP BY ALL),
+a AS (SELECT channel_username, count(*) AS new_messages_added FROM (SELECT DISTINCT channel_username, message_id FROM l2) x
+      WHERE NOT EXISTS (SELECT 1 FROM l1 WHERE l1.channel_username = x.channel_username AND l1.message_id = x.message_id)
+      GROUP BY ALL)
+SELECT c.channel_username, total_messages, coalesce(existing_messages, 0) AS existing_messages,
+  coalesce(new_rows, 0) AS new_rows, coalesce(new_messages_added, 0) AS new_messages_added,
+  coalesce(existing_messages, 0) + coalesce(new_rows, 0) - total_messages AS duplicates_removed,
+  CASE WHEN coalesce(existing_messages, 0) = 0 THEN 'created' WHEN coalesce(new_rows, 0) > 0 THEN 'updated'
+       ELSE 'no_new_files' END AS status
+FROM c LEFT JOIN e ON c.channel_username = e.channel_username LEFT JOIN n ON c.channel_username = n.channel_username
+LEFT JOIN a ON c.channel_username = a.channel_username""")(_combine_summary)
+
+
+def _unit(col_seq, col_date):
+    return F.concat(F.lit("L"), col_seq.cast("string"), F.lit("_"),
+                    F.coalesce(F.date_format(col_date, "yyyy-MM"), F.lit("undated")))
+
+
+def _id_range_overlaps(spark, sf):
+    l1, l2 = loads(spark, sf)
+    u = merge.union_loads(l1, l2).withColumn("source_file", _unit(F.col("load_seq"), F.col("date")))
+    return merge.range_overlaps(merge.id_ranges(u))
+
+
+register("id_range_overlaps", f"""WITH {SQL_LOADS},
+r AS (SELECT channel_username, 'L' || CAST(load_seq AS VARCHAR) || '_' || coalesce(strftime(date, '%Y-%m'), 'undated') AS source_file,
+        min(message_id) AS min_id, max(message_id) AS max_id, count(*) AS messages
+      FROM (SELECT * FROM l1 UNION ALL SELECT * FROM l2) u GROUP BY ALL),
+w AS (SELECT *, max(max_id) OVER (PARTITION BY channel_username ORDER BY min_id, max_id, source_file
+        ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS prev_max_id FROM r),
+x AS (SELECT *, CASE WHEN prev_max_id IS NULL THEN 'first' WHEN min_id <= prev_max_id THEN 'overlap'
+        WHEN min_id > prev_max_id + 1 THEN 'gap' ELSE 'contiguous' END AS relation FROM w)
+SELECT channel_username, source_file, min_id, max_id, messages, prev_max_id, relation,
+  CASE WHEN relation = 'overlap' THEN least(max_id, prev_max_id) - min_id + 1 ELSE 0 END AS overlap_ids,
+  CASE WHEN relation = 'gap' THEN min_id - prev_max_id - 1 ELSE 0 END AS gap_ids FROM x""")(_id_range_overlaps)
+
+
+def _skip(spark, sf):
+    l1, l2 = loads(spark, sf)
+    return merge.skip_existing(l2, l1).select("channel_username", "message_id", "views")
+
+
+register("skip_duplicates", f"""WITH {SQL_LOADS}
+SELECT channel_username, message_id, views FROM l2 WHERE NOT EXISTS (
+  SELECT 1 FROM l1 WHERE l1.channel_username = l2.channel_username AND l1.message_id = l2.message_id)""")(_skip)
+
+
+def _diff(spark, sf):
+    l1, l2 = loads(spark, sf)
+    d = merge.source_diff(l1.select(*merge.KEY, "views", "text"), l2.select(*merge.KEY, "views", "text"))
+    return d.groupBy("channel_username", "status").agg(F.count(F.lit(1)).alias("count"))
+
+
+register("source_diff", f"""WITH {SQL_LOADS}
+SELECT channel_username, status, count(*) AS count FROM (
+  SELECT coalesce(l1.channel_username, l2.channel_username) AS channel_username,
+    CASE WHEN l2.message_id IS NULL THEN 'only_left' WHEN l1.message_id IS NULL THEN 'only_right'
+         WHEN l1.views IS NOT DISTINCT FROM l2.views AND l1.text IS NOT DISTINCT FROM l2.text THEN 'same' ELSE 'changed' END AS status
+  FROM l1 FULL OUTER JOIN l2 ON l1.channel_username = l2.channel_username AND l1.message_id = l2.message_id) x
+GROUP BY ALL""")(_diff)
