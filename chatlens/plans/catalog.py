@@ -531,3 +531,91 @@ SELECT channel_username, status, count(*) AS count FROM (
          WHEN l1.views IS NOT DISTINCT FROM l2.views AND l1.text IS NOT DISTINCT FROM l2.text THEN 'same' ELSE 'changed' END AS status
   FROM l1 FULL OUTER JOIN l2 ON l1.channel_username = l2.channel_username AND l1.message_id = l2.message_id) x
 GROUP BY ALL""")(_diff)
+
+# ================================================================ language
+from chatlens.operators import language  # noqa: E402
+
+
+def sql_charfreq(src: str) -> str:
+    """DuckDB twin of ``language.charfreq`` over ``src`` (which has a ``text`` column)."""
+    scores = []
+    for lang, markers in language.CHAR_MARKERS.items():
+        parts = [f"((length(low) - length(replace(low, '{m}', ''))) // {len(m)})" for m in markers]
+        scores.append(f"CAST({' + '.join(parts)} AS BIGINT) AS s_{lang}")
+    names = list(language.CHAR_MARKERS)
+    mx = f"greatest({', '.join('s_' + n for n in names)})"
+    tot = " + ".join("s_" + n for n in names)
+    best = "CASE " + " ".join(f"WHEN s_{n} = {mx} THEN '{n}'" for n in names) + " END"
+    return f"""SELECT *,
+  CASE WHEN text IS NULL OR trimmed < 3 THEN 'unknown' WHEN {mx} > 0 THEN {best}
+       WHEN non_ascii > len_t * 0.1 THEN 'non_english' ELSE 'english' END AS language,
+  CASE WHEN text IS NULL OR trimmed < 3 THEN 0.0 WHEN {mx} > 0 THEN CAST({mx} AS DOUBLE) / CAST({tot} AS DOUBLE)
+       WHEN non_ascii > len_t * 0.1 THEN CAST(non_ascii AS DOUBLE) / CAST(len_t AS DOUBLE)
+       ELSE 1.0 - CAST(non_ascii AS DOUBLE) / CAST(len_t AS DOUBLE) END AS confidence
+FROM (SELECT *, {', '.join(scores)},
+        length(regexp_replace(text, '[\\x00-\\x7F]', '', 'g')) AS non_ascii, length(text) AS len_t,
+        length(regexp_replace(text, '^\\s+|\\s+$', '', 'g')) AS trimmed
+      FROM (SELECT *, lower(text) AS low FROM ({src}) s0) s1) s2"""
+
+
+SQL_MSG_LANG = sql_charfreq(f"SELECT channel_username, message_id, text FROM messages WHERE {_has_text}")
+SQL_FILE_LANG = sql_charfreq(
+    f"SELECT channel_username, message_id, trim(concat_ws(' ', file_name, coalesce(caption, ''))) AS text "
+    f"FROM messages WHERE {NAMED}")
+
+
+def _msg_lang(s, sf):
+    return language.detect_messages(msgs(s, sf))
+
+
+register("lang_charfreq", f"""
+WITH c AS (SELECT channel_username, language, count(*) AS count FROM ({SQL_MSG_LANG}) d GROUP BY ALL)
+SELECT channel_username, language, count,
+  coalesce({sql_round("count * 100.0 / sum(count) OVER (PARTITION BY channel_username)", 2)}, 0.0) AS percentage FROM c""")(
+    lambda s, sf: language.language_counts(_msg_lang(s, sf)))
+register("lang_profile", f"""
+WITH c AS (SELECT channel_username, language, count(*) AS count FROM ({SQL_MSG_LANG}) d GROUP BY ALL),
+p AS (SELECT channel_username, language AS primary_language FROM (SELECT *, row_number() OVER (
+        PARTITION BY channel_username ORDER BY count DESC, language ASC) AS rn FROM c WHERE language <> 'unknown') x WHERE rn = 1),
+a AS (SELECT channel_username, CAST(sum(count) AS BIGINT) AS messages_analyzed, count_if(language <> 'unknown') AS total_languages_detected,
+        coalesce(sum(CASE WHEN language = 'unknown' THEN count END), 0) AS unknown FROM c GROUP BY ALL)
+SELECT a.channel_username, coalesce(primary_language, 'unknown') AS primary_language, total_languages_detected, messages_analyzed,
+  {sql_round("(messages_analyzed - unknown) * 1.0 / messages_analyzed", 3)} AS detection_coverage
+FROM a LEFT JOIN p ON a.channel_username = p.channel_username""")(
+    lambda s, sf: language.language_profile(_msg_lang(s, sf)))
+register("lang_file_profile", f"""
+WITH f AS (SELECT *, length(text) AS n FROM ({SQL_FILE_LANG}) d),
+tot AS (SELECT channel_username, count(*) AS total_files FROM f GROUP BY ALL),
+det AS (SELECT * FROM f WHERE n >= 3 AND language <> 'unknown'),
+pl AS (SELECT channel_username, language, count(*) AS count, avg(confidence) AS mean_conf FROM det GROUP BY ALL),
+pr AS (SELECT channel_username, language AS primary_language, {sql_round("mean_conf", 3)} AS language_confidence FROM (
+        SELECT *, row_number() OVER (PARTITION BY channel_username ORDER BY count DESC, language ASC) AS rn FROM pl) x WHERE rn = 1),
+st AS (SELECT channel_username, count(*) AS detected_files, {sql_round("avg(confidence)", 3)} AS average_confidence,
+        {sql_round("min(confidence)", 3)} AS min_confidence, {sql_round("max(confidence)", 3)} AS max_confidence,
+        count_if(confidence < 0.5) AS low_confidence_files FROM det GROUP BY ALL),
+nl AS (SELECT channel_username, count(*) AS total_languages_detected FROM pl GROUP BY ALL)
+SELECT tot.channel_username, coalesce(primary_language, 'Unknown') AS primary_language,
+  coalesce(language_confidence, 0.0) AS language_confidence, coalesce(total_languages_detected, 0) AS total_languages_detected,
+  coalesce({sql_round("detected_files * 100.0 / total_files", 2)}, 0.0) AS language_coverage,
+  CAST(0 AS BIGINT) AS multilingual_files, coalesce(average_confidence, 0.0) AS average_confidence,
+  coalesce(min_confidence, 0.0) AS min_confidence, coalesce(max_confidence, 0.0) AS max_confidence,
+  coalesce(low_confidence_files, 0) AS low_confidence_files
+FROM tot LEFT JOIN st ON tot.channel_username = st.channel_username LEFT JOIN pr ON tot.channel_username = pr.channel_username
+LEFT JOIN nl ON tot.channel_username = nl.channel_username""")(lambda s, sf: language.file_language_profile(msgs(s, sf)))
+register("lang_file_top10", f"""
+WITH det AS (SELECT * FROM ({SQL_FILE_LANG}) d WHERE length(text) >= 3 AND language <> 'unknown'),
+c AS (SELECT channel_username, language, count(*) AS count FROM det GROUP BY ALL),
+t AS (SELECT channel_username, sum(count) AS total FROM c GROUP BY ALL)
+SELECT r.channel_username, rank, language, count, coalesce({sql_round("count * 100.0 / total", 2)}, 0.0) AS percentage
+FROM ({sql_top("SELECT * FROM c", "language", 10)}) r JOIN t ON r.channel_username = t.channel_username""")(
+    lambda s, sf: language.file_language_distribution(msgs(s, sf), 10))
+
+
+def _lang_ngram(spark, sf):
+    """L3: train on every labelled document, classify every message; counts per channel."""
+    model = language.NgramModel.train(view.table(spark, sf, "documents"))
+    det = language.detect_messages(msgs(spark, sf), language.ngram_detector(model))
+    return language.language_counts(det)
+
+
+register("lang_ngram")(_lang_ngram)

@@ -23,7 +23,8 @@ DEFAULT_CONF = {
 def get_session(master: str = "local[*]", app: str = "chatlens", shuffle_partitions: int = 8,
                 extra: dict | None = None) -> SparkSession:
     builder = SparkSession.builder.master(master).appName(app)
-    for k, v in {**DEFAULT_CONF, "spark.sql.shuffle.partitions": str(shuffle_partitions),
+    local = {"spark.driver.memory": "12g"} if master.startswith("local") else {}
+    for k, v in {**DEFAULT_CONF, **local, "spark.sql.shuffle.partitions": str(shuffle_partitions),
                  **(extra or {})}.items():
         builder = builder.config(k, v)
     spark = builder.getOrCreate()
