@@ -18,12 +18,14 @@ from chatlens.sources import view
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
+RAW_SQL: dict[str, str] = {}  # oracle bodies without the view CTE, for composition
 
 
 def register(key: str, sql: str | None = None):
     def deco(fn):
         QUERIES[key] = fn
         if sql is not None:
+            RAW_SQL[key] = sql.strip()
             ORACLE[key] = view.oracle_with(sql)
         return fn
     return deco
@@ -619,3 +621,153 @@ def _lang_ngram(spark, sf):
 
 
 register("lang_ngram")(_lang_ngram)
+
+# ================================================================ reports and charts
+from chatlens.operators import clean, report  # noqa: E402
+
+register("channel_rollup", """
+WITH per AS (SELECT channel_username, count(*) AS messages, count_if(file_size > 0) AS files,
+               coalesce(sum(CASE WHEN file_size > 0 THEN file_size END), 0) AS bytes FROM messages GROUP BY ALL)
+SELECT channel_username, CAST(sum(messages) AS BIGINT) AS total_messages, CAST(sum(files) AS BIGINT) AS total_files,
+  CAST(sum(bytes) AS BIGINT) AS total_bytes, count(*) AS channels, CAST(grouping(channel_username) AS BIGINT) AS level
+FROM per GROUP BY ROLLUP (channel_username)""")(lambda s, sf: report.channel_rollup(msgs(s, sf)))
+register("source_breakdown", """
+WITH c AS (SELECT channel_username, 'file' AS source, count(*) AS messages, count_if(file_size > 0) AS files FROM messages GROUP BY ALL),
+sp AS (SELECT DISTINCT channel_username FROM messages),
+t AS (SELECT * FROM (VALUES ('file'), ('db'), ('diff')) v(source))
+SELECT sp.channel_username, t.source, coalesce(c.messages, 0) AS messages, coalesce(c.files, 0) AS files
+FROM sp CROSS JOIN t LEFT JOIN c ON c.channel_username = sp.channel_username AND c.source = t.source""")(
+    lambda s, sf: report.source_breakdown(msgs(s, sf)))
+
+_METRICS = ["total_messages", "messages_with_text", "media_messages", "total_files", "total_bytes", "total_views"]
+
+
+def _sql_metrics(src: str) -> str:
+    wide = (f"SELECT channel_username, count(*) AS total_messages, count_if(text IS NOT NULL AND text <> '') AS messages_with_text, "
+            f"count_if(media_type IS NOT NULL AND media_type <> '') AS media_messages, count_if(file_size > 0) AS total_files, "
+            f"coalesce(sum(CASE WHEN file_size > 0 THEN file_size END), 0) AS total_bytes, coalesce(sum(views), 0) AS total_views "
+            f"FROM ({src}) z GROUP BY ALL")
+    return " UNION ALL ".join(f"SELECT channel_username, '{m}' AS metric, CAST({m} AS BIGINT) AS value FROM ({wide}) w{i}"
+                              for i, m in enumerate(_METRICS))
+
+
+def _run_compare(spark, sf):
+    l1, _ = loads(spark, sf)
+    cur = _combined(spark, sf)
+    prev = l1
+    base = msgs(spark, sf).select("channel_username", "message_id", "media_type", "file_size")
+    return report.run_compare(cur.join(base, ["channel_username", "message_id"], "left"),
+                              prev.join(base, ["channel_username", "message_id"], "left"))
+
+
+register("run_compare", f"""WITH {SQL_LOADS},
+base AS (SELECT channel_username, message_id, media_type, file_size FROM messages),
+cur AS (SELECT comb.*, base.media_type, base.file_size FROM comb LEFT JOIN base USING (channel_username, message_id)),
+prev AS (SELECT l1.*, base.media_type, base.file_size FROM l1 LEFT JOIN base USING (channel_username, message_id)),
+c AS ({_sql_metrics("SELECT * FROM cur")}),
+p AS ({_sql_metrics("SELECT * FROM prev")})
+SELECT coalesce(c.channel_username, p.channel_username) AS channel_username, coalesce(c.metric, p.metric) AS metric,
+  coalesce(c.value, 0) AS current, coalesce(p.value, 0) AS previous, coalesce(c.value, 0) - coalesce(p.value, 0) AS difference
+FROM c FULL OUTER JOIN p ON c.channel_username = p.channel_username AND c.metric = p.metric""")(_run_compare)
+
+register("media_breakdown", "SELECT channel_username, media_type, count(*) AS count FROM messages "
+                            "WHERE media_type IS NOT NULL AND media_type <> '' GROUP BY ALL")(
+    lambda s, sf: report.media_breakdown(msgs(s, sf)))
+register("media_summary", f"""
+SELECT channel_username, count(*) AS total_messages,
+  count_if(media_type IS NOT NULL AND media_type <> '' AND media_type <> 'text') AS total_media,
+  {sql_round("coalesce(sum(file_size), 0) / 1048576.0", 2)} AS storage_mb,
+  coalesce({sql_round("count_if(media_type IS NOT NULL AND media_type <> '' AND media_type <> 'text') * 100.0 / count(*)", 2)}, 0.0)
+    AS media_percentage
+FROM messages GROUP BY ALL""")(lambda s, sf: report.media_summary(msgs(s, sf)))
+register("channel_overview", f"""
+WITH sp AS (SELECT DISTINCT channel_username FROM messages),
+cs AS (SELECT channel_username, count(*) AS total_messages, count_if(text IS NOT NULL AND text <> '') AS messages_with_text,
+         count_if(media_type IS NOT NULL AND media_type <> '') AS media_messages FROM messages GROUP BY ALL),
+fs AS (SELECT channel_username, count(*) AS total_files, {sql_round("sum(file_size) / 1048576.0", 2)} AS total_storage_mb
+         FROM messages WHERE file_size IS NOT NULL GROUP BY ALL),
+en AS (SELECT channel_username, CAST(sum(coalesce(views, 0)) AS BIGINT) AS total_views,
+         CAST(sum(coalesce(forwards, 0)) AS BIGINT) AS total_forwards, CAST(sum(coalesce(replies, 0)) AS BIGINT) AS total_replies
+         FROM messages GROUP BY ALL),
+cr AS (SELECT channel_username, count(DISTINCT creator_username) AS total_creators FROM messages
+         WHERE creator_username IS NOT NULL GROUP BY ALL),
+ht AS (SELECT channel_username, count(*) AS total_unique_hashtags FROM ({sql_token_counts(P.HASHTAG, 'hashtag')}) h GROUP BY ALL)
+SELECT sp.channel_username, total_messages, messages_with_text, media_messages, coalesce(total_files, 0) AS total_files,
+  coalesce(total_storage_mb, 0.0) AS total_storage_mb, total_views, total_forwards, total_replies,
+  coalesce(total_creators, 0) AS total_creators, coalesce(total_unique_hashtags, 0) AS total_unique_hashtags
+FROM sp LEFT JOIN cs USING (channel_username) LEFT JOIN fs USING (channel_username) LEFT JOIN en USING (channel_username)
+LEFT JOIN cr USING (channel_username) LEFT JOIN ht USING (channel_username)""")(lambda s, sf: report.channel_overview(msgs(s, sf)))
+
+
+def _requested(spark, sf):
+    """Channels asked for: every source named in the documents table, plus one that has no data."""
+    docs = view.table(spark, sf, "documents")
+    known = docs.select(F.concat(F.lit("@"), F.col("source")).alias("channel_username")).distinct()
+    return known.unionByName(spark.createDataFrame([("@no_such_channel",)], "channel_username string"))
+
+
+register("report_status", """
+WITH req AS (SELECT DISTINCT '@' || source AS channel_username FROM documents UNION SELECT '@no_such_channel'),
+c AS (SELECT channel_username, count(*) AS messages FROM messages GROUP BY ALL)
+SELECT req.channel_username, coalesce(messages, 0) AS messages,
+  CASE WHEN messages > 0 THEN 'success' ELSE 'failed' END AS status,
+  CASE WHEN messages IS NULL THEN 'no messages found' END AS reason
+FROM req LEFT JOIN c ON req.channel_username = c.channel_username""")(
+    lambda s, sf: report.report_status(msgs(s, sf), _requested(s, sf)))
+
+register("report_json")(lambda s, sf: report.report(msgs(s, sf)).select("channel_username", "report_json"))
+register("report_validation")(lambda s, sf: report.validate_report(report.report(msgs(s, sf))))
+
+register("clean_values", """
+SELECT message_id, channel_username,
+  CASE WHEN date IS NULL THEN NULL WHEN microsecond(date) % 1000000 = 0 THEN strftime(date, '%Y-%m-%dT%H:%M:%S')
+       ELSE strftime(date, '%Y-%m-%dT%H:%M:%S.%f') END AS date,
+  text, creator_username, media_type, file_name, file_size, mime_type, caption, views, forwards, replies,
+  CASE WHEN is_forwarded IS NULL THEN NULL WHEN is_forwarded THEN 'true' ELSE 'false' END AS is_forwarded, forwarded_from
+FROM messages""")(lambda s, sf: clean.store_values(msgs(s, sf)))
+register("human_size", f"""
+SELECT channel_username, message_id, file_size, {sql_human("file_size")} AS size_human FROM messages WHERE file_size IS NOT NULL""")(
+    lambda s, sf: msgs(s, sf).where(F.col("file_size").isNotNull())
+    .select("channel_username", "message_id", "file_size", files.human_size("file_size").alias("size_human")))
+
+
+def _c(body: str, chart: str, ord_: str, label: str, value: str) -> str:
+    return (f"SELECT channel_username, '{chart}' AS chart, CAST({ord_} AS BIGINT) AS ord, CAST({label} AS VARCHAR) AS label, "
+            f"CAST({value} AS DOUBLE) AS value FROM ({body}) x_{chart}")
+
+
+_R = RAW_SQL
+_SQL_CREATORS15 = sql_top(SQL_CREATOR_COUNTS, "username", 15, "message_count")
+_SQL_LANG10 = sql_top(f"SELECT channel_username, language, count(*) AS count FROM ({SQL_MSG_LANG}) d GROUP BY ALL", "language", 10)
+_SQL_HASHTAG_CHART = f"""
+WITH h AS ({_R['hashtags_top10']}), e AS ({_R['emojis_top10']}),
+hc AS (SELECT DISTINCT channel_username FROM h), ec AS (SELECT DISTINCT channel_username FROM e)
+SELECT channel_username, rank, hashtag AS label, count FROM h
+UNION ALL SELECT channel_username, rank, emoji, count FROM e WHERE channel_username NOT IN (SELECT channel_username FROM hc)
+UNION ALL SELECT channel_username, 1, 'No Data', 0 FROM (SELECT DISTINCT channel_username FROM messages) s
+  WHERE channel_username NOT IN (SELECT channel_username FROM hc) AND channel_username NOT IN (SELECT channel_username FROM ec)"""
+_SQL_SOURCES_CHART = f"""
+SELECT channel_username, series * 10 + CASE source WHEN 'file' THEN 0 WHEN 'db' THEN 1 ELSE 2 END AS o,
+  upper(substr(source, 1, 1)) || lower(substr(source, 2)) || ' ' || upper(substr(kind, 1, 1)) || lower(substr(kind, 2)) AS l, v
+FROM (SELECT channel_username, source, 0 AS series, 'messages' AS kind, messages AS v FROM ({_R['source_breakdown']}) a
+      UNION ALL SELECT channel_username, source, 1, 'files', files FROM ({_R['source_breakdown']}) b) s"""
+
+_CHART_SQL = " UNION ALL ".join([
+    _c(f"SELECT channel_username, 0 AS o, 'Unique Files' AS l, total_files - files_with_duplicate_names AS v "
+       f"FROM ({_R['filename_duplicates']}) a UNION ALL SELECT channel_username, 1, 'Duplicate Files', files_with_duplicate_names "
+       f"FROM ({_R['filename_duplicates']}) b", "file_uniqueness", "o", "l", "v"),
+    _c(_R["lang_file_top10"], "file_languages", "rank", "language", "count"),
+    _c(_R["emojis_top10"], "emojis", "rank", "emoji", "count"),
+    _c(_R["filesize_histogram"], "file_sizes", "ord", "bin", "count"),
+    _c(_R["extensions_top10"], "file_types", "rank", "ext", "count"),
+    _c(_SQL_HASHTAG_CHART, "hashtags", "rank", "label", "count"),
+    _c(f"SELECT *, row_number() OVER (PARTITION BY channel_username ORDER BY day) AS o FROM ({_R['timeline_sampled']}) t",
+       "timeline", "o", "day", "count"),
+    _c(_R["monthly_histogram"], "monthly", "month", "label", "count"),
+    _c(_SQL_SOURCES_CHART, "sources", "o", "l", "v"),
+    _c(_R["mentions_top10"], "mentions", "rank", "mention", "count"),
+    _c(_R["urls_top15"], "urls", "rank", "url", "count"),
+    _c(_SQL_LANG10, "languages", "rank", "language", "count"),
+    _c(_SQL_CREATORS15, "contributors", "rank", "username", "message_count"),
+])
+register("charts_long", _CHART_SQL)(lambda s, sf: report.charts_long(msgs(s, sf)))
