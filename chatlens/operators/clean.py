@@ -139,7 +139,7 @@ def from_nested(df: DataFrame, msg: str = "m", channel: str | Column = "channel_
     now = now if now is not None else F.current_timestamp().cast("timestamp_ntz")
     doc = m["media"]["document"]
     photo = m["media"]["photo"]
-    first_name = F.filter(doc["attributes"], lambda a: F.coalesce(a["file_name"], F.lit("")) != "")[0]["file_name"]
+    first_name = F.get(F.filter(doc["attributes"], lambda a: F.coalesce(a["file_name"], F.lit("")) != ""), 0)["file_name"]
     media_type = F.when(doc.isNotNull(), "document").when(photo.isNotNull(), "photo")
     ch = F.col(channel) if isinstance(channel, str) else channel
     return (df.where(m["id"].isNotNull()).select(
