@@ -81,7 +81,13 @@ def read_collection_files(spark: SparkSession, path: str | list[str], *, glob: s
     ``file_min_id``, ``file_max_id``, ``loaded_at`` (collected_at / combined_at of the envelope),
     ``doc_pos`` and ``msg_pos`` (position inside the file, for keep-latest ordering).
     """
-    files = _scan(spark, path, glob).withColumn("docs", _docs(F.col("value")))
+    return parse_files(_scan(spark, path, glob))
+
+
+def parse_files(files: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Parse (source_file, file_name_src, value) file rows -> (raw message rows, rejects).
+    Shared by the batch reader and the streaming combine's micro-batches."""
+    files = files.withColumn("docs", _docs(F.col("value")))
     ok = files.where(F.col("docs").isNotNull())
     docs = ok.select("source_file", "file_name_src", F.posexplode("docs").alias("doc_pos", "doc"))
     good_docs = docs.where(F.col("doc").isNotNull() & F.col("doc._corrupt_record").isNull())

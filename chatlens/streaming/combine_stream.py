@@ -19,44 +19,48 @@ from chatlens.sinks import writers
 from chatlens.sources import collections
 
 
-def collection_stream(spark: SparkSession, raw_dir: str, *, glob: str = "*.json",
-                      max_files_per_trigger: int | None = None) -> DataFrame:
-    """Streaming scan of collection files -> typed rows with lineage (same parsing as batch)."""
+def file_stream(spark: SparkSession, raw_dir: str, *, glob: str = "*.json",
+                max_files_per_trigger: int | None = None) -> DataFrame:
+    """New collection files as a stream of (source_file, file_name_src, value) rows. The stream
+    only tracks which files are new; parsing happens per micro-batch with the batch code."""
     r = spark.readStream.option("pathGlobFilter", glob)
     if max_files_per_trigger:
         r = r.option("maxFilesPerTrigger", max_files_per_trigger)
-    files = r.text(raw_dir, wholetext=True).select(
+    return r.text(raw_dir, wholetext=True).select(
         F.col("_metadata.file_path").alias("source_file"), F.col("_metadata.file_name").alias("file_name_src"), "value")
-    docs = files.select("source_file", "file_name_src",
-                        F.posexplode(collections._docs(F.col("value"))).alias("doc_pos", "doc"))
-    docs = docs.where(F.col("doc").isNotNull() & F.col("doc._corrupt_record").isNull())
-    msgs = docs.select("source_file", "file_name_src", "doc_pos",
-                       F.coalesce(F.col("doc.metadata.combined_at"), F.col("doc.metadata.collected_at")).alias("loaded_at"),
-                       F.posexplode(collections._doc_messages(F.col("doc"))).alias("msg_pos", "m"))
-    raw = msgs.where(F.col("m").isNotNull()).select(
-        *[F.col(f"m.{c}").alias(c) for c in collections.RAW_FIELDS], "source_file",
-        *collections.file_name_columns(F.col("file_name_src")), "loaded_at",
-        F.col("doc_pos").cast("bigint").alias("doc_pos"), F.col("msg_pos").cast("bigint").alias("msg_pos"))
+
+
+def parse_batch(files: DataFrame) -> DataFrame:
+    raw, _ = collections.parse_files(files)
     return jobs.to_store_rows(clean.loader_clean(clean.typed_messages(raw)))
 
 
+def collection_stream(spark: SparkSession, raw_dir: str, *, glob: str = "*.json",
+                      max_files_per_trigger: int | None = None) -> DataFrame:
+    """Streaming typed message rows (for append-only consumers such as ST2 / ST3)."""
+    return parse_batch(file_stream(spark, raw_dir, glob=glob, max_files_per_trigger=max_files_per_trigger))
+
+
 def merge_batch(spark: SparkSession, store_path: str):
-    """foreachBatch body: keep-latest merge of one micro-batch into the stored table."""
-    def run(batch: DataFrame, batch_id: int) -> None:
+    """foreachBatch body: parse the new files of one micro-batch and merge them (keep-latest)
+    into the stored table, replacing only the channels they touch."""
+    from chatlens.session import cut_lineage
+
+    def run(files: DataFrame, batch_id: int) -> None:
+        batch = cut_lineage(parse_batch(files), "stream-batch")
         if batch.isEmpty():
             return
         existing = collections.read_table_or_empty(spark, store_path, jobs.stored_schema())
         touched = batch.select("channel_username").distinct()
         merged = jobs.merge_into(existing.join(touched, "channel_username", "left_semi"), batch)
-        from chatlens.session import cut_lineage
-        writers.write_messages(cut_lineage(merged), store_path)
+        writers.write_messages(cut_lineage(merged, "stream-merge"), store_path)
     return run
 
 
 def start_combine(spark: SparkSession, raw_dir: str, store_path: str, checkpoint_location: str, *,
                   available_now: bool = True, glob: str = "*.json"):
     """ST1: start the streaming combine; ``available_now`` processes what exists and stops."""
-    q = (collection_stream(spark, raw_dir, glob=glob).writeStream
+    q = (file_stream(spark, raw_dir, glob=glob).writeStream
          .foreachBatch(merge_batch(spark, store_path))
          .option("checkpointLocation", checkpoint_location))
     q = q.trigger(availableNow=True) if available_now else q.trigger(processingTime="1 minute")
