@@ -31,6 +31,10 @@ _EMOJI_BASE = (r"[\x{1F000}-\x{1F1E5}\x{1F200}-\x{1F3FA}\x{1F400}-\x{1FAFF}\x{26
 _EMOJI_MOD = r"[\x{FE0F}\x{1F3FB}-\x{1F3FF}]?"
 EMOJI = (r"[\x{1F1E6}-\x{1F1FF}]{2}|[0-9#*]\x{FE0F}?\x{20E3}|"
          + _EMOJI_BASE + _EMOJI_MOD + r"(?:\x{200D}" + _EMOJI_BASE + _EMOJI_MOD + r")*")
+# ASCII characters that can never be part of an emoji sequence (all but digits, '#', '*').
+# Collapsing runs of them to one space leaves every emoji match unchanged (a space never
+# matches, so no match can span a collapsed run) and shrinks mostly-ASCII text to a few chars.
+EMOJI_FREE_ASCII_RUN = r"[\x00-\x22\x24-\x29\x2B-\x2F\x3A-\x7F]+"
 # Channel collection file names: tg_<channel>_<min id>_<max id>.json, channel may hold '_'.
 COLLECTION_FILE = r"^tg_(.+)_(\d+)_(\d+)\.json$"
 COMBINED_FILE = r"^tg_(.+)_combined\.json$"

@@ -25,11 +25,20 @@ def extract_all(text: str | Column, pattern: str) -> Column:
     return F.regexp_extract_all(t, F.lit(pattern), F.lit(0))
 
 
+def scan_text(kind: str) -> Column:
+    """Text the pattern is run on. For emojis the ASCII runs that cannot take part in an emoji
+    are collapsed first (exact, see patterns.EMOJI_FREE_ASCII_RUN): the supplementary-plane
+    emoji classes are the costliest per character, and most text is ASCII."""
+    if kind == "emoji":
+        return F.regexp_replace(F.col("text"), P.EMOJI_FREE_ASCII_RUN, " ")
+    return F.col("text")
+
+
 def tokens(df: DataFrame, kind: str, *, by: Sequence[str] = BY, name: str | None = None) -> DataFrame:
     """One row per occurrence of a pattern in ``text`` (hashtag / mention / url / emoji)."""
     name = name or kind
     return (df.where(non_blank("text"))
-              .select(*by, F.explode(extract_all("text", PATTERNS[kind])).alias(name)))
+              .select(*by, F.explode(extract_all(scan_text(kind), PATTERNS[kind])).alias(name)))
 
 
 def token_counts(df: DataFrame, kind: str, *, by: Sequence[str] = BY) -> DataFrame:

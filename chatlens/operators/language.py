@@ -43,6 +43,7 @@ LANGUAGE_NAMES = {
 # ------------------------------------------------------------------------------------------------
 
 WS_TRIM = r"^\s+|\s+$"
+WS_CHARS = " \t\n\r\f\x0b"  # whitespace stripped before the 3-character minimum
 
 
 def charfreq(df: DataFrame, text: str = "text") -> DataFrame:
@@ -60,9 +61,11 @@ def charfreq(df: DataFrame, text: str = "text") -> DataFrame:
     the marker is removed.
     """
     t = F.col(text)
-    low = F.lower(t)
     singles = sorted({m for ms in CHAR_MARKERS.values() for m in ms if len(m) == 1})
-    hits = F.regexp_extract_all(low, F.lit("[" + "".join(singles) + "]"), F.lit(0))
+    # Every single-character marker is non-ASCII, and lower-casing never maps ASCII to non-ASCII,
+    # so the markers are counted in the (short) non-ASCII remainder of the text; its length is
+    # also the non-ASCII count. Only the four ASCII multi-character markers scan the whole text.
+    hits = F.regexp_extract_all(F.lower(F.col("_na")), F.lit("[" + "".join(singles) + "]"), F.lit(0))
     score_cols = []
     for lang, markers in CHAR_MARKERS.items():
         one = [m for m in markers if len(m) == 1]
@@ -70,11 +73,12 @@ def charfreq(df: DataFrame, text: str = "text") -> DataFrame:
         for m in (m for m in markers if len(m) > 1):
             s = s + ((F.length(F.col("_low")) - F.length(F.replace(F.col("_low"), F.lit(m), F.lit("")))) / len(m)).cast("bigint")
         score_cols.append(s)
-    staged = (df.withColumn("_low", low).withColumn("_hits", hits)
+    staged = (df.withColumn("_na", F.regexp_replace(t, r"[\x00-\x7F]+", ""))
+                .withColumn("_low", F.lower(t)).withColumn("_hits", hits)
                 .withColumn("_scores", F.array(*score_cols))
-                .withColumn("_non_ascii", F.length(F.regexp_replace(t, r"[\x00-\x7F]", "")))
+                .withColumn("_non_ascii", F.length(F.col("_na")))
                 .withColumn("_len", F.length(t))
-                .withColumn("_trimmed", F.length(F.regexp_replace(t, WS_TRIM, ""))))
+                .withColumn("_trimmed", F.length(F.btrim(t, F.lit(WS_CHARS)))))
     sc = F.col("_scores")
     mx = F.array_max(sc)
     best = F.element_at(F.array(*[F.lit(x) for x in CHAR_MARKERS]), F.array_position(sc, mx).cast("int"))
@@ -87,7 +91,7 @@ def charfreq(df: DataFrame, text: str = "text") -> DataFrame:
     conf = (F.when(short, F.lit(0.0)).when(mx > 0, mx.cast("double") / total.cast("double"))
              .when(non_en, share).otherwise(1.0 - share))
     return (staged.withColumn("language", lang).withColumn("confidence", conf)
-                  .drop("_low", "_hits", "_scores", "_non_ascii", "_len", "_trimmed"))
+                  .drop("_na", "_low", "_hits", "_scores", "_non_ascii", "_len", "_trimmed"))
 
 
 def detector_udf(detect: Callable[[str], tuple[str, float]]) -> Callable[[DataFrame, str], DataFrame]:

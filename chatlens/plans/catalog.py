@@ -556,7 +556,7 @@ def sql_charfreq(src: str) -> str:
        ELSE 1.0 - CAST(non_ascii AS DOUBLE) / CAST(len_t AS DOUBLE) END AS confidence
 FROM (SELECT *, {', '.join(scores)},
         length(regexp_replace(text, '[\\x00-\\x7F]', '', 'g')) AS non_ascii, length(text) AS len_t,
-        length(regexp_replace(text, '^\\s+|\\s+$', '', 'g')) AS trimmed
+        length(trim(text, chr(32) || chr(9) || chr(10) || chr(13) || chr(12) || chr(11))) AS trimmed
       FROM (SELECT *, lower(text) AS low FROM ({src}) s0) s1) s2"""
 
 
@@ -715,8 +715,15 @@ SELECT req.channel_username, coalesce(messages, 0) AS messages,
 FROM req LEFT JOIN c ON req.channel_username = c.channel_username""")(
     lambda s, sf: report.report_status(msgs(s, sf), _requested(s, sf)))
 
-register("report_json")(lambda s, sf: report.report(msgs(s, sf)).select("channel_username", "report_json"))
-register("report_validation")(lambda s, sf: report.validate_report(report.report(msgs(s, sf))))
+def msgs_once(spark: SparkSession, sf: str) -> DataFrame:
+    """The message view materialised once in the shared checkpoint folder, for queries that fan
+    out into many sub-plans over the same rows (reports, chart datasets)."""
+    from chatlens.session import cut_lineage
+    return cut_lineage(msgs(spark, sf), "messages")
+
+
+register("report_json")(lambda s, sf: report.report(msgs_once(s, sf)).select("channel_username", "report_json"))
+register("report_validation")(lambda s, sf: report.validate_report(report.report(msgs_once(s, sf))))
 
 register("clean_values", """
 SELECT message_id, channel_username,
@@ -770,4 +777,4 @@ _CHART_SQL = " UNION ALL ".join([
     _c(_SQL_LANG10, "languages", "rank", "language", "count"),
     _c(_SQL_CREATORS15, "contributors", "rank", "username", "message_count"),
 ])
-register("charts_long", _CHART_SQL)(lambda s, sf: report.charts_long(msgs(s, sf)))
+register("charts_long", _CHART_SQL)(lambda s, sf: report.charts_long(msgs_once(s, sf)))
