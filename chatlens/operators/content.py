@@ -186,3 +186,19 @@ def caption_stats(df: DataFrame, *, by: Sequence[str] = BY) -> DataFrame:
         F.max(ln).alias("caption_max_length"),
         round_half_even(F.avg(ln), 2).alias("caption_avg_length"),
     )
+
+
+def word_count_stats(df: DataFrame, *, by: Sequence[str] = BY) -> DataFrame:
+    """Words per message (runs of word characters): min, max, mean (2 dp), median (truncated)."""
+    words = F.size(F.regexp_extract_all(F.col("text"), F.lit(WORD_TOKEN), F.lit(0)))
+    wc = F.when(non_blank("text"), words)
+    return df.groupBy(*by).agg(F.min(wc).cast("bigint").alias("min_words"), F.max(wc).cast("bigint").alias("max_words"),
+                               round_half_even(F.avg(wc), 2).alias("mean_words"),
+                               F.floor(F.median(wc)).alias("median_words"))
+
+
+def search_messages(df: DataFrame, term: str, *, column: str = "text", case_sensitive: bool = False) -> DataFrame:
+    """Messages whose text contains ``term`` (a filter; pushed into the scan when the table
+    is Parquet)."""
+    c = F.col(column)
+    return df.where(c.contains(term) if case_sensitive else F.lower(c).contains(term.lower()))

@@ -269,3 +269,16 @@ def charts_long(df: DataFrame, names: Sequence[str] | None = None, *, by: Sequen
 
 __all__ = ["channel_rollup", "source_breakdown", "run_compare", "media_breakdown", "media_summary", "channel_overview",
            "report_status", "report", "validate_report", "charts_long", "CHARTS", "MONTH_NAMES"]
+
+
+def channel_comparison(df: DataFrame, *, by: str = "channel_username") -> DataFrame:
+    """Channels side by side with their rank by messages, views and files. The ranking
+    window runs over the per-channel table (one row per channel)."""
+    from pyspark.sql import Window
+    per = df.groupBy(by).agg(F.count(F.lit(1)).alias("messages"),
+                             F.coalesce(F.sum("views"), F.lit(0)).alias("views"),
+                             F.count_if(F.col("file_size") > 0).alias("files"))
+    out = per
+    for m in ("messages", "views", "files"):
+        out = out.withColumn(f"rank_{m}", F.rank().over(Window.orderBy(F.col(m).desc())).cast("bigint"))
+    return out

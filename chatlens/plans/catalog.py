@@ -778,3 +778,20 @@ _CHART_SQL = " UNION ALL ".join([
     _c(_SQL_CREATORS15, "contributors", "rank", "username", "message_count"),
 ])
 register("charts_long", _CHART_SQL)(lambda s, sf: report.charts_long(msgs_once(s, sf)))
+
+# ================================================================ remaining slices (V6, X4 words, X19 comparison)
+register("latest_messages", """
+SELECT channel_username, message_id, date FROM (SELECT *, row_number() OVER (PARTITION BY channel_username
+  ORDER BY message_id DESC) AS rn FROM messages) x WHERE rn <= 10""")(
+    lambda s, sf: validate.latest_messages(msgs(s, sf), 10).select("channel_username", "message_id", "date"))
+register("word_count_stats", f"""
+SELECT channel_username, min(wc) AS min_words, max(wc) AS max_words, {sql_round("avg(wc)", 2)} AS mean_words,
+  CAST(floor(median(wc)) AS BIGINT) AS median_words
+FROM (SELECT channel_username, CASE WHEN text IS NOT NULL AND text <> '' THEN
+        CAST(len(regexp_extract_all(text, {lit(WORD_TOKEN)})) AS BIGINT) END AS wc FROM messages) x GROUP BY ALL""")(
+    lambda s, sf: content.word_count_stats(msgs(s, sf)))
+register("channel_comparison", """
+SELECT *, CAST(rank() OVER (ORDER BY messages DESC) AS BIGINT) AS rank_messages,
+  CAST(rank() OVER (ORDER BY views DESC) AS BIGINT) AS rank_views, CAST(rank() OVER (ORDER BY files DESC) AS BIGINT) AS rank_files
+FROM (SELECT channel_username, count(*) AS messages, CAST(coalesce(sum(views), 0) AS BIGINT) AS views,
+        count_if(file_size > 0) AS files FROM messages GROUP BY ALL) p""")(lambda s, sf: report.channel_comparison(msgs(s, sf)))

@@ -190,3 +190,49 @@ def canonical(df: DataFrame) -> DataFrame:
 
 __all__ = ["read_collection_files", "read_messages", "read_jsonl", "empty_files", "discover_channels",
            "select_sources", "read_table_or_empty", "canonical", "file_name_columns", "MESSAGE_COLUMNS"]
+
+
+def normalize(df: DataFrame, record_path: str = "messages", meta: list[str] | None = None) -> DataFrame:
+    """Nested records -> rows, each child carrying the listed parent fields (like a
+    record-path / meta normalisation): ``select(meta..., inline(record_path))``."""
+    meta = meta or [c for c in df.columns if c != record_path]
+    return df.select(*[F.col(m).alias(m.replace(".", "_")) for m in meta], F.inline(F.col(record_path)))
+
+
+# ---- FIXED VALUES: keys that identify an analysis result type ----------------------------------
+RESULT_TYPES = {
+    "filename": ["files_with_duplicate_names", "filename", "ext", "files_with_special_chars"],
+    "filesize": ["files_with_duplicate_sizes", "size_bytes", "bin"],
+    "message": ["total_messages", "hashtag", "mention", "emoji", "url", "username", "domain"],
+}
+# ------------------------------------------------------------------------------------------------
+
+
+def result_type(columns: list[str]) -> str | None:
+    """Classify a result table by the keys it carries (first type that matches)."""
+    for kind, keys in RESULT_TYPES.items():
+        if any(k in columns for k in keys):
+            return kind
+    return None
+
+
+def discover_results(spark: SparkSession, path: str) -> list[str]:
+    """Result tables under ``path`` (one sub-folder per table, as written by K3).
+    Reads the folder listing only."""
+    jvm = spark.sparkContext._jvm
+    hp = jvm.org.apache.hadoop.fs.Path(path)
+    fs = hp.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    if not fs.exists(hp):
+        return []
+    return sorted(st.getPath().getName() for st in fs.listStatus(hp)
+                  if st.isDirectory() and not st.getPath().getName().startswith(("_", ".")))
+
+
+def read_results(spark: SparkSession, path: str, *, fmt: str = "parquet") -> dict[str, tuple[str | None, DataFrame]]:
+    """Every result table under ``path`` with its classified type; the channel comes from
+    the partition folder (``channel=<name>``) written by K3."""
+    out = {}
+    for name in discover_results(spark, path):
+        df = spark.read.format(fmt).load(f"{path}/{name}")
+        out[name] = (result_type(df.columns), df)
+    return out
