@@ -80,33 +80,34 @@ def import_messages(df: DataFrame, store_path: str | None, *, stored: DataFrame
                     limit: int | None = None, batch_size: int = 100) -> dict:
     """K5: validate -> clean -> skip already stored keys -> append.
 
-    ``limit`` keeps the first n messages in (channel, id) order (the reference's --limit);
-    ``validate_only`` and ``dry_run`` run the counting job without writing. Counts come from an
-    Observation on the written dataset (one pass), or from one aggregation when nothing is written.
+    ``limit`` keeps the first n messages in (channel, id) order (the reference's --limit).
+    All counts come from one pass: an Observation on the tagged rows while they are written, or
+    one aggregation of the same rows for ``dry_run`` / ``validate_only`` (nothing written).
     """
     rows = df
     if limit is not None:
         rows = rows.orderBy("channel_username", "message_id").limit(limit)
-    good, _rejects = validate.split_valid(rows)
-    out = clean.store_projection(good)
+    tagged = rows.withColumn("_code", validate.reject_code(rows))
     if skip_duplicates and stored is not None:
-        out = merge.skip_existing(out, stored)
-    stats_cols = [F.count(F.lit(1)).alias("total")]
+        keys = stored.select(*merge.KEY).distinct().withColumn("_stored", F.lit(True))
+        tagged = tagged.join(keys, list(merge.KEY), "left")
+    else:
+        tagged = tagged.withColumn("_stored", F.lit(None).cast("boolean"))
+    valid = F.col("_code").isNull()
+    new = valid & F.col("_stored").isNull()
+    metrics = [F.count(F.lit(1)).alias("total"), F.count_if(valid).alias("valid"), F.count_if(new).alias("new")]
     if validate_only or dry_run or store_path is None:
-        total = rows.agg(F.count(F.lit(1)).alias("total")).first()["total"]
-        valid = good.agg(F.count(F.lit(1)).alias("n")).first()["n"]
-        to_write = out.agg(F.count(F.lit(1)).alias("n")).first()["n"]
-        return {"total": total, "valid": valid, "invalid": total - valid, "imported": 0,
-                "would_import": to_write, "skipped": valid - to_write,
-                "batches": -(-to_write // batch_size), "dry_run": dry_run, "validate_only": validate_only}
-    obs = Observation("import")
-    observed = out.observe(obs, *stats_cols)
-    with_partition(observed).write.mode("append").partitionBy(PART).parquet(store_path)
-    written = obs.get["total"]
-    total = rows.agg(F.count(F.lit(1)).alias("total")).first()["total"]
-    valid = good.agg(F.count(F.lit(1)).alias("n")).first()["n"]
-    return {"total": total, "valid": valid, "invalid": total - valid, "imported": written,
-            "skipped": valid - written, "batches": -(-written // batch_size), "dry_run": False, "validate_only": False}
+        m = tagged.agg(*metrics).first()
+        imported, would = 0, m["new"]
+    else:
+        obs = Observation("import")
+        out = clean.store_projection(tagged.observe(obs, *metrics).where(new))
+        with_partition(out).write.mode("append").partitionBy(PART).parquet(store_path)
+        m = obs.get
+        imported = would = m["new"]
+    return {"total": m["total"], "valid": m["valid"], "invalid": m["total"] - m["valid"], "imported": imported,
+            "would_import": would, "skipped": m["valid"] - would, "batches": -(-would // batch_size),
+            "dry_run": dry_run, "validate_only": validate_only}
 
 
 def write_report_json(rep: DataFrame, path: str) -> None:

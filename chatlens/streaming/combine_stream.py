@@ -69,7 +69,9 @@ def start_combine(spark: SparkSession, raw_dir: str, store_path: str, checkpoint
 
 def dedup_within_watermark(stream: DataFrame, delay: str = "1 day") -> DataFrame:
     """ST2: first copy of each (channel, id) within the watermark; state is bounded by the delay."""
-    return (stream.where(F.col("date").isNotNull()).withWatermark("date", delay)
+    # watermarks need TIMESTAMP (the session time zone is UTC, so the instant is unchanged)
+    return (stream.where(F.col("date").isNotNull()).withColumn("event_time", F.col("date").cast("timestamp"))
+                  .withWatermark("event_time", delay)
                   .dropDuplicatesWithinWatermark(["channel_username", "message_id"]))
 
 
