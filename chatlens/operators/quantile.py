@@ -20,6 +20,15 @@ from pyspark.sql import functions as F
 from chatlens.operators.topk import BY
 
 _SIGN = -9223372036854775808  # flips the sign bit so unsigned order equals signed order
+_MASK = (1 << 64) - 1
+
+
+def _digit(u: int, level: int) -> int:
+    return (u >> (48 - 16 * level)) & 0xFFFF
+
+
+def _signed(u: int) -> int:
+    return u - (1 << 64) if u >= (1 << 63) else u
 
 
 def exact_quantiles(df: DataFrame, value: str, probs: Sequence[float], *, by: Sequence[str] = BY,
@@ -31,6 +40,18 @@ def exact_quantiles(df: DataFrame, value: str, probs: Sequence[float], *, by: Se
                 .groupBy(*by, F.col(value).cast("bigint").alias("_v")).agg(F.count(F.lit(1)).alias("_c"))
                 .select(*by, F.col("_v").bitwiseXOR(F.lit(_SIGN)).alias("_k"), "_c"))
     counts = counts.persist()
+    # 16-bit digits shared by every key (the global minimum and maximum agree on them) are the
+    # same for all targets, so those passes are skipped; one scalar aggregation finds them.
+    b = (counts.agg(F.min(F.col("_k").bitwiseXOR(F.lit(_SIGN))).alias("lo"),
+                    F.max(F.col("_k").bitwiseXOR(F.lit(_SIGN))).alias("hi")).first())
+    if b["lo"] is None:
+        empty = counts.groupBy(*by).agg(*[F.lit(None).cast("double").alias(nm) for nm in names])
+        return empty.limit(0)
+    lo_u, hi_u = (b["lo"] ^ _SIGN) & _MASK, (b["hi"] ^ _SIGN) & _MASK
+    start_level = 0
+    while start_level < 4 and _digit(lo_u, start_level) == _digit(hi_u, start_level):
+        start_level += 1
+    prefix0 = _signed(lo_u >> (64 - 16 * start_level)) if start_level else 0
     n = counts.groupBy(*by).agg(F.sum("_c").alias("_n"))
     q = F.explode(F.array(*[F.struct(F.lit(i).alias("_q"), F.lit(float(p)).alias("_p"))
                             for i, p in enumerate(probs)]))
@@ -39,12 +60,12 @@ def exact_quantiles(df: DataFrame, value: str, probs: Sequence[float], *, by: Se
     side = F.explode(F.array(F.struct(F.lit(0).alias("_w"), F.floor("_h").alias("_r")),
                              F.struct(F.lit(1).alias("_w"), F.ceil("_h").alias("_r"))))
     state = (tg.select(*by, "_q", "_h", side.alias("s")).select(*by, "_q", "_h", "s.*")
-               .withColumn("_pfx", F.lit(0).cast("bigint")))
-    for level in range(4):
+               .withColumn("_pfx", F.lit(prefix0).cast("bigint")))
+    for level in range(start_level, 4):
         digit = F.shiftrightunsigned("_k", 48 - 16 * level).bitwiseAND(F.lit(0xFFFF))
-        if level == 0:
+        if level == start_level:
             hist = (counts.groupBy(*by, digit.alias("_d")).agg(F.sum("_c").alias("_hc"))
-                          .withColumn("_pfx", F.lit(0).cast("bigint")))
+                          .withColumn("_pfx", F.lit(prefix0).cast("bigint")))
         else:
             need = state.select(*by, "_pfx").distinct()
             hist = (counts.withColumn("_pfx", F.shiftrightunsigned("_k", 64 - 16 * level))

@@ -242,3 +242,11 @@ def test_invariants_on_view(spark):
     shuffled = df.orderBy(F.rand(3)).repartition(5)
     assert rows(content.content_stats(shuffled)) == rows(content.content_stats(df))
     df.unpersist()
+
+
+def test_exact_quantiles_edge_cases(spark):
+    same = spark.createDataFrame([("a", 7), ("a", 7), ("b", 7)], "channel_username string, v long")
+    got = {r["channel_username"]: (r["p50"], r["p90"]) for r in exact_quantiles(same, "v", [0.5, 0.9]).collect()}
+    assert got == {"a": (7.0, 7.0), "b": (7.0, 7.0)}
+    empty = same.where("v < 0")
+    assert exact_quantiles(empty, "v", [0.5]).count() == 0
