@@ -137,7 +137,10 @@ def report(df: DataFrame, *, by: Sequence[str] = BY) -> DataFrame:
         cols = [c for c in t.columns if c not in by]
         out = out.join(t.select(*by, F.struct(*cols).alias(name)), list(by), "left")
     for name, t in lists.items():
-        out = out.join(t.select(*by, F.col(t.columns[-1]).alias(name)), list(by), "left")
+        lst = t.columns[-1]
+        empty = F.array_compact(F.array(F.lit(None).cast(t.schema[lst].dataType.elementType)))
+        out = (out.join(t.select(*by, F.col(lst).alias(name)), list(by), "left")
+                  .withColumn(name, F.coalesce(F.col(name), empty)))  # structured empty list, as the reference
     body = F.struct(*[F.col(c) for c in list(parts) + list(lists)])
     return out.select(*by, body.alias("report"), F.to_json(body).alias("report_json"))
 

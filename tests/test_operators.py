@@ -250,3 +250,30 @@ def test_exact_quantiles_edge_cases(spark):
     assert got == {"a": (7.0, 7.0), "b": (7.0, 7.0)}
     empty = same.where("v < 0")
     assert exact_quantiles(empty, "v", [0.5]).count() == 0
+
+
+def test_filters(spark):
+    df = msgs(spark, [{"message_id": i, "channel_username": c, "date": dt.datetime(2024, 1, d)}
+                      for i, (c, d) in enumerate([("@books", 1), ("@books_magazine", 2), ("@news", 3), ("@news", 5)])])
+    assert rows(validate.filter_channels(df, "books, news"), "message_id") == [(0,), (2,), (3,)]
+    assert validate.filter_channels(df, "all").count() == 4
+    assert rows(validate.filter_channel_pattern(df, "books*"), "message_id") == [(0,), (1,)]
+    assert rows(validate.filter_date_range(df, "2024-01-02:2024-01-03"), "message_id") == [(1,), (2,)]
+    assert rows(validate.latest_messages(df, 1, before_id=3), "message_id") == [(0,), (1,), (2,)]
+
+
+def test_chart_fallbacks_and_report_validation(spark):
+    recs = [{"message_id": 1, "channel_username": "@h", "text": "#a #a #b"},
+            {"message_id": 2, "channel_username": "@e", "text": "only 😀"},
+            {"message_id": 3, "channel_username": "@n", "text": "plain"}]
+    df = msgs(spark, recs)
+    h = {(r["channel_username"], r["label"]): r["value"] for r in report.chart_hashtags(df).collect()}
+    assert h == {("@h", "#a"): 2.0, ("@h", "#b"): 1.0, ("@e", "😀"): 1.0, ("@n", "No Data"): 0.0}
+    m = report.chart_monthly(df).collect()
+    assert len(m) == 0  # no dated messages -> no monthly rows
+    rep = report.report(df)
+    v = {r["channel_username"]: r for r in report.validate_report(rep).collect()}
+    assert all(x["within_limit"] and x["has_required"] for x in v.values())
+    assert v["@h"]["json_chars"] > 0
+    roll = {r["level"]: r for r in report.channel_rollup(df).collect()}
+    assert roll[1]["channels"] == 3 and roll[1]["total_messages"] == 3
