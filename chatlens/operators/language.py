@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from chatlens.functions.expr import non_blank, pct, round_half_even
-from chatlens.operators.topk import BY, key_counts, top_k_by_count
+from chatlens.operators.topk import BY, key_counts, top_k, top_k_by_count
 
 # ---- FIXED VALUES: marker strings of the character-frequency detector (design documents) -----
 CHAR_MARKERS = {
@@ -228,21 +228,26 @@ def detect_messages(df: DataFrame, detector: Detector = charfreq, *, by: Sequenc
 
 def language_counts(detected: DataFrame, *, by: Sequence[str] = BY) -> DataFrame:
     """A10 distribution / X16: (channel, language, count, percentage of analysed messages)."""
-    c = key_counts(detected, "language", by=by, name="language")
+    c = key_counts(detected, "language", by=by, name="language", drop_null=False)
     tot = c.groupBy(*by).agg(F.sum("count").alias("total"))
     return c.join(tot, list(by)).withColumn("percentage", pct("count", "total", 2)).drop("total")
 
 
+# Detector outputs are never filtered before an aggregation: Spark would push such a filter
+# below the detector's projection and inline (re-evaluate) the whole detector expression. The
+# operators below use conditional aggregates instead, and rank ``unknown`` last in windows.
+
 def language_profile(detected: DataFrame, *, by: Sequence[str] = BY) -> DataFrame:
     """A10: primary language (most messages, ``unknown`` excluded, Q13; ties by name), languages
     detected (excluding unknown), messages analysed, detection coverage (3 dp)."""
-    c = key_counts(detected, "language", by=by, name="language")
-    known = c.where(F.col("language") != UNKNOWN)
-    primary = top_k_by_count(known, 1, key="language", by=by).select(*by, F.col("language").alias("primary_language"))
+    c = key_counts(detected, "language", by=by, name="language", drop_null=False)
+    is_unknown = F.col("language") == UNKNOWN
+    first = top_k(c, 1, by=by, order=[is_unknown.asc(), F.col("count").desc(), F.col("language").asc()])
+    primary = first.select(*by, F.when(~is_unknown, F.col("language")).alias("primary_language"))
     agg = c.groupBy(*by).agg(
         F.sum("count").alias("messages_analyzed"),
-        F.count_if(F.col("language") != UNKNOWN).alias("total_languages_detected"),
-        F.coalesce(F.sum(F.when(F.col("language") == UNKNOWN, F.col("count"))), F.lit(0)).alias("unknown"))
+        F.count_if(~is_unknown).alias("total_languages_detected"),
+        F.coalesce(F.sum(F.when(is_unknown, F.col("count"))), F.lit(0)).alias("unknown"))
     return (agg.join(primary, list(by), "left")
                .select(*by, F.coalesce("primary_language", F.lit(UNKNOWN)).alias("primary_language"),
                        "total_languages_detected", "messages_analyzed",
@@ -262,27 +267,31 @@ def file_language(df: DataFrame, detector: Detector = charfreq, *, by: Sequence[
     return detector(f, "text").select(*by, "message_id", F.length("text").alias("n"), "language", "confidence")
 
 
-def file_language_profile(df: DataFrame, detector: Detector = charfreq, *,
-                          by: Sequence[str] = BY) -> DataFrame:
+def _detected() -> Column:
+    """A6 'detected': text of at least 3 characters and a known language."""
+    return (F.col("n") >= MIN_TEXT) & (F.col("language") != UNKNOWN)
+
+
+def file_language_profile(df: DataFrame, detector: Detector = charfreq, *, by: Sequence[str] = BY) -> DataFrame:
     """Primary language and mean confidence of the primary (3 dp), languages detected,
     coverage % of files (2 dp), average/min/max confidence (3 dp), low-confidence files (< 0.5),
     multilingual files (always 0, as in the reference)."""
-    fl = file_language(df, detector, by=by)
-    files_total = fl.groupBy(*by).agg(F.count(F.lit(1)).alias("total_files"))
-    det = fl.where((F.col("n") >= MIN_TEXT) & (F.col("language") != UNKNOWN))
-    per_lang = det.groupBy(*by, "language").agg(F.count(F.lit(1)).alias("count"),
-                                                F.avg("confidence").alias("mean_conf"))
-    primary = top_k_by_count(per_lang, 1, key="language", by=by) \
-        .select(*by, F.col("language").alias("primary_language"),
-                round_half_even("mean_conf", 3).alias("language_confidence"))
-    stats = det.groupBy(*by).agg(
-        F.count(F.lit(1)).alias("detected_files"),
-        round_half_even(F.avg("confidence"), 3).alias("average_confidence"),
-        round_half_even(F.min("confidence"), 3).alias("min_confidence"),
-        round_half_even(F.max("confidence"), 3).alias("max_confidence"),
-        F.count_if(F.col("confidence") < 0.5).alias("low_confidence_files"))
-    langs = per_lang.groupBy(*by).agg(F.count(F.lit(1)).alias("total_languages_detected"))
-    return (files_total.join(stats, list(by), "left").join(primary, list(by), "left").join(langs, list(by), "left")
+    fl = file_language(df, detector, by=by).withColumn("_ok", _detected())
+    ok = F.col("_ok")
+    conf = F.when(ok, F.col("confidence"))
+    per_lang = fl.groupBy(*by, "language").agg(F.count_if(ok).alias("count"), F.avg(conf).alias("mean_conf"))
+    first = top_k(per_lang, 1, by=by, order=[F.col("count").desc(), F.col("language").asc()])
+    primary = first.select(*by, F.when(F.col("count") > 0, F.col("language")).alias("primary_language"),
+                           F.when(F.col("count") > 0, round_half_even("mean_conf", 3)).alias("language_confidence"))
+    stats = fl.groupBy(*by).agg(
+        F.count(F.lit(1)).alias("total_files"),
+        F.count_if(ok).alias("detected_files"),
+        round_half_even(F.avg(conf), 3).alias("average_confidence"),
+        round_half_even(F.min(conf), 3).alias("min_confidence"),
+        round_half_even(F.max(conf), 3).alias("max_confidence"),
+        F.count_if(ok & (F.col("confidence") < 0.5)).alias("low_confidence_files"))
+    langs = per_lang.groupBy(*by).agg(F.count_if(F.col("count") > 0).alias("total_languages_detected"))
+    return (stats.join(primary, list(by), "left").join(langs, list(by), "left")
             .select(*by, F.coalesce("primary_language", F.lit("Unknown")).alias("primary_language"),
                     F.coalesce("language_confidence", F.lit(0.0)).alias("language_confidence"),
                     F.coalesce("total_languages_detected", F.lit(0)).alias("total_languages_detected"),
@@ -296,10 +305,10 @@ def file_language_profile(df: DataFrame, detector: Detector = charfreq, *,
 
 def file_language_distribution(df: DataFrame, k: int = 10, detector: Detector = charfreq, *,
                                by: Sequence[str] = BY) -> DataFrame:
-    """A6 distribution: top k languages with their % of detected files (2 dp)."""
-    det = file_language(df, detector, by=by).where((F.col("n") >= MIN_TEXT) & (F.col("language") != UNKNOWN))
-    c = key_counts(det, "language", by=by, name="language")
+    """A6 distribution: top k languages with their % of detected files (2 dp). Languages with no
+    detected file rank last and are dropped after the window (see the note above)."""
+    fl = file_language(df, detector, by=by).withColumn("_ok", _detected())
+    c = fl.groupBy(*by, "language").agg(F.count_if(F.col("_ok")).alias("count"))
     tot = c.groupBy(*by).agg(F.sum("count").alias("total"))
-    return (top_k_by_count(c, k, key="language", by=by).join(tot, list(by))
+    return (top_k_by_count(c, k, key="language", by=by).where(F.col("count") > 0).join(tot, list(by))
             .select(*by, "rank", "language", "count", pct("count", "total", 2).alias("percentage")))
-

@@ -244,7 +244,7 @@ def chart_languages(df, *, by=BY):
     """Top 10 message languages (A10)."""
     from chatlens.operators.topk import key_counts, top_k_by_count
     det = language.detect_messages(df, by=by)
-    c = top_k_by_count(key_counts(det, "language", by=by, name="language"), 10, key="language", by=by)
+    c = top_k_by_count(key_counts(det, "language", by=by, name="language", drop_null=False), 10, key="language", by=by)
     return _chart(c, "languages", "rank", "language", "count", by=by)
 
 

@@ -18,11 +18,17 @@ BY = ("channel_username",)
 
 
 def key_counts(df: DataFrame, key: str | Column, *, by: Sequence[str] = BY, name: str = "key",
-               count_col: str = "count") -> DataFrame:
-    """groupBy(by, key).count() with map-side partial aggregation; null keys dropped."""
+               count_col: str = "count", drop_null: bool = True) -> DataFrame:
+    """groupBy(by, key).count() with map-side partial aggregation; null keys dropped.
+
+    ``drop_null=False`` for keys that are never null but costly to compute: a filter on a
+    computed column is pushed below its projection with the expression inlined, which would
+    evaluate it twice."""
     k = F.col(key) if isinstance(key, str) else key
-    return (df.select(*by, k.alias(name)).where(F.col(name).isNotNull())
-              .groupBy(*by, name).agg(F.count(F.lit(1)).alias(count_col)))
+    rows = df.select(*by, k.alias(name))
+    if drop_null:
+        rows = rows.where(F.col(name).isNotNull())
+    return rows.groupBy(*by, name).agg(F.count(F.lit(1)).alias(count_col))
 
 
 def top_k(counts: DataFrame, k: int, *, by: Sequence[str] = BY, order: Sequence[Column],
