@@ -272,11 +272,12 @@ def _detected() -> Column:
     return (F.col("n") >= MIN_TEXT) & (F.col("language") != UNKNOWN)
 
 
-def file_language_profile(df: DataFrame, detector: Detector = charfreq, *, by: Sequence[str] = BY) -> DataFrame:
+def file_language_profile(df: DataFrame, detector: Detector = charfreq, *, by: Sequence[str] = BY,
+                          detected: DataFrame | None = None) -> DataFrame:
     """Primary language and mean confidence of the primary (3 dp), languages detected,
     coverage % of files (2 dp), average/min/max confidence (3 dp), low-confidence files (< 0.5),
     multilingual files (always 0, as in the reference)."""
-    fl = file_language(df, detector, by=by).withColumn("_ok", _detected())
+    fl = (detected if detected is not None else file_language(df, detector, by=by)).withColumn("_ok", _detected())
     ok = F.col("_ok")
     conf = F.when(ok, F.col("confidence"))
     per_lang = fl.groupBy(*by, "language").agg(F.count_if(ok).alias("count"), F.avg(conf).alias("mean_conf"))
@@ -304,10 +305,10 @@ def file_language_profile(df: DataFrame, detector: Detector = charfreq, *, by: S
 
 
 def file_language_distribution(df: DataFrame, k: int = 10, detector: Detector = charfreq, *,
-                               by: Sequence[str] = BY) -> DataFrame:
+                               by: Sequence[str] = BY, detected: DataFrame | None = None) -> DataFrame:
     """A6 distribution: top k languages with their % of detected files (2 dp). Languages with no
     detected file rank last and are dropped after the window (see the note above)."""
-    fl = file_language(df, detector, by=by).withColumn("_ok", _detected())
+    fl = (detected if detected is not None else file_language(df, detector, by=by)).withColumn("_ok", _detected())
     c = fl.groupBy(*by, "language").agg(F.count_if(F.col("_ok")).alias("count"))
     tot = c.groupBy(*by).agg(F.sum("count").alias("total"))
     return (top_k_by_count(c, k, key="language", by=by).where(F.col("count") > 0).join(tot, list(by))

@@ -58,8 +58,10 @@ def combine(spark: SparkSession, raw_path: str, store_path: str, *, channels: st
     return summary, rejects
 
 
-def analysis_tables(msgs: DataFrame, *, with_language: bool = False) -> dict[str, DataFrame]:
-    """The reference's analysis outputs as tidy tables (filename, filesize, message, source)."""
+def analysis_tables(msgs: DataFrame, *, with_language: bool = False, file_langs: DataFrame | None = None,
+                    msg_langs: DataFrame | None = None) -> dict[str, DataFrame]:
+    """The reference's analysis outputs as tidy tables (filename, filesize, message, source).
+    ``file_langs`` / ``msg_langs`` are optional precomputed detector outputs (shared inputs)."""
     t = {
         "source_summary": validate.source_summary(msgs),
         "filename_duplicates": files.filename_duplicates(msgs),
@@ -82,24 +84,44 @@ def analysis_tables(msgs: DataFrame, *, with_language: bool = False) -> dict[str
         "emoji_totals": content.token_totals(msgs, "emoji"),
         "creators_top10": people.creators_top(msgs, 10),
         "creator_stats": people.creator_stats(msgs),
-        "file_language_profile": language.file_language_profile(msgs),
-        "file_language_top10": language.file_language_distribution(msgs, 10),
+        "file_language_profile": language.file_language_profile(msgs, detected=file_langs),
+        "file_language_top10": language.file_language_distribution(msgs, 10, detected=file_langs),
     }
     if with_language:
-        det = language.detect_messages(msgs)
+        det = msg_langs if msg_langs is not None else language.detect_messages(msgs)
         t["language_profile"] = language.language_profile(det)
         t["language_counts"] = language.language_counts(det)
     return t
 
 
+def run_all(actions: dict, parallelism: int = 4) -> dict:
+    """Run independent Spark actions concurrently (one thread per submitted job). Jobs of one
+    application share the executors; small result jobs otherwise leave most cores idle."""
+    from concurrent.futures import ThreadPoolExecutor
+    with ThreadPoolExecutor(max_workers=parallelism) as pool:
+        futures = {k: pool.submit(fn) for k, fn in actions.items()}
+        return {k: f.result() for k, f in futures.items()}
+
+
+def analysis_inputs(base: DataFrame, *, with_language: bool) -> dict:
+    """Detector outputs shared by two result tables each, materialised once (small: one row per
+    message or file with its language and confidence)."""
+    out = {"file_langs": cut_lineage(language.file_language(base), "file-langs")}
+    if with_language:
+        out["msg_langs"] = cut_lineage(language.detect_messages(base), "msg-langs")
+    return out
+
+
 def run_analysis(spark: SparkSession, store_path: str, out_path: str | None = None, *,
-                 channels: str | list[str] = "all", with_language: bool = False) -> dict[str, DataFrame]:
-    """The main query: stored messages -> channel filter -> checkpointed base -> result tables."""
+                 channels: str | list[str] = "all", with_language: bool = False,
+                 parallelism: int = 4) -> dict[str, DataFrame]:
+    """The main query: stored messages -> channel filter -> checkpointed base -> result tables,
+    written concurrently when ``out_path`` is given."""
     msgs = filter_channels(spark.read.parquet(store_path), channels)
     base = cut_lineage(msgs.select(*[f.name for f in MESSAGE.fields]))
-    tables = analysis_tables(base, with_language=with_language)
+    tables = analysis_tables(base, with_language=with_language, **analysis_inputs(base, with_language=with_language))
     if out_path:
-        writers.write_results(tables, out_path)
+        run_all({k: (lambda k=k, t=t: writers.write_results({k: t}, out_path)) for k, t in tables.items()}, parallelism)
     return tables
 
 
