@@ -20,11 +20,36 @@ from chatlens.sources import collections
 LINEAGE_ORDER = ("loaded_at", "source_file", "doc_pos", "msg_pos")
 
 
-def stored_schema():
+def stored_schema(with_partitions: bool = False):
+    """Columns of the message store; with its partition columns when reading the dataset."""
     from pyspark.sql import types as T
-    return T.StructType(list(MESSAGE.fields) + [
+    fields = list(MESSAGE.fields) + [
         T.StructField("loaded_at", T.StringType()), T.StructField("source_file", T.StringType()),
-        T.StructField("doc_pos", T.LongType()), T.StructField("msg_pos", T.LongType())])
+        T.StructField("doc_pos", T.LongType()), T.StructField("msg_pos", T.LongType())]
+    if with_partitions:
+        fields += [T.StructField(writers.PART, T.StringType()), T.StructField(writers.BLOCK, T.LongType())]
+    return T.StructType(fields)
+
+
+MAX_PRUNE_PARTITIONS = 10_000
+
+
+def touched_existing(spark: SparkSession, store_path: str, new: DataFrame) -> DataFrame:
+    """Stored rows in the (channel, id block) partitions that ``new`` touches.
+
+    The touched partitions are exactly those the job will overwrite. When there are at most
+    ``MAX_PRUNE_PARTITIONS`` of them (checked with a count first) they become a partition filter,
+    so only those partitions' files are listed and read; beyond that (e.g. a first bulk load
+    touching most of the table) a semi join on the partition columns is used instead."""
+    existing = collections.read_table_or_empty(spark, store_path, stored_schema(True))
+    touched = writers.with_store_partition(new).select(writers.PART, writers.BLOCK).distinct()
+    key = F.concat_ws("/", F.col(writers.PART), F.col(writers.BLOCK).cast("string"))
+    if touched.count() <= MAX_PRUNE_PARTITIONS:
+        keys = [r[0] for r in touched.select(key).collect()]
+        pruned = existing.where(key.isin(keys)) if keys else existing.limit(0)
+    else:
+        pruned = existing.join(touched, [writers.PART, writers.BLOCK], "left_semi")
+    return pruned.drop(writers.PART, writers.BLOCK)
 
 
 def to_store_rows(typed: DataFrame) -> DataFrame:
@@ -43,14 +68,12 @@ def merge_into(existing: DataFrame, new: DataFrame) -> DataFrame:
 def combine(spark: SparkSession, raw_path: str, store_path: str, *, channels: str | list[str] = "all",
             glob: str | None = "*.json") -> tuple[DataFrame, DataFrame]:
     """Read new collection files, merge them into the stored table, replace the touched
-    channels. Returns (summary per channel, rejected files). Running it twice on the same files
+    (channel, id block) partitions. Returns (summary per channel, rejected files). Running it twice on the same files
     gives the same table (keep-latest is idempotent)."""
     raw, rejects = collections.read_collection_files(spark, raw_path, glob=glob)
     raw = collections.select_sources(raw, channels)
     new = to_store_rows(clean.loader_clean(clean.typed_messages(raw)))
-    existing = collections.read_table_or_empty(spark, store_path, stored_schema())
-    touched = new.select("channel_username").distinct()
-    existing_touched = existing.join(touched, "channel_username", "left_semi")
+    existing_touched = touched_existing(spark, store_path, new)
     combined = cut_lineage(merge_into(existing_touched, new))   # also frees the read of store_path
     summary = cut_lineage(merge.combine_summary(existing_touched, new, combined))
     writers.write_messages(combined, store_path)
@@ -127,7 +150,7 @@ def run_analysis(spark: SparkSession, store_path: str, out_path: str | None = No
 
 def run_import(spark: SparkSession, source: DataFrame, store_path: str, **kw) -> dict:
     """K5 job: import rows into the message store, skipping keys already stored."""
-    stored = collections.read_table_or_empty(spark, store_path, stored_schema())
+    stored = collections.read_table_or_empty(spark, store_path, stored_schema(True))
     return writers.import_messages(source, store_path, stored=stored, **kw)
 
 

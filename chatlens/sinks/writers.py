@@ -15,6 +15,8 @@ from chatlens.functions.expr import channel_key
 from chatlens.operators import clean, merge, validate
 
 PART = "channel"
+BLOCK = "id_block"
+BLOCK_SIZE = 100_000  # message ids per storage block (ids grow per channel, so loads touch few blocks)
 
 
 def with_partition(df: DataFrame) -> DataFrame:
@@ -22,6 +24,18 @@ def with_partition(df: DataFrame) -> DataFrame:
     return df.withColumn(PART, channel_key("channel_username"))
 
 
+def id_block(message_id="message_id", size: int = BLOCK_SIZE):
+    """Storage block of a message id; null ids share block -1."""
+    c = F.col(message_id) if isinstance(message_id, str) else message_id
+    return F.coalesce(F.floor(c / size), F.lit(-1)).cast("bigint")
+
+
+def with_store_partition(df: DataFrame) -> DataFrame:
+    """Message-store partitioning: (channel, id block). A combine replaces only the blocks its
+    new messages fall in, so a hot channel is never rewritten whole; readers still prune by channel."""
+    return with_partition(df).withColumn(BLOCK, id_block())
+
+
 def collection_manifest(df: DataFrame) -> DataFrame:
     """K1 naming and envelope metadata per channel: id range, count and the reference's file name
     ``tg_<channel>_<min>_<max>.json`` ('unknown' / 'none' when absent)."""
@@ -45,10 +59,10 @@ def export_collection(df: DataFrame, path: str, *, fmt: str = "json") -> DataFra
 
 
 def write_messages(df: DataFrame, path: str) -> None:
-    """K2: the combined message table, Parquet partitioned by channel. Only the channels present
-    in ``df`` are replaced (dynamic partition overwrite)."""
-    (with_partition(df).write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
-        .partitionBy(PART).parquet(path))
+    """K2: the combined message table, Parquet partitioned by (channel, id block). Only the
+    partitions present in ``df`` are replaced (dynamic partition overwrite)."""
+    (with_store_partition(df.drop(PART, BLOCK)).write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
+        .partitionBy(PART, BLOCK).parquet(path))
 
 
 def write_results(tables: Mapping[str, DataFrame], path: str, *, fmt: str = "json") -> None:
@@ -102,7 +116,7 @@ def import_messages(df: DataFrame, store_path: str | None, *, stored: DataFrame
     else:
         obs = Observation("import")
         out = clean.store_projection(tagged.observe(obs, *metrics).where(new))
-        with_partition(out).write.mode("append").partitionBy(PART).parquet(store_path)
+        with_store_partition(out).write.mode("append").partitionBy(PART, BLOCK).parquet(store_path)
         m = obs.get
         imported = would = m["new"]
     return {"total": m["total"], "valid": m["valid"], "invalid": m["total"] - m["valid"], "imported": imported,

@@ -43,16 +43,14 @@ def collection_stream(spark: SparkSession, raw_dir: str, *, glob: str = "*.json"
 
 def merge_batch(spark: SparkSession, store_path: str):
     """foreachBatch body: parse the new files of one micro-batch and merge them (keep-latest)
-    into the stored table, replacing only the channels they touch."""
+    into the stored table, replacing only the (channel, id block) partitions they touch."""
     from chatlens.session import cut_lineage
 
     def run(files: DataFrame, batch_id: int) -> None:
         batch = cut_lineage(parse_batch(files), "stream-batch")
         if batch.isEmpty():
             return
-        existing = collections.read_table_or_empty(spark, store_path, jobs.stored_schema())
-        touched = batch.select("channel_username").distinct()
-        merged = jobs.merge_into(existing.join(touched, "channel_username", "left_semi"), batch)
+        merged = jobs.merge_into(jobs.touched_existing(spark, store_path, batch), batch)
         writers.write_messages(cut_lineage(merged, "stream-merge"), store_path)
     return run
 
