@@ -61,7 +61,13 @@ def cut_lineage(df: DataFrame, name: str = "stage") -> DataFrame:
     """
     import uuid
     spark = df.sparkSession
-    path = scratch_path(spark, f"{name}-{uuid.uuid4().hex}")
+    try:
+        folder = checkpoint_dir(spark)
+    except Exception:  # noqa: BLE001 - no SparkContext (e.g. Spark Connect): use the conf or checkpoint()
+        folder = spark.conf.get("spark.checkpoint.dir", None)
+        if not folder:
+            return df.checkpoint(eager=True)
+    path = os.path.join(folder, "tables", f"{name}-{uuid.uuid4().hex}")
     df.write.mode("overwrite").parquet(path)
     return spark.read.parquet(path)
 
