@@ -277,3 +277,57 @@ def test_chart_fallbacks_and_report_validation(spark):
     assert v["@h"]["json_chars"] > 0
     roll = {r["level"]: r for r in report.channel_rollup(df).collect()}
     assert roll[1]["channels"] == 3 and roll[1]["total_messages"] == 3
+
+
+def _py_grams(text, n=3):
+    import re
+    norm = " " + re.sub(r"[^\w]|[\d_]", " ", text.lower())
+    norm = " " + " ".join(norm.split()) + " "
+    return [norm[i:i + n] for i in range(len(norm) - n + 1)]
+
+
+def test_ngram_model_matches_brute_force(spark):
+    import math
+    from collections import Counter
+    train = [(1, "the cat sat on the mat with the hat", "en"), (2, "a dog and a frog in the fog", "en"),
+             (3, "le chat est sur le tapis avec le chapeau", "fr"), (4, "un chien et une grenouille", "fr"),
+             (5, "der hund und die katze im haus", "de")]
+    test = [(10, "the frog and the cat"), (11, "le chien et le chat"), (12, "die katze"), (13, "12 !!")]
+    docs = spark.createDataFrame(train, "doc_id long, text string, lang string")
+    model = language.NgramModel.train(docs)
+    got = {r["message_id"]: (r["language"], r["confidence"]) for r in
+           model.predict(spark.createDataFrame(test, "message_id long, text string")).collect()}
+    counts = {}
+    for _, t, lang in train:
+        counts.setdefault(lang, Counter()).update(_py_grams(t))
+    vocab = {g for c in counts.values() for g in c}
+    priors = Counter(lang for _, _, lang in train)
+    for mid, text in test:
+        grams = _py_grams(text)
+        if len(" ".join(text.lower().split())) < 3 or not any(ch.isalpha() for ch in text):
+            assert got[mid] == ("unknown", 0.0)
+            continue
+        scores = {}
+        for lang, c in counts.items():
+            denom = sum(c.values()) + len(vocab)
+            scores[lang] = math.log(priors[lang] / len(train)) + sum(math.log((c[g] + 1) / denom) for g in grams)
+        best = max(scores, key=lambda k: (scores[k], k))
+        z = sum(math.exp(s - scores[best]) for s in scores.values())
+        assert got[mid][0] == best
+        assert got[mid][1] == pytest.approx(1 / z, rel=1e-9)
+
+
+def test_report_json_matches_components(spark):
+    import json
+    from chatlens.sources.view import messages
+    df = messages(spark, "/root/testdata/sf0.001")
+    rep = {r["channel_username"]: json.loads(r["report_json"]) for r in report.report(df).collect()}
+    cs = {r["channel_username"]: r for r in content.content_stats(df).collect()}
+    tops = {}
+    for r in content.top_tokens(df, "hashtag", 10).collect():
+        tops.setdefault(r["channel_username"], []).append((r["rank"], r["hashtag"], r["count"]))
+    assert set(rep) == set(cs)
+    for ch, body in rep.items():
+        assert body["content_statistics"]["total_messages"] == cs[ch]["total_messages"]
+        assert body["content_statistics"]["text_length_median"] == cs[ch]["text_length_median"]
+        assert [(h["rank"], h["hashtag"], h["count"]) for h in body["hashtags"]] == sorted(tops.get(ch, []))
