@@ -81,7 +81,7 @@ def content_stats(df: DataFrame, *, by: Sequence[str] = BY) -> DataFrame:
     across partial aggregates), so memory is bounded by the length domain, not by rows.
     """
     has_text = non_blank("text")
-    tlen = F.when(has_text, F.length("text"))
+    tlen = F.when(has_text, F.length("text").cast("bigint"))
     return df.groupBy(*by).agg(
         F.count(F.lit(1)).alias("total_messages"),
         F.count_if(has_text).alias("messages_with_text"),
@@ -100,7 +100,7 @@ def basic_metrics(df: DataFrame, *, by: Sequence[str] = BY) -> DataFrame:
     length statistics over the raw text of text messages, unrounded."""
     has_text = F.coalesce(F.trim("text") != "", F.lit(False))
     has_media = F.coalesce(non_blank("file_name"), F.lit(False)) | F.coalesce(F.col("file_size") > 0, F.lit(False))
-    tlen = F.when(has_text, F.length("text"))
+    tlen = F.when(has_text, F.length("text").cast("bigint"))
     return df.groupBy(*by).agg(
         F.count(F.lit(1)).alias("total_messages"),
         F.count_if(has_text).alias("text_messages"),
@@ -118,7 +118,7 @@ def text_size_audit(df: DataFrame, *, by: Sequence[str] = BY, text_long: int = 1
     """Presence and size of text and caption fields."""
     out = []
     for c, long_, huge in (("text", text_long, text_huge), ("caption", caption_long, caption_huge)):
-        ln = F.when(F.col(c).isNotNull(), F.length(c))
+        ln = F.when(F.col(c).isNotNull(), F.length(c).cast("bigint"))
         out += [
             F.count_if(F.col(c).isNotNull()).alias(f"{c}_present"),
             F.count_if(F.col(c).isNull()).alias(f"{c}_missing"),
@@ -178,7 +178,7 @@ def common_words(df: DataFrame, k: int = 10, *, by: Sequence[str] = BY, min_len:
 def caption_stats(df: DataFrame, *, by: Sequence[str] = BY) -> DataFrame:
     """Caption presence and length statistics."""
     has = non_blank("caption")
-    ln = F.when(has, F.length("caption"))
+    ln = F.when(has, F.length("caption").cast("bigint"))
     return df.groupBy(*by).agg(
         F.count_if(has).alias("messages_with_caption"),
         round_half_even(F.count_if(has) * 100.0 / F.count(F.lit(1)), 2).alias("caption_percentage"),

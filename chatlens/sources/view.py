@@ -50,8 +50,9 @@ LEFT JOIN pages p ON p.page_id = d.doc_id % 50
 
 
 def _null_safe_count_if(sql: str) -> str:
-    """DuckDB's count_if returns NULL when every input is NULL; Spark's returns 0. Rewrite each
-    ``count_if(p)`` to ``count_if(coalesce(p, false))`` (matching parentheses)."""
+    """DuckDB's count_if returns NULL when every input is NULL and a HUGEINT otherwise; Spark's
+    returns a BIGINT 0. Rewrite each ``count_if(p)`` to ``CAST(count_if(coalesce(p, false)) AS
+    BIGINT)`` (matching parentheses)."""
     out, i, token = [], 0, "count_if("
     while True:
         j = sql.find(token, i)
@@ -63,7 +64,7 @@ def _null_safe_count_if(sql: str) -> str:
             depth += {"(": 1, ")": -1}.get(sql[k], 0)
             k += 1
         inner = _null_safe_count_if(sql[j + len(token):k - 1])
-        out.append(sql[i:j] + f"count_if(coalesce({inner}, false))")
+        out.append(sql[i:j] + f"CAST(count_if(coalesce({inner}, false)) AS BIGINT)")
         i = k
 
 
