@@ -331,3 +331,35 @@ def test_report_json_matches_components(spark):
         assert body["content_statistics"]["total_messages"] == cs[ch]["total_messages"]
         assert body["content_statistics"]["text_length_median"] == cs[ch]["text_length_median"]
         assert [(h["rank"], h["hashtag"], h["count"]) for h in body["hashtags"]] == sorted(tops.get(ch, []))
+
+
+def test_ten_thousand_row_design_case(spark):
+    """The design documents' scale case: 10,000 rows, 100 file names, 1,000 sizes; totals pinned."""
+    import time
+    from chatlens.sources.collections import canonical
+    df = canonical(spark.range(10000).select(
+        F.col("id").alias("message_id"), F.lit(CH).alias("channel_username"),
+        F.concat(F.lit("file_"), (F.col("id") % 100).cast("string"), F.lit(".pdf")).alias("file_name"),
+        (F.lit(1000) + (F.col("id") % 1000) * 1000).alias("file_size"),
+        F.concat(F.lit("Message "), F.col("id").cast("string"), F.lit(" #test")).alias("text")))
+    t0 = time.time()
+    a = files.filename_duplicates(df).first()
+    b = files.filesize_duplicates(df).first()
+    c = content.content_stats(df).first()
+    h = content.token_totals(df, "hashtag").first()
+    assert a["total_files"] == 10000 and a["total_unique_filenames"] == 100 and a["files_with_duplicate_names"] == 10000
+    assert b["total_files"] == 10000 and b["total_unique_filesizes"] == 1000
+    assert c["total_messages"] == 10000 and h["total_hashtags"] == 10000 and h["total_unique_hashtags"] == 1
+    assert time.time() - t0 < 60  # the design's limit is 10 s for the three analyzers on one machine
+
+
+def test_store_values(spark):
+    from chatlens.operators.clean import store_values
+    df = msgs(spark, [{"message_id": 1, "channel_username": CH, "date": dt.datetime(2024, 1, 1, 10, 0, 0),
+                       "is_forwarded": True, "media_type": "nan", "views": 5},
+                      {"message_id": 2, "channel_username": CH, "date": dt.datetime(2024, 1, 1, 10, 0, 0, 250000),
+                       "is_forwarded": False}])
+    got = {r["message_id"]: r for r in store_values(df).collect()}
+    assert got[1]["date"] == "2024-01-01T10:00:00" and got[2]["date"] == "2024-01-01T10:00:00.250000"
+    assert got[1]["is_forwarded"] == "true" and got[2]["is_forwarded"] == "false"
+    assert got[1]["media_type"] is None and got[1]["views"] == 5
