@@ -795,3 +795,16 @@ SELECT *, CAST(rank() OVER (ORDER BY messages DESC) AS BIGINT) AS rank_messages,
   CAST(rank() OVER (ORDER BY views DESC) AS BIGINT) AS rank_views, CAST(rank() OVER (ORDER BY files DESC) AS BIGINT) AS rank_files
 FROM (SELECT channel_username, count(*) AS messages, CAST(coalesce(sum(views), 0) AS BIGINT) AS views,
         count_if(file_size > 0) AS files FROM messages GROUP BY ALL) p""")(lambda s, sf: report.channel_comparison(msgs(s, sf)))
+
+# ================================================================ K1 manifest, U6 distinct channels
+from chatlens.sinks import writers as _writers  # noqa: E402
+
+register("collection_manifest", """
+SELECT channel, min_id, max_id, total_messages,
+  'tg_' || coalesce(channel, 'unknown') || '_' || coalesce(CAST(min_id AS VARCHAR), 'none') || '_' ||
+  coalesce(CAST(max_id AS VARCHAR), 'none') || '.json' AS file_name
+FROM (SELECT regexp_replace(channel_username, '^@', '') AS channel, min(message_id) AS min_id, max(message_id) AS max_id,
+        count(*) AS total_messages FROM messages GROUP BY ALL) x""")(
+    lambda s, sf: _writers.collection_manifest(msgs(s, sf)))
+register("distinct_channels", "SELECT DISTINCT regexp_replace(channel_username, '^@', '') AS channel FROM messages")(
+    lambda s, sf: msgs(s, sf).select(F.regexp_replace("channel_username", "^@", "").alias("channel")).distinct())
