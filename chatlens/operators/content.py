@@ -30,7 +30,10 @@ def scan_text(kind: str) -> Column:
     are collapsed first (exact, see patterns.EMOJI_FREE_ASCII_RUN): the supplementary-plane
     emoji classes are the costliest per character, and most text is ASCII."""
     if kind == "emoji":
-        return F.regexp_replace(F.col("text"), P.EMOJI_FREE_ASCII_RUN, " ")
+        t = F.col("text")
+        # pure-ASCII text (bytes == characters) holds no emoji: skip its regex work entirely
+        return F.when(F.octet_length(t) == F.length(t), F.lit("")).otherwise(
+            F.regexp_replace(t, P.EMOJI_FREE_ASCII_RUN, " "))
     return F.col("text")
 
 

@@ -73,7 +73,8 @@ def charfreq(df: DataFrame, text: str = "text") -> DataFrame:
         for m in (m for m in markers if len(m) > 1):
             s = s + ((F.length(F.col("_low")) - F.length(F.replace(F.col("_low"), F.lit(m), F.lit("")))) / len(m)).cast("bigint")
         score_cols.append(s)
-    staged = (df.withColumn("_na", F.regexp_replace(t, r"[\x00-\x7F]+", ""))
+    ascii_only = F.octet_length(t) == F.length(t)   # bytes == characters: no non-ASCII marker
+    staged = (df.withColumn("_na", F.when(ascii_only, F.lit("")).otherwise(F.regexp_replace(t, r"[\x00-\x7F]+", "")))
                 .withColumn("_low", F.lower(t)).withColumn("_hits", hits)
                 .withColumn("_scores", F.array(*score_cols))
                 .withColumn("_non_ascii", F.length(F.col("_na")))
