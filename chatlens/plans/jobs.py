@@ -75,7 +75,11 @@ def combine(spark: SparkSession, raw_path: str, store_path: str, *, channels: st
     new = to_store_rows(clean.loader_clean(clean.typed_messages(raw)))
     existing_touched = touched_existing(spark, store_path, new)
     combined = cut_lineage(merge_into(existing_touched, new))   # also frees the read of store_path
-    summary = cut_lineage(merge.combine_summary(existing_touched, new, combined))
+    # U4 lineage of this load: source files and their [min, max] id ranges per channel (one entry
+    # per file), the overall range and the combine time, next to the U5 counts.
+    lineage = merge.lineage(merge.id_ranges(new)).withColumn("combined_at", F.current_timestamp())
+    summary = cut_lineage(merge.combine_summary(existing_touched, new, combined)
+                          .join(lineage, "channel_username", "left"))
     writers.write_messages(combined, store_path)
     rejects = rejects.unionByName(collections.empty_files(spark, raw_path, glob=glob))
     return summary, rejects

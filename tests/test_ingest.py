@@ -117,6 +117,8 @@ def test_combine_is_cumulative_and_idempotent(spark, tmp_dir):
     assert rows(t, "message_id", "views") == [(1, 10), (2, 20), (3, 999), (4, 40)]
     r = s2.first()
     assert r["status"] == "updated" and r["new_messages_added"] == 1
+    assert [list(x) for x in r["message_id_ranges"]] == [[1, 3], [3, 4]] and r["overall_range"] == "1-4"
+    assert len(r["source_files"]) == 2 and r["combined_at"] is not None
     jobs.combine(spark, raw, store)                      # same files again: same table
     assert rows(spark.read.parquet(store), "message_id", "views") == [(1, 10), (2, 20), (3, 999), (4, 40)]
 
