@@ -363,3 +363,29 @@ def test_store_values(spark):
     assert got[1]["date"] == "2024-01-01T10:00:00" and got[2]["date"] == "2024-01-01T10:00:00.250000"
     assert got[1]["is_forwarded"] == "true" and got[2]["is_forwarded"] == "false"
     assert got[1]["media_type"] is None and got[1]["views"] == 5
+
+
+def _plan(df):
+    import contextlib
+    import io
+    buf = io.StringIO()
+    with contextlib.redirect_stdout(buf):
+        df.explain()
+    return buf.getvalue()
+
+
+def test_skew_safe_plans(spark):
+    """A channel holding a third of the rows: every skew-sensitive operator pre-aggregates (or
+    pre-limits) inside each task before its shuffle, and results equal the unskewed computation."""
+    df = msgs(spark, [{"message_id": i % 50 if i % 3 == 0 else i, "channel_username": "@hot" if i % 3 == 0 else f"@c{i % 7}",
+                       "text": f"#t{i % 4} msg", "file_size": 1000 + i % 5} for i in range(600)])
+    top = content.top_tokens(df, "hashtag", 2)
+    p = _plan(top)
+    assert "partial_count" in p and "WindowGroupLimit" in p and "Partial" in p
+    k = merge.keep_latest(df, ["message_id"])
+    assert "partial_max_by" in _plan(k)
+    q = _plan(files.size_percentiles(df))
+    assert "partial_count" in q and "partial_sum" in q
+    hot = {r["hashtag"]: r["count"] for r in top.where("channel_username = '@hot'").collect()}
+    assert hot == {"#t0": 50, "#t1": 50}
+    assert k.where("channel_username = '@hot'").count() == 50
