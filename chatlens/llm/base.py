@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import os
 from collections.abc import Iterator
+from pathlib import Path
 
 import numpy as np
 import pyarrow as pa
@@ -16,7 +18,16 @@ SLICE_BYTES = 4 << 20  # text handled at once inside a task; a longer single tex
 ID_BITS = 1 << 20  # slots of the id bitmap, 128 KB whatever the input
 
 
+def share_library(spark: SparkSession) -> None:
+    """Let Python workers import this library from where the driver has it; a cluster without that path ships it with --py-files."""
+    root = str(Path(__file__).resolve().parents[2])
+    env = spark.sparkContext.environment
+    if root not in env.get("PYTHONPATH", "").split(os.pathsep):
+        env["PYTHONPATH"] = os.pathsep.join(filter(None, [env.get("PYTHONPATH"), root]))
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    share_library(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 import corpus_pipeline
-from chatlens.llm import decontaminate, jaccard, langid, packing, quality, url_filter
+from chatlens.llm import decontaminate, jaccard, langid, licenses, packing, quality, url_filter, warc
 from chatlens.llm.base import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -21,6 +21,11 @@ def query(fn: Callable[[SparkSession, str], DataFrame]):
     return fn
 
 
+@query
+def op1_license_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.document_licenses(table(spark, sf_dir, "documents"))
+
+
 @query
 def op3_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
@@ -31,6 +36,12 @@ def op4_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.score_documents(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+@query
+def op6_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    index = warc.archive_and_index(table(spark, sf_dir, "pages"))
+    return index.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
 @query
 def op7_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"))
@@ -111,3 +122,40 @@ equal_sets AS (SELECT doc_id, min(doc_id) OVER (PARTITION BY f) AS class_id FROM
 SELECT DISTINCT s.doc_id, coalesce(z.n, 0) AS n_shingles, w.component_id, coalesce(e.class_id, s.doc_id) AS class_id
 FROM split s LEFT JOIN sizes z ON z.doc_id = s.doc_id JOIN whole w ON w.d = s.doc_id LEFT JOIN equal_sets e ON e.doc_id = s.doc_id
 """
+
+QUOTED = ", ".join("(" + ", ".join("'" + x.replace("'", "''") + "'" for x in t) + ")" for t in licenses.TEMPLATES)
+ORACLE["op1_license_scans"] = rf"""
+WITH lower_text AS (
+  SELECT row_number() OVER () AS r, doc_id, translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS t FROM documents),
+pieces AS (
+  SELECT r, unnest(string_split(t, chr(10))) AS p FROM lower_text
+  UNION ALL SELECT r, unnest(string_split_regex(t, '\n[\x00-\x2F\x3A-\x60\x7B-\x7F]*\n')) FROM lower_text
+  UNION ALL SELECT r, t FROM lower_text),
+words AS (SELECT r, row_number() OVER () AS k, regexp_extract_all(p, '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM (SELECT DISTINCT r, p FROM pieces)),
+grams AS (SELECT DISTINCT r, k, array_to_string(w[i:i + 1], ' ') AS g FROM (SELECT r, k, w, unnest(range(1, greatest(len(w) - 1, 1) + 1)) AS i FROM words WHERE len(w) > 0)),
+templates AS (
+  SELECT name, row_number() OVER () AS q, regexp_extract_all(translate(body, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w
+  FROM (VALUES {QUOTED}) AS v(name, body)),
+template_grams AS (SELECT DISTINCT name, q, array_to_string(w[i:i + 1], ' ') AS g FROM (SELECT name, q, w, unnest(range(1, greatest(len(w) - 1, 1) + 1)) AS i FROM templates)),
+piece_sizes AS (SELECT k, count(*) AS n FROM grams GROUP BY k),
+template_sizes AS (SELECT q, count(*) AS n FROM template_grams GROUP BY q),
+fits AS (
+  SELECT c.r, c.name, 2.0::DOUBLE * c.n / (x.n + y.n) AS dice
+  FROM (SELECT a.r, a.k, b.q, b.name, count(*) AS n FROM grams a JOIN template_grams b ON a.g = b.g GROUP BY a.r, a.k, b.q, b.name) c
+  JOIN piece_sizes x ON x.k = c.k JOIN template_sizes y ON y.q = c.q WHERE 2.0::DOUBLE * c.n / (x.n + y.n) >= {licenses.THRESHOLD}::DOUBLE),
+best AS (SELECT r, name, max(dice) AS dice, row_number() OVER (PARTITION BY r ORDER BY max(dice) DESC, name) AS k FROM fits GROUP BY r, name)
+SELECT doc_id, count(name) AS n_licenses, min(name) FILTER (k = 1) AS license, min(dice) FILTER (k = 1) AS dice,
+  coalesce(string_agg(name, ',' ORDER BY name), '') AS licenses
+FROM lower_text LEFT JOIN best USING (r) GROUP BY r, doc_id
+"""
+
+ORACLE["op6_warc"] = """
+WITH p AS (
+  SELECT page_id, strlen(coalesce(html, '')) AS payload_bytes, sha1(coalesce(html, '')) AS h FROM pages),
+f AS (SELECT *, min(page_id) OVER (PARTITION BY h) AS one FROM p)
+SELECT page_id, payload_bytes,
+  array_to_string(list_transform(range(32), lambda i: substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567',
+    CAST(((CAST('0x' || substr(h, CAST(5 * (i // 4) + 1 AS BIGINT), 5) AS BIGINT) >> CAST(15 - 5 * (i % 4) AS BIGINT)) & 31) + 1 AS BIGINT), 1)), '') AS payload_digest,
+  CASE WHEN page_id = one THEN 'response' ELSE 'revisit' END AS record_type, CASE WHEN page_id <> one THEN one END AS refers_to
+FROM f
+"""
