@@ -24,6 +24,7 @@ def share_library(spark: SparkSession) -> None:
     env = spark.sparkContext.environment
     if root not in env.get("PYTHONPATH", "").split(os.pathsep):
         env["PYTHONPATH"] = os.pathsep.join(filter(None, [env.get("PYTHONPATH"), root]))
+    env.setdefault("OMP_NUM_THREADS", "1")  # Spark has a Python worker for every core already
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
