@@ -7,9 +7,9 @@ Jaccard similarity of 3/4 or more, then under *every* global order of the tokens
 1. Equal sets form a class; everything later runs on classes, named by their hash.
 2. Order A puts tokens by how full their counting slot is over the whole corpus (rare first), then by hash. Classes
    that share a prefix token under A meet after one shuffle by token, in sorted runs.
-3. Orders B and C are two other hash orders. A pair stays a candidate only if the prefixes under B and
-   under C share tokens too, and the sizes allow the threshold.
-4. The sets of the remaining pairs are intersected exactly.
+3. Orders B and C are two other hash orders. A pair stays a candidate only if the sizes allow the threshold and the
+   prefixes under B, and then under C, share tokens too.
+4. The sets of the remaining pairs are intersected exactly; sets are only built and moved for pairs that B has left.
 
 Groups of copies never become all pairs. Each token's classes are first compared with the token's smallest
 class (its leader); links found are contracted to components; only tokens whose classes still
@@ -72,7 +72,7 @@ def prefix(s: np.ndarray, order: np.ndarray) -> np.ndarray:
 
 
 def shingle_classes(docs: DataFrame) -> tuple[DataFrame, np.ndarray]:
-    """Rows (doc_id, class, n) and the occurrences in each counting slot, in one scan of the texts."""
+    """Rows (doc_id, class, n, b: prefix under order B) and the occurrences in each counting slot, in one scan of the texts."""
     kind = docs.schema["doc_id"].dataType.simpleString()
 
     def scan(batches):
@@ -82,16 +82,16 @@ def shingle_classes(docs: DataFrame) -> tuple[DataFrame, np.ndarray]:
             slots += np.bincount((np.concatenate(sets) >> np.uint64(46)).astype(np.int64), minlength=SLOTS)
             yield pa.RecordBatch.from_arrays(
                 [b.column("doc_id"), pa.array([set_hash(s) for s in sets], pa.int64()), pa.array([len(s) for s in sets], pa.int64()),
-                 pa.nulls(len(sets), pa.int32()), pa.nulls(len(sets), pa.list_(pa.int64()))], names)
+                 pa.array([low_words(s, ORDER_B) for s in sets], pa.list_(pa.int32())), pa.nulls(len(sets), pa.int32()), pa.nulls(len(sets), pa.list_(pa.int64()))], names)
         wide = slots.reshape(-1, 256)
-        yield pa.RecordBatch.from_arrays([pa.nulls(len(wide), pa_kind), pa.nulls(len(wide), pa.int64()), pa.nulls(len(wide), pa.int64()),
+        yield pa.RecordBatch.from_arrays([pa.nulls(len(wide), pa_kind), pa.nulls(len(wide), pa.int64()), pa.nulls(len(wide), pa.int64()), pa.nulls(len(wide), pa.list_(pa.int32())),
                                           pa.array(np.arange(len(wide), dtype=np.int32)), pa.array(list(wide), pa.list_(pa.int64()))], names)
 
     from pyspark.sql.pandas.types import to_arrow_type
     pa_kind = to_arrow_type(docs.schema["doc_id"].dataType)
-    names = ["doc_id", "class", "n", "block", "slots"]
+    names = ["doc_id", "class", "n", "b", "block", "slots"]
     both = checkpoint(docs.select("doc_id", F.col("text").cast("string").alias("text"))
-                      .mapInArrow(scan, f"doc_id {kind}, class long, n long, block int, slots array<long>"), "jaccard-classes")
+                      .mapInArrow(scan, f"doc_id {kind}, class long, n long, b array<int>, block int, slots array<long>"), "jaccard-classes")
 
     def add(batches):
         sums: dict[int, np.ndarray] = {}
@@ -105,7 +105,7 @@ def shingle_classes(docs: DataFrame) -> tuple[DataFrame, np.ndarray]:
     blocks = both.where("block is not null").select("block", "slots").mapInArrow(add, "block int, slots array<long>")
     for r in blocks.repartition(64, "block").mapInArrow(add, "block int, slots array<long>").toLocalIterator():
         counts[r.block] += np.array(r.slots)
-    return both.where("block is null").select("doc_id", "class", "n"), counts.ravel()
+    return both.where("block is null").select("doc_id", "class", "n", "b"), counts.ravel()
 
 
 def shared_tokens(docs: DataFrame, slots: np.ndarray) -> DataFrame:
@@ -185,47 +185,59 @@ def shared_tokens(docs: DataFrame, slots: np.ndarray) -> DataFrame:
     return checkpoint(met, "jaccard-tokens")
 
 
+def low_words(s: np.ndarray, order: np.uint64) -> np.ndarray:
+    """Prefix of a set under a hash order, as 32-bit words (equal tokens give equal words, so no shared token is missed)."""
+    return (mix(prefix(s, mix(s ^ order))) & np.uint64(0xFFFFFFFF)).astype(np.uint32).view(np.int32)
+
+
 def _size_fits(a: str, b: str):
     return (F.col(a) * DENOMINATOR >= F.col(b) * NUMERATOR) & (F.col(b) * DENOMINATOR >= F.col(a) * NUMERATOR)
 
 
 def class_sets(docs: DataFrame, needed: DataFrame) -> DataFrame:
-    """Rows (class, n, tokens, b, c): the sets of the needed classes and their prefixes under orders B and C.
+    """Rows (class, n, tokens, c): the sets of the needed classes and their prefixes under order C.
 
     ``needed`` has doc_id, class, n (one document per class). A bitmap lets other documents pass unread.
     """
     maybe = maybe_in(docs.sparkSession, id_bitmap(needed, "doc_id"), "doc_id")
 
     def build(batches):
-        words = Hashes()
+        words, seen = Hashes(), set()
         for _, texts in text_slices(batches, "text"):
-            sets = [shingle_set(t, words) for t in texts]
-            sets = [s for s in sets if len(s)]
+            sets = {}
+            for t in texts:
+                s = shingle_set(t, words)
+                key = (set_hash(s), len(s)) if len(s) else None
+                if key and key not in seen:
+                    seen.add(key)
+                    sets[key] = s
             if sets:
-                low = lambda s, order: (mix(prefix(s, mix(s ^ order))) & np.uint64(0xFFFFFFFF)).astype(np.uint32).view(np.int32)
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array([set_hash(s) for s in sets], pa.int64()), pa.array([len(s) for s in sets], pa.int32()),
-                     pa.array([s.view(np.int64) for s in sets], pa.list_(pa.int64())),
-                     pa.array([low(s, ORDER_B) for s in sets], pa.list_(pa.int32())), pa.array([low(s, ORDER_C) for s in sets], pa.list_(pa.int32()))],
-                    ["class", "n", "tokens", "b", "c"])
+                    [pa.array([k[0] for k in sets], pa.int64()), pa.array([k[1] for k in sets], pa.int32()),
+                     pa.array([s.view(np.int64) for s in sets.values()], pa.list_(pa.int64())),
+                     pa.array([low_words(s, ORDER_C) for s in sets.values()], pa.list_(pa.int32()))], ["class", "n", "tokens", "c"])
 
-    sets = docs.where(maybe).select(F.col("text").cast("string").alias("text")).mapInArrow(build, "class long, n int, tokens array<long>, b array<int>, c array<int>")
+    sets = docs.where(maybe).select(F.col("text").cast("string").alias("text")).mapInArrow(build, "class long, n int, tokens array<long>, c array<int>")
     wanted = needed.select("class", F.col("n").cast("int").alias("n"))
     return checkpoint(sets.join(wanted, ["class", "n"], "left_semi").dropDuplicates(["class", "n"]), "jaccard-sets")
 
 
-def verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
-    """Pairs (x, x_n, y, y_n) whose prefixes meet under B and C and whose sets reach the threshold."""
-    def side(k: str, *columns: str) -> DataFrame:
-        return sets.select(F.col("class").alias(k), F.col("n").alias(f"{k}_n"), *[F.col(c).alias(f"{k}_{c}") for c in columns])
+def verified(pairs: DataFrame, prefixes: DataFrame, docs: DataFrame, named: DataFrame) -> DataFrame:
+    """Pairs (x, x_n, y, y_n) whose prefixes meet under B and under C and whose sets reach the threshold.
+
+    Sets are only built and moved for classes of pairs that order B has left.
+    """
+    def side(rows: DataFrame, k: str, *columns: str) -> DataFrame:
+        return rows.select(F.col("class").alias(k), F.col("n").alias(f"{k}_n"), *[F.col(c).alias(f"{k}_{c}") for c in columns])
 
     key_x, key_y = ["x", "x_n"], ["y", "y_n"]
-    near = (pairs.join(side("x", "b", "c"), key_x).join(side("y", "b", "c"), key_y)
-            .where(F.arrays_overlap("x_b", "y_b") & F.arrays_overlap("x_c", "y_c")).select(*key_x, *key_y))
-    near = checkpoint(near, "jaccard-near")
-    both = F.size(F.array_intersect("x_tokens", "y_tokens"))
-    return (near.join(side("x", "tokens"), key_x).join(side("y", "tokens"), key_y)
-            .where(both * (DENOMINATOR + NUMERATOR) >= (F.col("x_n") + F.col("y_n")) * NUMERATOR).select("x", "x_n", "y", "y_n"))
+    near = checkpoint(pairs.join(side(prefixes, "x", "b"), key_x).join(side(prefixes, "y", "b"), key_y)
+                      .where(F.arrays_overlap("x_b", "y_b")).select(*key_x, *key_y), "jaccard-near")
+    both_sides = near.select(F.col("x").alias("class"), F.col("x_n").alias("n")).unionByName(near.select(F.col("y").alias("class"), F.col("y_n").alias("n")))
+    sets = class_sets(docs, checkpoint(both_sides.distinct().join(named, ["class", "n"]).select("doc_id", "class", "n"), "jaccard-needed"))
+    common = F.size(F.array_intersect("x_tokens", "y_tokens"))
+    return (near.join(side(sets, "x", "tokens", "c"), key_x).join(side(sets, "y", "tokens", "c"), key_y).where(F.arrays_overlap("x_c", "y_c"))
+            .where(common * (DENOMINATOR + NUMERATOR) >= (F.col("x_n") + F.col("y_n")) * NUMERATOR).select(*key_x, *key_y))
 
 
 def similar_documents(docs: DataFrame) -> DataFrame:
@@ -237,7 +249,8 @@ def similar_documents(docs: DataFrame) -> DataFrame:
     named = (tokens.select("class", "n").unionByName(tokens.select(F.col("leader").alias("class"), F.col("leader_n").alias("n"))).distinct()
              .join(members, ["class", "n"]).select(F.col("rep").alias("doc_id"), "class", "n"))
     named = checkpoint(named, "jaccard-named")
-    sets = class_sets(docs, named)
+    prefixes = classes.join(named.select("doc_id", "class", "n"), ["doc_id", "class", "n"], "left_semi")
+    prefixes = checkpoint(prefixes.dropDuplicates(["class", "n"]).select("class", F.col("n").cast("int").alias("n"), "b"), "jaccard-prefixes")
 
     # every class with its run's leader, and leaders of salted runs with the smallest of their token
     first = tokens.select(F.col("class").alias("x"), F.col("n").alias("x_n"), F.col("leader").alias("y"), F.col("leader_n").alias("y_n"))
@@ -245,7 +258,8 @@ def similar_documents(docs: DataFrame) -> DataFrame:
     top = leaders.groupBy("token").agg(F.min(F.struct("leader_n", "leader")).alias("top"))
     second = leaders.join(top, "token").select(F.col("leader").alias("x"), F.col("leader_n").alias("x_n"), F.col("top.leader").alias("y"), F.col("top.leader_n").alias("y_n"))
     star = first.unionByName(second).where(_size_fits("x_n", "y_n") & ((F.col("x") != F.col("y")) | (F.col("x_n") != F.col("y_n")))).distinct()
-    links = checkpoint(verified(star, sets), "jaccard-links")
+    star = checkpoint(star, "jaccard-star")
+    links = checkpoint(verified(star, prefixes, docs, named), "jaccard-links")
 
     reps = named.select("class", F.col("n").cast("int").alias("n"), F.col("doc_id").alias("rep"))
 
@@ -265,8 +279,8 @@ def similar_documents(docs: DataFrame) -> DataFrame:
     x = open_.select("token", F.col("class").alias("x"), F.col("n").alias("x_n"), F.col("part").alias("x_part"))
     y = open_.select("token", F.col("class").alias("y"), F.col("n").alias("y_n"), F.col("part").alias("y_part"))
     across = x.join(y, "token").where((F.col("x_part") < F.col("y_part")) & _size_fits("x_n", "y_n")).select("x", "x_n", "y", "y_n").distinct()
-    more = as_edges(checkpoint(verified(across.join(star, ["x", "x_n", "y", "y_n"], "left_anti"), sets), "jaccard-links"))
-    rows = checkpoint(classes.distinct().join(members, ["class", "n"], "left"), "jaccard-rows")
+    more = as_edges(checkpoint(verified(across.join(star, ["x", "x_n", "y", "y_n"], "left_anti"), prefixes, docs, named), "jaccard-links"))
+    rows = checkpoint(classes.select("doc_id", "class", "n").distinct().join(members, ["class", "n"], "left"), "jaccard-rows")
     repeated = rows.groupBy("doc_id").agg(F.min("rep").alias("v"), F.max("rep").alias("w")).where("v != w").select("doc_id", "v")
     same_id = rows.join(repeated, "doc_id").select(F.col("rep").alias("u"), "v").where("u is not null")
     whole = components(near.select(F.col("node").alias("u"), F.col("component").alias("v")).unionByName(more).unionByName(same_id))
