@@ -11,11 +11,11 @@ Jaccard similarity of 3/4 or more, then under *every* global order of the tokens
    prefixes under B, and then under C, share tokens too.
 4. The sets of the remaining pairs are intersected exactly; sets are only built and moved for pairs that B has left.
 
-Groups of copies never become all pairs. Each token's classes are first compared with the token's smallest
-class (its leader); links found are contracted to components; only tokens whose classes still
+Groups of copies never become all pairs. Each token's classes are first compared with the token's
+leader (the first class in one of a few hash orders); links found are contracted to components; only tokens whose classes still
 lie in several components give further pairs, and only across components. No link that
 joins two components can be missed, so components are exact. Tokens with very full slots
-are salted: each salt has a leader, and those are compared with the smallest of them.
+are salted: each salt has a leader, and all are compared with one leader of the token too.
 
 Defined cases: texts with fewer than five words have the whole sequence as one shingle; null texts and texts
 without words have an empty set and link with nothing. Rows of one doc_id with the same set
@@ -36,6 +36,7 @@ from chatlens.llm.components import components
 
 WORDS = 5
 NUMERATOR, DENOMINATOR = 3, 4  # threshold 3/4
+LEADERS = 4  # hash orders that pick a token's leader
 SLOTS = 1 << 18  # counting slots of order A, 1 MB
 HOT = 1000  # occurrences above the mean slot from which a token is salted, one salt for each so many
 WEIGHTS = np.array([0x9E3779B97F4A7C15, 0xBF58476D1CE4E5B9, 0x94D049BB133111EB, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F], np.uint64)
@@ -108,6 +109,11 @@ def shingle_classes(docs: DataFrame) -> tuple[DataFrame, np.ndarray]:
     return both.where("block is null").select("doc_id", "class", "n", "b"), counts.ravel()
 
 
+def _leader_order(column: str):
+    """One of ``LEADERS`` hash orders of classes, by token: a group of near copies so meets several leaders, not one odd text."""
+    return F.xxhash64(column, F.pmod("token", F.lit(LEADERS)))
+
+
 def shared_tokens(docs: DataFrame, slots: np.ndarray) -> DataFrame:
     """Rows (token, class, n, leader, leader_n, top) for prefix tokens under order A that several classes have."""
     spark = docs.sparkSession
@@ -143,7 +149,7 @@ def shared_tokens(docs: DataFrame, slots: np.ndarray) -> DataFrame:
                                                  ["token", "salt", "class", "n"])
 
     def runs(batches):
-        """Rows sorted by (token, salt, n, class): keep runs of several classes and all salted ones, with the run's first class.
+        """Rows sorted by (token, salt, leader order): keep runs of several classes and all salted ones, with the run's first class.
 
         Of a run that may go on in the next batch, only its first and last row are held.
         """
@@ -180,7 +186,7 @@ def shared_tokens(docs: DataFrame, slots: np.ndarray) -> DataFrame:
 
     postings = docs.select(F.col("text").cast("string").alias("text")).mapInArrow(emit, "token long, salt int, class long, n int")
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    met = (postings.repartition(parts, "token", "salt").sortWithinPartitions("token", "salt", "n", "class")
+    met = (postings.repartition(parts, "token", "salt").sortWithinPartitions("token", "salt", _leader_order("class"), "n", "class")
            .mapInArrow(runs, "token long, salt int, class long, n int, leader long, leader_n int"))
     return checkpoint(met, "jaccard-tokens")
 
@@ -252,11 +258,11 @@ def similar_documents(docs: DataFrame) -> DataFrame:
     prefixes = classes.join(named.select("doc_id", "class", "n"), ["doc_id", "class", "n"], "left_semi")
     prefixes = checkpoint(prefixes.dropDuplicates(["class", "n"]).select("class", F.col("n").cast("int").alias("n"), "b"), "jaccard-prefixes")
 
-    # every class with its run's leader, and leaders of salted runs with the smallest of their token
+    # every class with its run's leader, and those of salted tokens also with one leader of the token
     first = tokens.select(F.col("class").alias("x"), F.col("n").alias("x_n"), F.col("leader").alias("y"), F.col("leader_n").alias("y_n"))
-    leaders = tokens.where("salt > 0").select("token", "leader", "leader_n").distinct()
-    top = leaders.groupBy("token").agg(F.min(F.struct("leader_n", "leader")).alias("top"))
-    second = leaders.join(top, "token").select(F.col("leader").alias("x"), F.col("leader_n").alias("x_n"), F.col("top.leader").alias("y"), F.col("top.leader_n").alias("y_n"))
+    salted = tokens.where("salt > 0")
+    top = checkpoint(salted.groupBy("token").agg(F.min_by(F.struct("leader_n", "leader"), _leader_order("leader")).alias("top")), "jaccard-top")
+    second = salted.join(top, "token").select(F.col("class").alias("x"), F.col("n").alias("x_n"), F.col("top.leader").alias("y"), F.col("top.leader_n").alias("y_n"))
     star = first.unionByName(second).where(_size_fits("x_n", "y_n") & ((F.col("x") != F.col("y")) | (F.col("x_n") != F.col("y_n")))).distinct()
     star = checkpoint(star, "jaccard-star")
     links = checkpoint(verified(star, prefixes, docs, named), "jaccard-links")
