@@ -46,9 +46,9 @@ def channel_key(c: str | Column = "channel_username") -> Column:
 
 
 def sanitize_channel(c: str | Column, max_len: int = 50) -> Column:
-    """Channel name for paths: '@' -> 'at_', space -> '_', other non-alphanumerics dropped, cut."""
+    """Channel name for paths: '@' -> 'at_', space -> '_', other signs but '_' and '-' dropped, cut."""
     x = F.regexp_replace(F.regexp_replace(col_(c), "@", "at_"), " ", "_")
-    x = F.regexp_replace(x, r"[^\p{L}\p{N}_]", "")
+    x = F.regexp_replace(x, r"[^\p{L}\p{N}_-]", "")
     return F.substring(x, 1, max_len)
 
 

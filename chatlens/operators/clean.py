@@ -124,7 +124,7 @@ def interval_seconds(c: Column) -> Column:
 
 def text_placeholder(c: Column, placeholder: str = "[No text content]") -> Column:
     """Blank or missing text -> placeholder."""
-    return F.when(c.isNull() | (F.trim(c) == ""), F.lit(placeholder)).otherwise(c)
+    return F.when(c.isNull() | ~c.rlike(r"(?U)\S"), F.lit(placeholder)).otherwise(c)
 
 
 def from_nested(df: DataFrame, msg: str = "m", channel: str | Column = "channel_username",

@@ -215,9 +215,12 @@ Detector = Callable[[DataFrame, str], DataFrame]
 
 
 def ngram_detector(model: NgramModel) -> Detector:
-    """L3 as a detector transform (join of the predictions back on message_id)."""
+    """L3 as a detector transform (predictions joined back on channel and message_id; null channels match)."""
     def transform(df: DataFrame, text: str = "text") -> DataFrame:
-        return df.join(model.predict(df, key=("message_id",), text=text), "message_id", "left")
+        keys = [k for k in ("channel_username", "message_id") if k in df.columns]
+        found = model.predict(df, key=keys, text=text).withColumnsRenamed({k: f"_{k}" for k in keys})
+        same = [df[k].eqNullSafe(found[f"_{k}"]) for k in keys]
+        return df.join(found, same, "left").drop(*[f"_{k}" for k in keys])
     return transform
 
 

@@ -70,7 +70,8 @@ def write_results(tables: Mapping[str, DataFrame], path: str, *, fmt: str = "jso
     for name, t in tables.items():
         w = (with_partition(t) if "channel_username" in t.columns else t).write.mode("overwrite")
         if "channel_username" in t.columns:
-            w = w.partitionBy(PART)
+            # only the channels of this run are replaced
+            w = w.partitionBy(PART).option("partitionOverwriteMode", "dynamic")
         w.option("timestampNTZFormat", "yyyy-MM-dd'T'HH:mm:ss[.SSSSSS]").format(fmt).save(f"{path}/{name}")
 
 

@@ -14,6 +14,7 @@ the Parquet table written by ``sinks.write_messages``.
 
 from __future__ import annotations
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -175,8 +176,8 @@ def read_table_or_empty(spark: SparkSession, path: str, schema: T.StructType) ->
     """A stored results / messages table, or an empty frame of the schema when absent."""
     try:
         return spark.read.schema(schema).parquet(path)
-    except Exception as e:  # noqa: BLE001 - missing path is the expected case
-        if "PATH_NOT_FOUND" in str(e) or "does not exist" in str(e):
+    except AnalysisException as e:
+        if e.getCondition() == "PATH_NOT_FOUND":
             return spark.createDataFrame([], schema)
         raise
 

@@ -21,8 +21,8 @@ from chatlens.schema import COLLECTION_METADATA, RAW_MESSAGE
 
 WRAPPER = r"^\s*[A-Za-z_][A-Za-z0-9_]*\((.*)\)\s*$"
 KV = (r"([A-Za-z_][A-Za-z0-9_]*)=("
-      r"'(?:[^'\\]|\\.)*'"
-      r"|\"(?:[^\"\\]|\\.)*\""
+      r"'[^'\\]*+(?:\\.[^'\\]*+)*+'"
+      r"|\"[^\"\\]*+(?:\\.[^\"\\]*+)*+\""
       r"|datetime\.datetime\([^()]*(?:\([^()]*\)[^()]*)*\)"
       r"|[^,()]+(?:\([^()]*\))?)")
 DATETIME = r"^datetime\.datetime\((\d+),\s*(\d+),\s*(\d+)(?:,\s*(\d+))?(?:,\s*(\d+))?(?:,\s*(\d+))?"
