@@ -11,7 +11,7 @@ from chatlens.functions.expr import non_blank
 from chatlens.schema import MESSAGE, MESSAGE_COLUMNS
 
 NUMERIC = ("message_id", "file_size", "views", "forwards", "replies")
-LINEAGE = ("source_file", "file_channel", "file_min_id", "file_max_id", "loaded_at", "doc_pos", "msg_pos")
+LINEAGE = ("source_file", "file_channel", "file_min_id", "file_max_id", "loaded_at", "split_pos", "doc_pos", "msg_pos")
 
 
 def null_if_missing(c: Column) -> Column:
@@ -147,7 +147,7 @@ def from_nested(df: DataFrame, msg: str = "m", channel: str | Column = "channel_
         ch.alias("channel_username"),
         F.coalesce(m["date"], now).alias("date"),
         text_placeholder(m["text"]).alias("text"),
-        F.coalesce(m["sender"]["username"],
+        F.coalesce(F.nullif(m["sender"]["username"], F.lit("")),
                    F.concat(F.lit("user_"), m["sender_id"].cast("string"))).alias("creator_username"),
         m["sender"]["first_name"].alias("creator_first_name"),
         m["sender"]["last_name"].alias("creator_last_name"),

@@ -36,6 +36,13 @@ def keep_latest(df: DataFrame, order: Sequence[str | Column], *, key: Sequence[s
               .select(*[F.col(f"_row.{c}").alias(c) for c in cols]))
 
 
+def keep_first(df: DataFrame, order: Sequence[str | Column], *, key: Sequence[str] = KEY) -> DataFrame:
+    """One row per key, the one with the smallest ``order`` tuple."""
+    ordering = F.struct(*[F.col(c) if isinstance(c, str) else c for c in order])
+    payload = F.struct(*[F.col(c) for c in df.columns])
+    return df.groupBy(*key).agg(F.min_by(payload, ordering).alias("_row")).select("_row.*")
+
+
 def dedup_report(before: DataFrame, after: DataFrame, *, by: Sequence[str] = BY) -> DataFrame:
     """U2 count of removed duplicates per channel (rows before - rows after)."""
     b = before.groupBy(*by).agg(F.count(F.lit(1)).alias("rows_before"))
@@ -44,17 +51,26 @@ def dedup_report(before: DataFrame, after: DataFrame, *, by: Sequence[str] = BY)
              .withColumn("removed", F.col("rows_before") - F.col("rows_after")))
 
 
-def combine_summary(existing: DataFrame, new: DataFrame, combined: DataFrame, *, by: Sequence[str] = BY,
-                    key: Sequence[str] = KEY) -> DataFrame:
+def combine_summary(existing: DataFrame, new: DataFrame, combined: DataFrame | None = None, *,
+                    stored: DataFrame | None = None, by: Sequence[str] = BY, key: Sequence[str] = KEY) -> DataFrame:
     """Per channel: existing rows, new rows, rows after combine, new messages added
-    (keys not present before), duplicates removed, status created / updated / no_new_files."""
-    e = existing.groupBy(*by).agg(F.count(F.lit(1)).alias("existing_messages"))
-    n = new.groupBy(*by).agg(F.count(F.lit(1)).alias("new_rows"))
-    c = combined.groupBy(*by).agg(F.count(F.lit(1)).alias("total_messages"))
-    added = (new.select(*key).distinct().join(existing.select(*key).distinct(), list(key), "left_anti")
-                .groupBy(*by).agg(F.count(F.lit(1)).alias("new_messages_added")))
-    out = (c.join(e, list(by), "left").join(n, list(by), "left").join(added, list(by), "left")
-            .fillna(0, ["existing_messages", "new_rows", "new_messages_added"]))
+    (keys not present before), duplicates removed, status created / updated / no_new_files.
+
+    ``existing`` may be the part of the store that ``new`` can meet; ``stored`` is then the whole store (only its ``by``
+    columns are read). Without ``combined``, the rows after combine are the stored ones, unique by key, plus those added.
+    Null channels and null ids are values like others."""
+    count = F.count(F.lit(1))
+    keys = (new.select(*key, F.lit(True).alias("new")).unionByName(existing.select(*key, F.lit(False).alias("new")))
+               .groupBy(*key).agg(F.every("new").alias("added")))
+    parts = [((stored if stored is not None else existing).groupBy(*by).agg(count.alias("existing_messages"))),
+             new.groupBy(*by).agg(count.alias("new_rows")),
+             keys.groupBy(*by).agg(F.count_if("added").alias("new_messages_added"))]
+    if combined is not None:
+        parts.append(combined.groupBy(*by).agg(count.alias("total_messages")))
+    sums = ["existing_messages", "new_rows", "new_messages_added"] + ["total_messages"] * (combined is not None)
+    out = union_loads(*parts).groupBy(*by).agg(*[F.coalesce(F.sum(c), F.lit(0)).alias(c) for c in sums])
+    if combined is None:
+        out = out.withColumn("total_messages", F.col("existing_messages") + F.col("new_messages_added"))
     status = (F.when(F.col("existing_messages") == 0, "created")
                .when(F.col("new_rows") > 0, "updated").otherwise("no_new_files"))
     return out.withColumn("duplicates_removed", F.col("existing_messages") + F.col("new_rows") - F.col("total_messages")) \

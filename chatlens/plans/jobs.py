@@ -17,7 +17,7 @@ from chatlens.session import cut_lineage
 from chatlens.sinks import writers
 from chatlens.sources import collections
 
-LINEAGE_ORDER = ("loaded_at", "source_file", "doc_pos", "msg_pos")
+LINEAGE_ORDER = ("source_file", "split_pos", "doc_pos", "msg_pos")
 
 
 def stored_schema(with_partitions: bool = False):
@@ -25,31 +25,20 @@ def stored_schema(with_partitions: bool = False):
     from pyspark.sql import types as T
     fields = list(MESSAGE.fields) + [
         T.StructField("loaded_at", T.StringType()), T.StructField("source_file", T.StringType()),
-        T.StructField("doc_pos", T.LongType()), T.StructField("msg_pos", T.LongType())]
+        T.StructField("split_pos", T.LongType()), T.StructField("doc_pos", T.LongType()), T.StructField("msg_pos", T.LongType())]
     if with_partitions:
         fields += [T.StructField(writers.PART, T.StringType()), T.StructField(writers.BLOCK, T.LongType())]
     return T.StructType(fields)
 
 
-MAX_PRUNE_PARTITIONS = 10_000
-
-
 def touched_existing(spark: SparkSession, store_path: str, new: DataFrame) -> DataFrame:
-    """Stored rows in the (channel, id block) partitions that ``new`` touches.
+    """Stored rows in the (channel, id block) partitions that ``new`` touches, exactly those the job will overwrite.
 
-    The touched partitions are exactly those the job will overwrite. When there are at most
-    ``MAX_PRUNE_PARTITIONS`` of them (checked with a count first) they become a partition filter,
-    so only those partitions' files are listed and read; beyond that (e.g. a first bulk load
-    touching most of the table) a semi join on the partition columns is used instead."""
+    A null-safe semi join on the partition columns (rows without a channel live in a partition too)."""
     existing = collections.read_table_or_empty(spark, store_path, stored_schema(True))
-    touched = writers.with_store_partition(new).select(writers.PART, writers.BLOCK).distinct()
-    key = F.concat_ws("/", F.col(writers.PART), F.col(writers.BLOCK).cast("string"))
-    if touched.count() <= MAX_PRUNE_PARTITIONS:
-        keys = [r[0] for r in touched.select(key).collect()]
-        pruned = existing.where(key.isin(keys)) if keys else existing.limit(0)
-    else:
-        pruned = existing.join(touched, [writers.PART, writers.BLOCK], "left_semi")
-    return pruned.drop(writers.PART, writers.BLOCK)
+    touched = (writers.with_store_partition(new).select(F.col(writers.PART).alias("_part"), F.col(writers.BLOCK).alias("_block")).distinct())
+    same = F.col(writers.PART).eqNullSafe(F.col("_part")) & F.col(writers.BLOCK).eqNullSafe(F.col("_block"))
+    return existing.join(touched, same, "left_semi").drop(writers.PART, writers.BLOCK)
 
 
 def to_store_rows(typed: DataFrame) -> DataFrame:
@@ -61,27 +50,40 @@ def to_store_rows(typed: DataFrame) -> DataFrame:
 
 def merge_into(existing: DataFrame, new: DataFrame) -> DataFrame:
     """U1 + U2: union the stored rows with the new ones and keep the latest copy of every
-    (channel, message_id); later load time, then file name, then position wins."""
-    return merge.keep_latest(merge.union_loads(existing, new), list(LINEAGE_ORDER))
+    (channel, message_id): a new row wins over a stored one, then the later file name and position
+    win. The load time is information only, as bare arrays and JSON lines have none."""
+    loads = merge.union_loads(existing.withColumn("_load", F.lit(0)), new.withColumn("_load", F.lit(1)))
+    return merge.keep_latest(loads, ["_load", *LINEAGE_ORDER]).drop("_load")
+
+
+def read_loads(spark: SparkSession, raw_path: str, *, channels: str | list[str] = "all", glob: str | None = "*.json",
+               lines_glob: str | None = "*.jsonl") -> tuple[DataFrame, DataFrame]:
+    """(typed store rows, rejects) of whole JSON files and, by the splittable reader, of JSON lines."""
+    raw, rejects = collections.read_collection_files(spark, raw_path, glob=glob)
+    rejects = rejects.unionByName(collections.empty_files(spark, raw_path, glob=glob))
+    if lines_glob:
+        lines, bad_lines = collections.read_jsonl(spark, raw_path, glob=lines_glob)
+        raw, rejects = raw.unionByName(lines), rejects.unionByName(bad_lines)
+    return to_store_rows(clean.loader_clean(clean.typed_messages(collections.select_sources(raw, channels)))), rejects
 
 
 def combine(spark: SparkSession, raw_path: str, store_path: str, *, channels: str | list[str] = "all",
-            glob: str | None = "*.json") -> tuple[DataFrame, DataFrame]:
+            glob: str | None = "*.json", lines_glob: str | None = "*.jsonl") -> tuple[DataFrame, DataFrame]:
     """Read new collection files, merge them into the stored table, replace the touched
-    (channel, id block) partitions. Returns (summary per channel, rejected files). Running it twice on the same files
-    gives the same table (keep-latest is idempotent)."""
-    raw, rejects = collections.read_collection_files(spark, raw_path, glob=glob)
-    raw = collections.select_sources(raw, channels)
-    new = to_store_rows(clean.loader_clean(clean.typed_messages(raw)))
+    (channel, id block) partitions. Returns (summary per channel, rejected files and elements). Running it twice on the
+    same files gives the same table (keep-latest is idempotent)."""
+    new, rejects = read_loads(spark, raw_path, channels=channels, glob=glob, lines_glob=lines_glob)
+    new = cut_lineage(new, "combine-new")                       # files are parsed once
     existing_touched = touched_existing(spark, store_path, new)
     combined = cut_lineage(merge_into(existing_touched, new))   # also frees the read of store_path
     # U4 lineage of this load: source files and their [min, max] id ranges per channel (one entry
     # per file), the overall range and the combine time, next to the U5 counts.
-    lineage = merge.lineage(merge.id_ranges(new)).withColumn("combined_at", F.current_timestamp())
-    summary = cut_lineage(merge.combine_summary(existing_touched, new, combined)
-                          .join(lineage, "channel_username", "left"))
+    lineage = (merge.lineage(merge.id_ranges(new)).withColumn("combined_at", F.current_timestamp())
+               .withColumnRenamed("channel_username", "_channel"))
+    stored = collections.read_table_or_empty(spark, store_path, stored_schema(True))
+    summary = merge.combine_summary(existing_touched, new, stored=stored)
+    summary = cut_lineage(summary.join(lineage, F.col("channel_username").eqNullSafe(F.col("_channel")), "left").drop("_channel"))
     writers.write_messages(combined, store_path)
-    rejects = rejects.unionByName(collections.empty_files(spark, raw_path, glob=glob))
     return summary, rejects
 
 

@@ -53,15 +53,17 @@ COLLECTION_METADATA = T.StructType([
 
 # One JSON document of any accepted shape: {metadata, messages}, {data: [...]} (API page),
 # or a bare message object (bare arrays / JSONL lines are split into such objects by the reader).
+# Messages are read as JSON text and parsed one by one, so a bad element costs only itself.
 ENVELOPE = T.StructType(
     [
         T.StructField("metadata", COLLECTION_METADATA),
-        T.StructField("messages", T.ArrayType(RAW_MESSAGE)),
-        T.StructField("data", T.ArrayType(RAW_MESSAGE)),
+        T.StructField("messages", T.ArrayType(T.StringType())),
+        T.StructField("data", T.ArrayType(T.StringType())),
         T.StructField("_corrupt_record", T.StringType()),
     ]
     + list(RAW_MESSAGE.fields)
 )
+MESSAGE_ELEMENT = T.StructType(list(RAW_MESSAGE.fields) + [T.StructField("_corrupt_record", T.StringType())])
 
 # Nested message object as produced by a chat client (projection C6-C10).
 NESTED_MESSAGE = T.StructType([

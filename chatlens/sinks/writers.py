@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from chatlens.functions.expr import channel_key
 from chatlens.operators import clean, merge, validate
+from chatlens.schema import MESSAGE_COLUMNS
 
 PART = "channel"
 BLOCK = "id_block"
@@ -65,8 +66,8 @@ def write_messages(df: DataFrame, path: str) -> None:
         .partitionBy(PART, BLOCK).parquet(path))
 
 
-def write_results(tables: Mapping[str, DataFrame], path: str, *, fmt: str = "json") -> None:
-    """K3: one dataset per result table, partitioned by channel when the table has one."""
+def write_results(tables: Mapping[str, DataFrame], path: str, *, fmt: str = "parquet") -> None:
+    """K3: one dataset per result table, partitioned by channel when the table has one; ``read_results`` has the same default format."""
     for name, t in tables.items():
         w = (with_partition(t) if "channel_username" in t.columns else t).write.mode("overwrite")
         if "channel_username" in t.columns:
@@ -93,33 +94,34 @@ def write_combined_results(tables: Mapping[str, DataFrame], path: str) -> None:
 def import_messages(df: DataFrame, store_path: str | None, *, stored: DataFrame | None = None,
                     skip_duplicates: bool = True, dry_run: bool = False, validate_only: bool = False,
                     limit: int | None = None, batch_size: int = 100) -> dict:
-    """K5: validate -> clean -> skip already stored keys -> append.
+    """K5: validate -> type -> skip already stored keys and repeated keys of the batch -> append.
 
     ``limit`` keeps the first n messages in (channel, id) order (the reference's --limit).
-    All counts come from one pass: an Observation on the tagged rows while they are written, or
-    one aggregation of the same rows for ``dry_run`` / ``validate_only`` (nothing written).
+    Counts come from Observations on the rows while they are written, or from aggregations of
+    the same rows for ``dry_run`` / ``validate_only`` (nothing written).
     """
     rows = df
     if limit is not None:
         rows = rows.orderBy("channel_username", "message_id").limit(limit)
     tagged = rows.withColumn("_code", validate.reject_code(rows))
-    if skip_duplicates and stored is not None:
-        keys = stored.select(*merge.KEY).distinct().withColumn("_stored", F.lit(True))
-        tagged = tagged.join(keys, list(merge.KEY), "left")
-    else:
-        tagged = tagged.withColumn("_stored", F.lit(None).cast("boolean"))
     valid = F.col("_code").isNull()
-    new = valid & F.col("_stored").isNull()
-    metrics = [F.count(F.lit(1)).alias("total"), F.count_if(valid).alias("valid"), F.count_if(new).alias("new")]
-    if validate_only or dry_run or store_path is None:
-        m = tagged.agg(*metrics).first()
-        imported, would = 0, m["new"]
+    metrics = [F.count(F.lit(1)).alias("total"), F.count_if(valid).alias("valid")]
+    writes = not (validate_only or dry_run or store_path is None)
+    obs, obs_new = Observation(), Observation()
+    typed = clean.typed_messages((tagged.observe(obs, *metrics) if writes else tagged).where(valid))
+    if skip_duplicates:
+        typed = merge.skip_existing(typed, stored) if stored is not None else typed
+        # of equal keys in the batch the first is imported: by lineage where the rows have one, else by content
+        order = [c for c in ("source_file", "split_pos", "doc_pos", "msg_pos") if c in typed.columns] + [f for f in MESSAGE_COLUMNS if f in typed.columns]
+        typed = merge.keep_first(typed, order)
+    out = clean.store_projection(typed)
+    if writes:
+        out = with_store_partition(out.observe(obs_new, F.count(F.lit(1)).alias("new")))
+        out.write.mode("append").partitionBy(PART, BLOCK).parquet(store_path)
+        m, would = obs.get, obs_new.get["new"]
+        imported = would
     else:
-        obs = Observation("import")
-        out = clean.store_projection(tagged.observe(obs, *metrics).where(new))
-        with_store_partition(out).write.mode("append").partitionBy(PART, BLOCK).parquet(store_path)
-        m = obs.get
-        imported = would = m["new"]
+        m, imported, would = tagged.agg(*metrics).first(), 0, out.count()
     return {"total": m["total"], "valid": m["valid"], "invalid": m["total"] - m["valid"], "imported": imported,
             "would_import": would, "skipped": m["valid"] - would, "batches": -(-would // batch_size),
             "dry_run": dry_run, "validate_only": validate_only}

@@ -20,8 +20,8 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from chatlens.functions import patterns as P
-from chatlens.operators.validate import FILE_CORRUPTED, FILE_EMPTY
-from chatlens.schema import ENVELOPE, MESSAGE_COLUMNS, RAW_MESSAGE
+from chatlens.operators.validate import FILE_CORRUPTED, FILE_EMPTY, VALIDATION_INVALID_FORMAT
+from chatlens.schema import ENVELOPE, MESSAGE_COLUMNS, MESSAGE_ELEMENT, RAW_MESSAGE
 
 RAW_FIELDS = [f.name for f in RAW_MESSAGE.fields]
 
@@ -31,23 +31,22 @@ def _lines(value: Column) -> Column:
 
 
 def _docs(value: Column) -> Column:
-    """Array of envelope structs for one file, or null when the file does not parse."""
+    """Array of document texts of one file, or null when the file does not parse.
+
+    JSON lines are told by their first line, a whole object; a bad later line is one bad document."""
     lines = _lines(value)
-    is_jsonl = (F.size(lines) >= 2) & F.forall(
-        lines, lambda x: F.trim(x).startswith("{") & F.trim(x).endswith("}"))
-    whole = F.from_json(value, T.ArrayType(ENVELOPE))
-    return F.when(is_jsonl, F.transform(lines, lambda x: F.from_json(x, ENVELOPE))).otherwise(whole)
+    first = F.trim(F.get(lines, 0))
+    is_jsonl = (F.size(lines) >= 2) & first.startswith("{") & first.endswith("}")
+    is_object = F.regexp_like(value, F.lit(r"^\s*\{"))
+    return (F.when(is_jsonl, lines).when(is_object, F.array(value))
+             .otherwise(F.from_json(value, T.ArrayType(T.StringType()))))
 
 
-def _doc_messages(doc: Column) -> Column:
-    """Messages of one document: ``messages``, else ``data``, else the document itself when it
+def _doc_messages(doc: Column, text: Column) -> Column:
+    """Message texts of one document: ``messages``, else ``data``, else the document itself when it
     is a bare message (has any message field)."""
-    bare_fields = [doc[c] for c in RAW_FIELDS]
-    is_bare = F.coalesce(*[f.isNotNull() for f in bare_fields[:1]], F.lit(False))
-    for f in bare_fields[1:]:
-        is_bare = is_bare | f.isNotNull()
-    bare = F.when(is_bare, F.array(F.struct(*[doc[c].alias(c) for c in RAW_FIELDS])))
-    return F.coalesce(doc["messages"], doc["data"], bare, F.array().cast(T.ArrayType(RAW_MESSAGE)))
+    is_bare = F.coalesce(*[doc[c] for c in RAW_FIELDS]).isNotNull()
+    return F.coalesce(doc["messages"], doc["data"], F.when(is_bare, F.array(text)), F.array().cast(T.ArrayType(T.StringType())))
 
 
 def _scan(spark: SparkSession, path: str | list[str], glob: str | None) -> DataFrame:
@@ -80,7 +79,7 @@ def read_collection_files(spark: SparkSession, path: str | list[str], *, glob: s
 
     Raw rows keep every value as a string plus lineage: ``source_file``, ``file_channel``,
     ``file_min_id``, ``file_max_id``, ``loaded_at`` (collected_at / combined_at of the envelope),
-    ``doc_pos`` and ``msg_pos`` (position inside the file, for keep-latest ordering).
+    ``split_pos``, ``doc_pos`` and ``msg_pos`` (position inside the file, for keep-latest ordering).
     """
     return parse_files(_scan(spark, path, glob))
 
@@ -89,25 +88,37 @@ def parse_files(files: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Parse (source_file, file_name_src, value) file rows -> (raw message rows, rejects).
     Shared by the batch reader and the streaming combine's micro-batches."""
     files = files.withColumn("docs", _docs(F.col("value")))
-    ok = files.where(F.col("docs").isNotNull())
-    docs = ok.select("source_file", "file_name_src", F.posexplode("docs").alias("doc_pos", "doc"))
-    good_docs = docs.where(F.col("doc").isNotNull() & F.col("doc._corrupt_record").isNull())
-    msgs = good_docs.select(
-        "source_file", "file_name_src", "doc_pos",
+    docs = files.where(F.col("docs").isNotNull()).select("source_file", "file_name_src", F.posexplode("docs").alias("doc_pos", "doc_text"))
+    blank = ~F.col("value").rlike(r"(?U)\S")
+    unread = (files.where(F.col("docs").isNull())
+                   .select("source_file", F.when(blank, F.lit(FILE_EMPTY)).otherwise(F.lit(FILE_CORRUPTED)).alias("code"),
+                           F.col("value").alias("detail")))
+    raw, rejects = parse_docs(docs.withColumns({"split_pos": F.lit(0).cast("bigint"), "doc_pos": F.col("doc_pos").cast("bigint")}))
+    return raw, unread.unionByName(rejects)
+
+
+def parse_docs(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Parse (source_file, file_name_src, split_pos, doc_pos, doc_text) rows -> (raw message rows, rejects).
+
+    An object that does not parse is FILE_CORRUPTED; an element that is no object (text, number, null) is
+    VALIDATION_INVALID_FORMAT. Every other element still loads."""
+    docs = docs.withColumn("doc", F.from_json("doc_text", ENVELOPE))
+    good = F.col("doc").isNotNull() & F.col("doc._corrupt_record").isNull()
+    msgs = docs.where(good).select(
+        "source_file", "file_name_src", "split_pos", "doc_pos",
         F.coalesce(F.col("doc.metadata.combined_at"), F.col("doc.metadata.collected_at")).alias("loaded_at"),
-        F.posexplode(_doc_messages(F.col("doc"))).alias("msg_pos", "m"))
-    raw = (msgs.where(F.col("m").isNotNull())
-               .select(*[F.col(f"m.{c}").alias(c) for c in RAW_FIELDS],
-                       "source_file", *file_name_columns(F.col("file_name_src")), "loaded_at",
-                       F.col("doc_pos").cast("bigint").alias("doc_pos"),
-                       F.col("msg_pos").cast("bigint").alias("msg_pos")))
-    blank = F.trim(F.col("value")) == ""
-    rejects = (files.where(F.col("docs").isNull())
-                    .select("source_file", F.when(blank, F.lit(FILE_EMPTY)).otherwise(F.lit(FILE_CORRUPTED)).alias("code"),
-                            F.substring("value", 1, 200).alias("detail"))
-               .unionByName(docs.where(F.col("doc").isNull() | F.col("doc._corrupt_record").isNotNull())
-                    .select("source_file", F.lit(FILE_CORRUPTED).alias("code"),
-                            F.substring("doc._corrupt_record", 1, 200).alias("detail"))))
+        F.posexplode(_doc_messages(F.col("doc"), F.col("doc_text"))).alias("msg_pos", "m_text"))
+    msgs = msgs.withColumn("m", F.from_json("m_text", MESSAGE_ELEMENT))
+    loads = F.col("m").isNotNull() & F.col("m._corrupt_record").isNull()
+    raw = msgs.where(loads).select(
+        *[F.col(f"m.{c}").alias(c) for c in RAW_FIELDS], "source_file", *file_name_columns(F.col("file_name_src")),
+        "loaded_at", "split_pos", "doc_pos", F.col("msg_pos").cast("bigint").alias("msg_pos"))
+    is_object = F.coalesce(F.col("doc_text").rlike(r"^\s*\{"), F.lit(False))
+    rejects = (docs.where(~good)
+                   .select("source_file", F.when(is_object, FILE_CORRUPTED).otherwise(VALIDATION_INVALID_FORMAT).alias("code"),
+                           F.col("doc_text").alias("detail"))
+               .unionByName(msgs.where(~loads).select("source_file", F.lit(VALIDATION_INVALID_FORMAT).alias("code"),
+                                                      F.col("m_text").alias("detail"))))
     return raw, rejects
 
 
@@ -133,20 +144,16 @@ def empty_files(spark: SparkSession, path: str | list[str], *, glob: str | None
                  .select("source_file", F.lit(FILE_EMPTY).alias("code"), F.lit(None).cast("string").alias("detail")))
 
 
-def read_jsonl(spark: SparkSession, path: str | list[str]) -> DataFrame:
-    """Splittable reader for large JSON-lines collections: one message (or envelope) per line."""
-    paths = path if isinstance(path, list) else [path]
-    df = (spark.read.schema(ENVELOPE).option("mode", "PERMISSIVE").json(paths)
-               .withColumn("source_file", F.col("_metadata.file_path"))
-               .withColumn("file_name_src", F.col("_metadata.file_name")))
-    doc = F.struct(*[F.col(f.name) for f in ENVELOPE.fields])
-    return (df.where(F.col("_corrupt_record").isNull())
-              .select("source_file", "file_name_src",
-                      F.coalesce(F.col("metadata.combined_at"), F.col("metadata.collected_at")).alias("loaded_at"),
-                      F.posexplode(_doc_messages(doc)).alias("msg_pos", "m"))
-              .select(*[F.col(f"m.{c}").alias(c) for c in RAW_FIELDS], "source_file",
-                      *file_name_columns(F.col("file_name_src")), "loaded_at",
-                      F.lit(None).cast("bigint").alias("doc_pos"), F.col("msg_pos").cast("bigint").alias("msg_pos")))
+def read_jsonl(spark: SparkSession, path: str | list[str], *, glob: str | None = None) -> tuple[DataFrame, DataFrame]:
+    """Splittable reader for large JSON-lines collections, one message (or envelope) per line: (raw message rows, rejects).
+
+    ``split_pos`` is where the line's split starts in the file and ``doc_pos`` grows inside the split, so the later line
+    wins as in a file read whole."""
+    reader = spark.read.option("pathGlobFilter", glob) if glob else spark.read
+    lines = reader.text(path if isinstance(path, list) else [path]).select(
+        F.col("_metadata.file_path").alias("source_file"), F.col("_metadata.file_name").alias("file_name_src"),
+        F.col("_metadata.file_block_start").alias("split_pos"), F.monotonically_increasing_id().alias("doc_pos"), F.col("value").alias("doc_text"))
+    return parse_docs(lines.where(F.col("doc_text").rlike(r"(?U)\S")))
 
 
 def read_messages(spark: SparkSession, path: str | list[str], *, glob: str | None = None,

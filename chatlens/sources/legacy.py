@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from chatlens.operators.clean import typed_messages
-from chatlens.operators.validate import VALIDATION_INVALID_FORMAT
+from chatlens.operators.validate import FILE_CORRUPTED, VALIDATION_INVALID_FORMAT
 from chatlens.schema import COLLECTION_METADATA, RAW_MESSAGE
 
 WRAPPER = r"^\s*[A-Za-z_][A-Za-z0-9_]*\((.*)\)\s*$"
@@ -77,6 +77,8 @@ def read_legacy(spark: SparkSession, path: str | list[str]) -> tuple[DataFrame,
     good = typed_messages(parsed.where("parsed").drop("parsed", "row"))
     bad = parsed.where(~F.col("parsed")).select("source_file", "msg_pos", "row",
                                                 F.lit(VALIDATION_INVALID_FORMAT).alias("code"))
+    bad = bad.unionByName(raw.where(strings.isNull()).select("source_file", F.lit(None).cast("int").alias("msg_pos"),
+                                                             F.col("value").alias("row"), F.lit(FILE_CORRUPTED).alias("code")))
     counts = parsed.groupBy("source_file").agg(F.count_if("parsed").alias("success"),
                                                F.count_if(~F.col("parsed")).alias("failed"))
     return good, bad, counts

@@ -41,12 +41,15 @@ def collection_stream(spark: SparkSession, raw_dir: str, *, glob: str = "*.json"
     return parse_batch(file_stream(spark, raw_dir, glob=glob, max_files_per_trigger=max_files_per_trigger))
 
 
-def merge_batch(spark: SparkSession, store_path: str):
+def merge_batch(spark: SparkSession, store_path: str, rejects_path: str | None = None):
     """foreachBatch body: parse the new files of one micro-batch and merge them (keep-latest)
-    into the stored table, replacing only the (channel, id block) partitions they touch."""
+    into the stored table, replacing only the (channel, id block) partitions they touch. Rejected
+    files and elements go to ``rejects_path``, one folder per batch that a replay replaces."""
     from chatlens.session import cut_lineage
 
     def run(files: DataFrame, batch_id: int) -> None:
+        if rejects_path:
+            collections.parse_files(files)[1].write.mode("overwrite").parquet(f"{rejects_path}/batch_id={batch_id}")
         batch = cut_lineage(parse_batch(files), "stream-batch")
         if batch.isEmpty():
             return
@@ -56,10 +59,10 @@ def merge_batch(spark: SparkSession, store_path: str):
 
 
 def start_combine(spark: SparkSession, raw_dir: str, store_path: str, checkpoint_location: str, *,
-                  available_now: bool = True, glob: str = "*.json"):
+                  available_now: bool = True, glob: str = "*.json", rejects_path: str | None = None):
     """ST1: start the streaming combine; ``available_now`` processes what exists and stops."""
     q = (file_stream(spark, raw_dir, glob=glob).writeStream
-         .foreachBatch(merge_batch(spark, store_path))
+         .foreachBatch(merge_batch(spark, store_path, rejects_path))
          .option("checkpointLocation", checkpoint_location))
     q = q.trigger(availableNow=True) if available_now else q.trigger(processingTime="1 minute")
     return q.start()

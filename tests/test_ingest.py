@@ -205,3 +205,69 @@ def test_streaming_dedup_within_watermark(spark, tmp_dir):
          .queryName("dedup_test").trigger(availableNow=True).start())
     q.awaitTermination(120)
     assert sorted(r["message_id"] for r in spark.sql("SELECT * FROM dedup_test").collect()) == [1, 2]
+
+
+def test_bad_elements_cost_only_themselves(spark, tmp_dir):
+    write(tmp_dir, "x.json", {"messages": [msg(1), "not_a_dict", 7, None, msg(2)]})
+    write(tmp_dir, "y.json", [msg(3), "not_a_dict", msg(4)])
+    write(tmp_dir, "z.json", "\n".join([json.dumps(msg(5)), '{"message_id": 6, "te', json.dumps(msg(7))]), raw=True)
+    long = "broken " * 100
+    write(tmp_dir, "bad.json", long, raw=True)
+    raw, rejects = collections.read_collection_files(spark, tmp_dir)
+    assert sorted(int(r["message_id"]) for r in raw.collect()) == [1, 2, 3, 4, 5, 7]
+    got = sorted((os.path.basename(r["source_file"]), r["code"], r["detail"]) for r in rejects.fillna("null", ["detail"]).collect())
+    assert got == [("bad.json", "FILE_CORRUPTED", long), ("x.json", "VALIDATION_INVALID_FORMAT", "7"),
+                   ("x.json", "VALIDATION_INVALID_FORMAT", "not_a_dict"), ("x.json", "VALIDATION_INVALID_FORMAT", "null"),
+                   ("y.json", "VALIDATION_INVALID_FORMAT", "not_a_dict"), ("z.json", "FILE_CORRUPTED", '{"message_id": 6, "te')]
+
+
+def test_json_lines_later_line_wins_and_bad_lines_are_rejected(spark, tmp_dir):
+    raw, store = os.path.join(tmp_dir, "raw"), os.path.join(tmp_dir, "store")
+    os.makedirs(raw)
+    write(raw, "tg_books_1_2.jsonl", "\n".join([json.dumps(msg(1)), "oops", json.dumps(msg(2)), json.dumps(msg(1, views=77))]), raw=True)
+    _, rejects = jobs.combine(spark, raw, store)
+    assert rows(spark.read.parquet(store), "message_id", "views") == [(1, 77), (2, 20)]
+    assert [(r["code"], r["detail"]) for r in rejects.collect()] == [("VALIDATION_INVALID_FORMAT", "oops")]
+
+
+def test_new_rows_win_without_load_time_and_summary_counts_the_whole_store(spark, tmp_dir):
+    store = os.path.join(tmp_dir, "store")
+    loads = [[{"metadata": {"collected_at": "2024-05-01T00:00:00"}, "messages": [msg(1), msg(2), msg(1, None), msg(9, "@quiet")]}],
+             [msg(1, views=999), msg(5_000_000), msg(2, None)]]
+    for k, load in enumerate(loads):
+        raw = os.path.join(tmp_dir, f"raw{k}")
+        os.makedirs(raw)
+        write(raw, f"a{k}.json", load)
+        summary, _ = jobs.combine(spark, raw, store)
+    got = {(r["channel_username"], r["message_id"]): r["views"] for r in spark.read.parquet(store).collect()}
+    assert got == {("@books", 1): 999, ("@books", 2): 20, ("@books", 5_000_000): 50_000_000, (None, 1): 10, (None, 2): 20, ("@quiet", 9): 90}
+    got = {r["channel_username"]: (r["status"], r["existing_messages"], r["new_rows"], r["new_messages_added"], r["total_messages"],
+                                   r["duplicates_removed"]) for r in summary.collect()}
+    assert got == {"@books": ("updated", 2, 2, 1, 3, 1), None: ("updated", 1, 1, 1, 2, 0), "@quiet": ("no_new_files", 1, 0, 0, 1, 0)}
+
+
+def test_import_types_strings_and_drops_repeated_keys(spark, tmp_dir):
+    store = os.path.join(tmp_dir, "store")
+    src = spark.createDataFrame([("1", "@c", "a", "5"), ("1", "@c", "b", "6"), ("x", "@c", "bad", None), ("2", "@c", "c", "NaN")],
+                                "message_id string, channel_username string, text string, views string")
+    st = jobs.run_import(spark, src, store)
+    assert (st["total"], st["valid"], st["invalid"], st["imported"], st["skipped"]) == (4, 3, 1, 2, 1)
+    again = jobs.run_import(spark, src, store)
+    assert (again["imported"], again["skipped"]) == (0, 3)
+    assert rows(spark.read.schema(jobs.stored_schema(True)).parquet(store), "message_id", "text", "views") == [(1, "a", 5), (2, "c", None)]
+
+
+def test_legacy_file_that_does_not_parse_is_rejected(spark, tmp_dir):
+    write(tmp_dir, "legacy.json", "{broken", raw=True)
+    good, bad, _ = legacy.read_legacy(spark, tmp_dir)
+    assert good.count() == 0 and [(r["code"], r["row"]) for r in bad.collect()] == [("FILE_CORRUPTED", "{broken")]
+
+
+def test_streaming_rejects_are_kept(spark, tmp_dir):
+    raw, store, rejects = (os.path.join(tmp_dir, k) for k in ("raw", "store", "rejects"))
+    os.makedirs(raw)
+    write(raw, "a.json", {"messages": [msg(1), "not_a_dict"]})
+    q = combine_stream.start_combine(spark, raw, store, os.path.join(tmp_dir, "ckpt"), rejects_path=rejects)
+    q.awaitTermination(120)
+    assert [r["detail"] for r in spark.read.parquet(rejects).collect()] == ["not_a_dict"]
+    assert rows(spark.read.parquet(store), "message_id") == [(1,)]
