@@ -7,8 +7,8 @@ runs on data whose size grows with the tables. The SQL text below is the same de
 DuckDB (the oracle); ``messages()`` builds it with the DataFrame API.
 
 Scale notes: documents x events is the only large join (equi-join on ``event_id = doc_id * 5``,
-sort-merge or shuffle-hash, AQE skew handling on). ``part`` and ``pages`` are dimension tables;
-Spark broadcasts them only when their measured size is under
+sort-merge or shuffle-hash, AQE skew handling on). ``part`` and ``pages`` are dimension tables whose keys the
+documents spread over, so names, sizes and URLs grow in number with the tables; Spark broadcasts them only when their measured size is under
 ``spark.sql.autoBroadcastJoinThreshold`` and shuffles otherwise. Left joins keep every document.
 """
 
@@ -42,10 +42,11 @@ SELECT d.doc_id AS message_id,
   CASE WHEN d.doc_id % 5 = 1 THEN concat('@', e.event_type) END AS forwarded_from,
   CASE WHEN d.doc_id % 2 = 0 THEN CASE WHEN d.doc_id % 6 = 0 THEN 'application/pdf' WHEN d.doc_id % 6 = 2 THEN 'application/epub+zip' ELSE 'audio/mpeg' END
        WHEN d.doc_id % 9 = 1 THEN 'image/jpeg' END AS mime_type
-FROM documents d
+FROM (SELECT *, doc_id % (SELECT greatest(count(*), 1) FROM part) + 1 AS part_key,
+        doc_id % (SELECT greatest(count(*), 1) FROM pages) AS page_key FROM documents) d
 LEFT JOIN events e ON e.event_id = d.doc_id * 5
-LEFT JOIN part t ON t.p_partkey = d.doc_id % 200 + 1
-LEFT JOIN pages p ON p.page_id = d.doc_id % 50
+LEFT JOIN part t ON t.p_partkey = d.part_key
+LEFT JOIN pages p ON p.page_id = d.page_key
 """
 
 
@@ -90,6 +91,11 @@ def _case(*pairs: tuple[Column, object], otherwise: object = None) -> Column:
     return out
 
 
+def _rows(df: DataFrame) -> Column:
+    """Number of rows (at least 1) as a scalar subquery; documents spread over all of the table's keys."""
+    return df.agg(F.greatest(F.count(F.lit(1)), F.lit(1))).scalar()
+
+
 def messages(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The canonical message table over the driver's tables (all documents, whole texts)."""
     d = table(spark, sf_dir, "documents").select("doc_id", "text", "lang", "source")
@@ -97,10 +103,11 @@ def messages(spark: SparkSession, sf_dir: str) -> DataFrame:
     t = table(spark, sf_dir, "part").select("p_partkey", "p_name", "p_size")
     p = table(spark, sf_dir, "pages").select("page_id", "url")
 
-    j = (d.join(e, e.event_id == d.doc_id * 5, "left")
-          .join(t, t.p_partkey == d.doc_id % 200 + 1, "left")
-          .join(p, p.page_id == d.doc_id % 50, "left"))
     i = F.col("doc_id")
+    d = d.withColumns({"part_key": i % _rows(t) + 1, "page_key": i % _rows(p)})
+    j = (d.join(e, e.event_id == d.doc_id * 5, "left")
+          .join(t, t.p_partkey == d.part_key, "left")
+          .join(p, p.page_id == d.page_key, "left"))
     tags = F.when(i % 3 == 0, F.concat(F.lit(" #"), F.col("event_type"), F.lit(" #"), F.col("lang"))).otherwise("")
     ment = F.when(i % 4 == 0, F.concat(F.lit(" @user"), (F.col("user_id") % 40).cast("string"))).otherwise("")
     url = F.when(i % 5 == 0, F.concat(F.lit(" "), F.col("url"))).otherwise("")
