@@ -386,3 +386,9 @@ def test_pipeline_stages_keep_columns_and_do_what_their_operators_say(spark):
         docs = out
     packed = corpus_pipeline.STAGES[-1][1](spark, docs, SF)
     assert {r.doc_id for r in packed.collect()} == {r.doc_id for r in docs.collect()} and docs.count() < before
+
+
+def test_queries_without_sql_are_listed():
+    from chatlens.llm import catalog
+    assert set(catalog.QUERIES) - set(catalog.ORACLE) == {
+        "op2_lm_scoring", "op4_quality_classifier", "op5_nearest_neighbours", "op7_packing", "op10_language_id", "pipeline"}
