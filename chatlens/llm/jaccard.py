@@ -7,12 +7,13 @@ Jaccard similarity of 3/4 or more, then under *every* global order of the tokens
 1. Equal sets form a class; everything later runs on classes, named by their hash.
 2. Order A puts tokens by how full their counting slot is over the whole corpus (rare first), then by hash. Classes
    that share a prefix token under A meet after one shuffle by token, in sorted runs.
-3. Orders B and C are two other hash orders. A pair stays a candidate only if the sizes allow the threshold and the
-   prefixes under B, and then under C, share tokens too.
+3. Orders B and C are two other hash orders. A pair stays a candidate only if the sizes allow the threshold and its
+   prefixes under B, and then under C, share tokens too. Under A the place of the shared token must also leave
+   enough tokens behind it on both sides.
 4. The sets of the remaining pairs are intersected exactly; sets are only built and moved for pairs that B has left.
 
 Groups of copies never become all pairs. Each token's classes are first compared with the token's
-leader (the first class in one of a few hash orders); links found are contracted to components; only tokens whose classes still
+leader (the first class in one of a few orders); links found are contracted to components; only tokens whose classes still
 lie in several components give further pairs, and only across components. No link that
 joins two components can be missed, so components are exact. Tokens with very full slots
 are salted: each salt has a leader, and all are compared with one leader of the token too.
@@ -36,7 +37,7 @@ from chatlens.llm.components import components
 
 WORDS = 5
 NUMERATOR, DENOMINATOR = 3, 4  # threshold 3/4
-LEADERS = 4  # hash orders that pick a token's leader
+LEADERS = 8  # orders that pick a token's leader
 SLOTS = 1 << 18  # counting slots of order A, 1 MB
 HOT = 1000  # occurrences above the mean slot from which a token is salted, one salt for each so many
 WEIGHTS = np.array([0x9E3779B97F4A7C15, 0xBF58476D1CE4E5B9, 0x94D049BB133111EB, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F], np.uint64)
@@ -66,10 +67,8 @@ def prefix_size(n: int) -> int:
 
 
 def prefix(s: np.ndarray, order: np.ndarray) -> np.ndarray:
-    p = prefix_size(len(s))
-    if p >= len(s):
-        return s
-    return s[np.argpartition(order, p - 1)[:p]]
+    """Prefix of a sorted set, in ascending order; equal order values go by token, so the order is total."""
+    return s[np.argsort(order, kind="stable")[:prefix_size(len(s))]]
 
 
 def shingle_classes(docs: DataFrame) -> tuple[DataFrame, np.ndarray]:
@@ -109,13 +108,21 @@ def shingle_classes(docs: DataFrame) -> tuple[DataFrame, np.ndarray]:
     return both.where("block is null").select("doc_id", "class", "n", "b"), counts.ravel()
 
 
-def _leader_order(column: str):
-    """One of ``LEADERS`` hash orders of classes, by token: a group of near copies so meets several leaders, not one odd text."""
-    return F.xxhash64(column, F.pmod("token", F.lit(LEADERS)))
+def _leader_order(column: str, n: str, rest: str):
+    """One of ``LEADERS`` orders of classes, by token: fewest tokens before this one first, or a hash order.
+
+    Rare tokens come first under order A, so a near copy with few tokens before a shared one has few words of its own: it is near
+    the middle of its group, and similar to the most others. The hash orders give other leaders.
+    """
+    kind = F.pmod("token", F.lit(LEADERS))
+    return F.when(kind < LEADERS // 2, (F.col(n) - F.col(rest)).cast("long")).otherwise(F.xxhash64(column, kind))
 
 
 def shared_tokens(docs: DataFrame, slots: np.ndarray) -> DataFrame:
-    """Rows (token, class, n, leader, leader_n, top) for prefix tokens under order A that several classes have."""
+    """Rows (token, salt, class, n, rest, leader, leader_n, leader_rest) for prefix tokens under order A that several classes have.
+
+    ``rest`` is how many tokens of the set stand at or after this one under order A.
+    """
     spark = docs.sparkSession
     full = spark.sparkContext.broadcast(slots.astype(np.int64))
     step = max(HOT, int(6 * slots.mean() ** 0.5))
@@ -124,7 +131,7 @@ def shared_tokens(docs: DataFrame, slots: np.ndarray) -> DataFrame:
     def emit(batches):
         words, seen = Hashes(), set()
         for _, texts in text_slices(batches, "text"):
-            tokens, owners, sizes = [], [], []
+            tokens, owners, sizes, rests = [], [], [], []
             for t in texts:
                 s = shingle_set(t, words)
                 if not len(s):
@@ -139,14 +146,15 @@ def shared_tokens(docs: DataFrame, slots: np.ndarray) -> DataFrame:
                 p = prefix(s, order)
                 tokens.append(p)
                 owners.append(np.full(len(p), c, np.int64))
-                sizes.append(np.full(len(p), len(s), np.int64))
+                sizes.append(np.full(len(p), len(s), np.int32))
+                rests.append(np.arange(len(s), len(s) - len(p), -1, dtype=np.int32))
             if tokens:
                 token, owner = np.concatenate(tokens), np.concatenate(owners)
                 over = full.value[(token >> np.uint64(46)).astype(np.int64)] - hot_from
                 salts = np.where(over > 0, 2 + over // step, 1)
                 salt = np.where(salts > 1, 1 + (owner & 0x7FFFFFFF) % salts, 0)
-                yield pa.RecordBatch.from_arrays([pa.array(token.view(np.int64)), pa.array(salt.astype(np.int32)), pa.array(owner), pa.array(np.concatenate(sizes).astype(np.int32))],
-                                                 ["token", "salt", "class", "n"])
+                yield pa.RecordBatch.from_arrays([pa.array(token.view(np.int64)), pa.array(salt.astype(np.int32)), pa.array(owner),
+                                                  pa.array(np.concatenate(sizes)), pa.array(np.concatenate(rests))], ["token", "salt", "class", "n", "rest"])
 
     def runs(batches):
         """Rows sorted by (token, salt, leader order): keep runs of several classes and all salted ones, with the run's first class.
@@ -157,7 +165,7 @@ def shared_tokens(docs: DataFrame, slots: np.ndarray) -> DataFrame:
         for b in batches:
             if not b.num_rows:
                 continue
-            a = [b.column(k).to_numpy(zero_copy_only=False) for k in ("token", "salt", "n", "class")]
+            a = [b.column(k).to_numpy(zero_copy_only=False) for k in ("token", "salt", "n", "class", "rest")]
             if held is not None:
                 a = [np.concatenate(x) for x in zip(held, a)]
             new = np.ones(len(a[0]), bool)  # rows that copies have repeated
@@ -181,13 +189,13 @@ def shared_tokens(docs: DataFrame, slots: np.ndarray) -> DataFrame:
         keep[end:] = False
         if keep.any():
             at = first[run][keep]
-            yield pa.RecordBatch.from_arrays([pa.array(x) for x in (a[0][keep], a[1][keep], a[3][keep], a[2][keep], a[3][at], a[2][at])],
-                                             ["token", "salt", "class", "n", "leader", "leader_n"])
+            yield pa.RecordBatch.from_arrays([pa.array(x) for x in (a[0][keep], a[1][keep], a[3][keep], a[2][keep], a[4][keep], a[3][at], a[2][at], a[4][at])],
+                                             ["token", "salt", "class", "n", "rest", "leader", "leader_n", "leader_rest"])
 
-    postings = docs.select(F.col("text").cast("string").alias("text")).mapInArrow(emit, "token long, salt int, class long, n int")
+    postings = docs.select(F.col("text").cast("string").alias("text")).mapInArrow(emit, "token long, salt int, class long, n int, rest int")
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    met = (postings.repartition(parts, "token", "salt").sortWithinPartitions("token", "salt", _leader_order("class"), "n", "class")
-           .mapInArrow(runs, "token long, salt int, class long, n int, leader long, leader_n int"))
+    met = (postings.repartition(parts, "token", "salt").sortWithinPartitions("token", "salt", _leader_order("class", "n", "rest"), "n", "class")
+           .mapInArrow(runs, "token long, salt int, class long, n int, rest int, leader long, leader_n int, leader_rest int"))
     return checkpoint(met, "jaccard-tokens")
 
 
@@ -196,8 +204,13 @@ def low_words(s: np.ndarray, order: np.uint64) -> np.ndarray:
     return (mix(prefix(s, mix(s ^ order))) & np.uint64(0xFFFFFFFF)).astype(np.uint32).view(np.int32)
 
 
-def _size_fits(a: str, b: str):
-    return (F.col(a) * DENOMINATOR >= F.col(b) * NUMERATOR) & (F.col(b) * DENOMINATOR >= F.col(a) * NUMERATOR)
+def _may_reach():
+    """Whether sets x and y that share a token can reach the threshold.
+
+    If it is their first common token under order A, they have at most the smaller ``rest`` in common. At any later common token
+    ``rest`` is smaller, so a pair that can reach the threshold passes at its first one. Sizes that do not fit fail too.
+    """
+    return F.least("x_rest", "y_rest") * (DENOMINATOR + NUMERATOR) >= (F.col("x_n") + F.col("y_n")) * NUMERATOR
 
 
 def class_sets(docs: DataFrame, needed: DataFrame) -> DataFrame:
@@ -259,11 +272,14 @@ def similar_documents(docs: DataFrame) -> DataFrame:
     prefixes = checkpoint(prefixes.dropDuplicates(["class", "n"]).select("class", F.col("n").cast("int").alias("n"), "b"), "jaccard-prefixes")
 
     # every class with its run's leader, and those of salted tokens also with one leader of the token
-    first = tokens.select(F.col("class").alias("x"), F.col("n").alias("x_n"), F.col("leader").alias("y"), F.col("leader_n").alias("y_n"))
+    x = [F.col("class").alias("x"), F.col("n").alias("x_n"), F.col("rest").alias("x_rest")]
+    first = tokens.select(*x, F.col("leader").alias("y"), F.col("leader_n").alias("y_n"), F.col("leader_rest").alias("y_rest"))
     salted = tokens.where("salt > 0")
-    top = checkpoint(salted.groupBy("token").agg(F.min_by(F.struct("leader_n", "leader"), _leader_order("leader")).alias("top")), "jaccard-top")
-    second = salted.join(top, "token").select(F.col("class").alias("x"), F.col("n").alias("x_n"), F.col("top.leader").alias("y"), F.col("top.leader_n").alias("y_n"))
-    star = first.unionByName(second).where(_size_fits("x_n", "y_n") & ((F.col("x") != F.col("y")) | (F.col("x_n") != F.col("y_n")))).distinct()
+    top = salted.groupBy("token").agg(F.min_by(F.struct("leader_n", "leader", "leader_rest"), F.struct(_leader_order("leader", "leader_n", "leader_rest"), "leader_n", "leader")).alias("top"))
+    second = (salted.join(checkpoint(top, "jaccard-top"), "token")
+              .select(*x, F.col("top.leader").alias("y"), F.col("top.leader_n").alias("y_n"), F.col("top.leader_rest").alias("y_rest")))
+    star = (first.unionByName(second).where(_may_reach() & ((F.col("x") != F.col("y")) | (F.col("x_n") != F.col("y_n"))))
+            .select("x", "x_n", "y", "y_n").distinct())
     star = checkpoint(star, "jaccard-star")
     links = checkpoint(verified(star, prefixes, docs, named), "jaccard-links")
 
@@ -279,12 +295,12 @@ def similar_documents(docs: DataFrame) -> DataFrame:
     # tokens whose classes still lie in several components
     part = (reps.join(near.withColumnRenamed("node", "rep"), "rep", "left")
             .select("class", "n", "rep", F.coalesce("component", "rep").alias("part")))
-    placed = checkpoint(tokens.select("token", "class", "n").join(part, ["class", "n"]), "jaccard-placed")
+    placed = checkpoint(tokens.select("token", "class", "n", "rest").join(part, ["class", "n"]), "jaccard-placed")
     split = placed.groupBy("token").agg(F.min("part").alias("a"), F.max("part").alias("b")).where("a != b").select("token")
     open_ = placed.join(split, "token", "left_semi")
-    x = open_.select("token", F.col("class").alias("x"), F.col("n").alias("x_n"), F.col("part").alias("x_part"))
-    y = open_.select("token", F.col("class").alias("y"), F.col("n").alias("y_n"), F.col("part").alias("y_part"))
-    across = x.join(y, "token").where((F.col("x_part") < F.col("y_part")) & _size_fits("x_n", "y_n")).select("x", "x_n", "y", "y_n").distinct()
+    x = open_.select("token", F.col("class").alias("x"), F.col("n").alias("x_n"), F.col("rest").alias("x_rest"), F.col("part").alias("x_part"))
+    y = open_.select("token", F.col("class").alias("y"), F.col("n").alias("y_n"), F.col("rest").alias("y_rest"), F.col("part").alias("y_part"))
+    across = x.join(y, "token").where((F.col("x_part") < F.col("y_part")) & _may_reach()).select("x", "x_n", "y", "y_n").distinct()
     more = as_edges(checkpoint(verified(across.join(star, ["x", "x_n", "y", "y_n"], "left_anti"), prefixes, docs, named), "jaccard-links"))
     rows = checkpoint(classes.select("doc_id", "class", "n").distinct().join(members, ["class", "n"], "left"), "jaccard-rows")
     repeated = rows.groupBy("doc_id").agg(F.min("rep").alias("v"), F.max("rep").alias("w")).where("v != w").select("doc_id", "v")
