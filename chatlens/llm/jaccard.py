@@ -38,7 +38,8 @@ from chatlens.llm.components import components
 WORDS = 5
 NUMERATOR, DENOMINATOR = 3, 4  # threshold 3/4
 LEADERS = 8  # orders that pick a token's leader
-SLOTS = 1 << 18  # counting slots of order A, 1 MB
+SLOT_BITS = 22  # of a token: its counting slot in order A
+SLOTS = 1 << SLOT_BITS  # 16 MB broadcast, whatever the input
 HOT = 1000  # occurrences above the mean slot from which a token is salted, one salt for each so many
 WEIGHTS = np.array([0x9E3779B97F4A7C15, 0xBF58476D1CE4E5B9, 0x94D049BB133111EB, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F], np.uint64)
 ORDER_B, ORDER_C = np.uint64(0x8CB92BA72F3D8DD7), np.uint64(0x2545F4914F6CDD1D)
@@ -79,19 +80,21 @@ def shingle_classes(docs: DataFrame) -> tuple[DataFrame, np.ndarray]:
         words, slots = Hashes(), np.zeros(SLOTS, np.int64)
         for b, texts in text_slices(batches, "text"):
             sets = [shingle_set(t, words) for t in texts]
-            slots += np.bincount((np.concatenate(sets) >> np.uint64(46)).astype(np.int64), minlength=SLOTS)
+            slots += np.bincount((np.concatenate(sets) >> np.uint64(64 - SLOT_BITS)).astype(np.int64), minlength=SLOTS)
             yield pa.RecordBatch.from_arrays(
                 [b.column("doc_id"), pa.array([set_hash(s) for s in sets], pa.int64()), pa.array([len(s) for s in sets], pa.int64()),
-                 pa.array([low_words(s, ORDER_B) for s in sets], pa.list_(pa.int32())), pa.nulls(len(sets), pa.int32()), pa.nulls(len(sets), pa.list_(pa.int64()))], names)
+                 pa.array([low_words(s, ORDER_B) for s in sets], pa.list_(pa.int32())), pa.nulls(len(sets), pa.int32()), pa.nulls(len(sets), pa.list_(pa.int32()))], names)
         wide = slots.reshape(-1, 256)
+        block = np.flatnonzero(wide.any(1))
+        wide = wide[block].astype(np.int32)
         yield pa.RecordBatch.from_arrays([pa.nulls(len(wide), pa_kind), pa.nulls(len(wide), pa.int64()), pa.nulls(len(wide), pa.int64()), pa.nulls(len(wide), pa.list_(pa.int32())),
-                                          pa.array(np.arange(len(wide), dtype=np.int32)), pa.array(list(wide), pa.list_(pa.int64()))], names)
+                                          pa.array(block.astype(np.int32)), pa.array(list(wide), pa.list_(pa.int32()))], names)
 
     from pyspark.sql.pandas.types import to_arrow_type
     pa_kind = to_arrow_type(docs.schema["doc_id"].dataType)
     names = ["doc_id", "class", "n", "b", "block", "slots"]
     both = checkpoint(docs.select("doc_id", F.col("text").cast("string").alias("text"))
-                      .mapInArrow(scan, f"doc_id {kind}, class long, n long, b array<int>, block int, slots array<long>"), "jaccard-classes")
+                      .mapInArrow(scan, f"doc_id {kind}, class long, n long, b array<int>, block int, slots array<int>"), "jaccard-classes")
 
     def add(batches):
         sums: dict[int, np.ndarray] = {}
@@ -124,7 +127,7 @@ def shared_tokens(docs: DataFrame, slots: np.ndarray) -> DataFrame:
     ``rest`` is how many tokens of the set stand at or after this one under order A.
     """
     spark = docs.sparkSession
-    full = spark.sparkContext.broadcast(slots.astype(np.int64))
+    full = spark.sparkContext.broadcast(np.minimum(slots, (1 << 31) - 1).astype(np.int32))
     step = max(HOT, int(6 * slots.mean() ** 0.5))
     hot_from = int(slots.mean()) + step
 
@@ -140,7 +143,7 @@ def shared_tokens(docs: DataFrame, slots: np.ndarray) -> DataFrame:
                 if (c, len(s)) in seen:  # copies in this task count once
                     continue
                 seen.add((c, len(s)))
-                slot = full.value[(s >> np.uint64(46)).astype(np.int64)]
+                slot = full.value[(s >> np.uint64(64 - SLOT_BITS)).astype(np.int64)]
                 # slot counts above the hash bits: below 2**24 they order exactly, above they tie
                 order = (np.minimum(slot, (1 << 24) - 1).astype(np.uint64) << np.uint64(40)) | (mix(s) >> np.uint64(24))
                 p = prefix(s, order)
@@ -150,7 +153,7 @@ def shared_tokens(docs: DataFrame, slots: np.ndarray) -> DataFrame:
                 rests.append(np.arange(len(s), len(s) - len(p), -1, dtype=np.int32))
             if tokens:
                 token, owner = np.concatenate(tokens), np.concatenate(owners)
-                over = full.value[(token >> np.uint64(46)).astype(np.int64)] - hot_from
+                over = full.value[(token >> np.uint64(64 - SLOT_BITS)).astype(np.int64)].astype(np.int64) - hot_from
                 salts = np.where(over > 0, 2 + over // step, 1)
                 salt = np.where(salts > 1, 1 + (owner & 0x7FFFFFFF) % salts, 0)
                 yield pa.RecordBatch.from_arrays([pa.array(token.view(np.int64)), pa.array(salt.astype(np.int32)), pa.array(owner),
