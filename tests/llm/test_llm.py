@@ -369,6 +369,19 @@ def test_batched_windows_equal_one_window_at_a_time():
         at += len(target)
 
 
+def test_training_windows_hold_every_id_of_every_text_once(spark):
+    ranks = packing.load_ranks(packing.TOKENIZER)
+    size = max(ranks.values()) + 2
+    texts = [None, "", "one", "a long text of many words " * 60, "a long text of many words " * 60, "word " * 31, "word " * 32]
+    _, windows = lm.gather(documents(spark, list(enumerate(texts))), spark.sparkContext.broadcast(ranks), size)
+    got = [np.frombuffer(r.window, lm.id_type(size)).tolist() for r in windows.collect()]
+    pieces, want = lm.Pieces(ranks), []
+    for t in texts:
+        seq = [size - 1, *pieces.expand(pieces.index(lm.words_of((t or "").encode())))[0].tolist(), size - 1]
+        want += [seq[i:i + lm.SPAN + 1] for i in range(0, len(seq) - 1, lm.SPAN)]
+    assert sorted(got) == sorted(want)
+
+
 # --- pipeline ----------------------------------------------------------------------------------------------------------
 def test_pipeline_stages_keep_columns_and_do_what_their_operators_say(spark):
     docs = spark.read.parquet(f"{SF}/documents.parquet")
