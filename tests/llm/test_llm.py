@@ -382,6 +382,48 @@ def test_training_windows_hold_every_id_of_every_text_once(spark):
     assert sorted(got) == sorted(want)
 
 
+def test_ids_of_one_class_are_told_apart_and_sum_to_one():
+    rng = np.random.default_rng(5)
+    size, tail = 1000, np.arange(400, 420)
+    counts = np.where(np.arange(size) < 330, 1000, 0)
+    counts[tail], counts[-1] = 50, 5000
+    classes = lm.Classes(counts, np.ones(size))
+    follows = dict(zip(tail, np.roll(tail, 7)))
+    windows = rng.integers(0, 320, (640, lm.SPAN + 1))
+    for w in windows:
+        for i in range(0, lm.SPAN - 1, 4):
+            w[i] = rng.choice(tail)
+            w[i + 1] = follows[w[i]]
+    flat = lm.train(lm.first_parameters(classes.mass, classes.rows), windows, np.full(640, lm.SPAN), 1, 1.2e-2, classes)
+    flat = lm.train(flat, windows, np.full(640, lm.SPAN), 2, 1.2e-2, classes)
+    model = lm.Model(flat, classes)
+    right = [model.log_probabilities(np.array([5, a, b]), np.array([3]))[0][2] for a, b in follows.items()]
+    wrong = [model.log_probabilities(np.array([5, a, a]), np.array([3]))[0][2] for a in tail]
+    assert np.mean(right) > np.mean(wrong) + 1
+    every = [math.exp(model.log_probabilities(np.array([5, 400, i]), np.array([3]))[0][2]) for i in range(size)]
+    assert math.isclose(sum(every), 1, abs_tol=1e-3)
+    # the gradient is that of the loss, with vectors of single ids
+    flat = flat.astype(np.float64)
+    w, real = windows[:2], np.ones((2, lm.SPAN))
+
+    def loss(f):
+        lp = [lm.Model(f, classes).log_probabilities(x[1:], np.array([lm.SPAN]))[0][:lm.SPAN] for x in w]
+        return -np.mean(lp)
+
+    w = w.copy()
+    w[:, 0] = size - 1
+    g = lm.gradient(flat, w[:, :-1], w[:, 1:], real, classes)
+    for i in [*rng.choice(lm.BASE, 6), *(lm.BASE + rng.choice(len(flat) - lm.BASE, 20))]:
+        e = np.zeros_like(flat)
+        e[i] = 1e-4
+        assert math.isclose(g[i], (loss(flat + e) - loss(flat - e)) / 2e-4, abs_tol=2e-5)
+
+
+def test_held_out_scores_are_above_the_base(spark, real):
+    rest = lm.score_documents(real).where("held_out").collect()
+    assert len(rest) and sum(r.score for r in rest) > sum(r.base_score for r in rest)
+
+
 # --- pipeline ----------------------------------------------------------------------------------------------------------
 def test_pipeline_stages_keep_columns_and_do_what_their_operators_say(spark):
     docs = spark.read.parquet(f"{SF}/documents.parquet")
