@@ -1,7 +1,7 @@
 """Approximate nearest neighbours by cosine: an NN-descent graph and greedy search on it.
 
 Equal vectors form a class; the graph is over classes. It starts from brute force inside blocks of a few random
-projections and is improved by joins of neighbours of neighbours: every node hands its neighbours (its own and those
+projections and is improved, until a round changes hardly any edge (``CHANGED``), by joins of neighbours of neighbours: every node hands its neighbours (its own and those
 that point to it) to one another, and each keeps its ``K`` best. Searches start at the query's own graph neighbours and expand
 the best nodes of a beam until no unexpanded node is left in it. Candidates of a query are
 scored again in double precision on the original vectors.
@@ -25,7 +25,8 @@ from chatlens.llm.base import checkpoint
 
 K, REVERSE = 32, 16  # graph degree; pointing nodes that join
 TREES, BLOCK = 8, 2048  # starting projections, nodes of a block
-ROUNDS, BEAM, EXPAND, STEPS = 2, 96, 24, 8
+BEAM, EXPAND = 96, 24
+CHANGED = 0.001  # the graph is done when a round changes at most this share of its edges
 GIVE = 6  # candidates that a node gets from one local join
 
 
@@ -211,7 +212,7 @@ def greedy_search(graph: DataFrame, nodes: DataFrame, starts: DataFrame) -> Data
             take = best_per_key(q, v, s, BEAM)
             yield pa.RecordBatch.from_arrays([pa.array(q[take]), pa.array(v[take]), pa.array(s[take], pa.float32()), pa.array(done[take])], ["q", "v", "s", "done"])
 
-    for _ in range(STEPS):
+    while True:  # the beam only gets better, and a node that left it can't come back
         order = Window.partitionBy("q").orderBy(F.desc("s"), "v")
         open_ = beam.where("not done").withColumn("k", F.row_number().over(order)).where(F.col("k") <= EXPAND).select("q", "v")
         open_ = checkpoint(open_, "neighbours-open")
@@ -230,9 +231,14 @@ def build_graph(nodes: DataFrame, n: int) -> DataFrame:
     for tree in range(2, TREES + 1):
         graph = graph.unionByName(start_graph(nodes, n, tree))
     graph = checkpoint(_keep_best(graph, K), "neighbours-graph")
-    for _ in range(ROUNDS if n > BLOCK else 0):
-        graph = checkpoint(improve(graph, nodes), "neighbours-graph")
-    return graph
+    while True:  # edges only get better
+        was, graph = graph, checkpoint(improve(graph, nodes), "neighbours-graph")
+        if new_edges(was, graph) <= CHANGED * graph.count():
+            return graph
+
+
+def new_edges(was: DataFrame, now: DataFrame) -> int:
+    return now.select("u", "v").join(was.select("u", "v"), ["u", "v"], "left_anti").count()
 
 
 def nearest(rows: DataFrame, queries: DataFrame, k: int = 5) -> DataFrame:

@@ -300,6 +300,25 @@ def test_neighbours_recall_and_odd_vectors(spark, monkeypatch):
     assert neighbours.nearest(few, few.where("vec_id = 50").selectExpr("vec_id as query_id")).count() == 2
 
 
+def test_graph_is_improved_until_it_stays_and_search_ends_without_open_nodes(spark, monkeypatch):
+    def halves(x):
+        return spark.createDataFrame([(i, bytearray(v.astype(np.float16).tobytes())) for i, v in enumerate(x)], "id long, vec binary")
+
+    monkeypatch.setattr(neighbours, "BLOCK", 32)
+    monkeypatch.setattr(neighbours, "TREES", 1)
+    x = np.random.default_rng(9).normal(size=(900, 12))
+    nodes = base.checkpoint(halves(x / np.linalg.norm(x, axis=1, keepdims=True)), "test-nodes")
+    graph = neighbours.build_graph(nodes, 900)
+    again = base.checkpoint(neighbours.improve(graph, nodes), "test-graph")
+    assert again.join(graph, ["u", "v"], "left_anti").count() <= 0.002 * again.count()
+    # a path: each node knows the next one only
+    angle = np.linspace(0, 1.5, 40)
+    path = base.checkpoint(halves(np.stack([np.cos(angle), np.sin(angle)], 1)), "test-path")
+    chain = spark.createDataFrame([(i, i + 1, 1.0) for i in range(39)], "u long, v long, s float")
+    found = neighbours.greedy_search(chain, path, spark.createDataFrame([(0,)], "q long"))
+    assert {r.v for r in found.collect()} == set(range(40))
+
+
 def rows0(x):
     return [float(a) for a in x[0]]
 
