@@ -1,8 +1,9 @@
 """Language identification by Bayesian fusion of four kinds of evidence.
 
 For each row and language: log P(byte trigrams | language), tempered; log P(declared markup
-language | language); log P(address suffix | language); and a log host prior, smoothed from host
-to registered domain to the whole corpus. All tables come from grouped aggregation over all rows:
+language | language) and log P(address suffix | language), up to a constant of the value and smoothed towards no evidence; and a log host
+prior, smoothed from host to registered domain to the whole corpus. Every declared language and every value takes part, however rare; the
+text model has a row for each declared language (of two or three letters: at most 18,252). All tables come from grouped aggregation over all rows:
 the text model from rows with a declared language, the other three from the language that the
 text alone gives.
 
@@ -16,20 +17,19 @@ judged alike; other columns are ignored, whatever their names.
 from __future__ import annotations
 
 import re
-from functools import reduce
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from chatlens.llm.base import checkpoint, text_slices, without_ids
 
 BUCKETS = 4096  # hashed byte trigrams
 EVIDENCE = 60.0  # a text counts as at most so many independent trigrams
-SMOOTH = 20.0  # pseudo-rows that a host takes from its domain, a domain from the corpus
-MIN_SHARE = 1000  # a language or suffix needs 1/1000 of the rows to have its own entry: at most 1,000 entries
+SMOOTH = 20.0  # pseudo-rows that a host takes from its domain, a domain, a declaration or a suffix from the corpus
 MIN_CONFIDENCE = 0.5
+KNOWN = 20_000  # shares of hosts, domains and values that a task keeps at hand
 MARKUP = re.compile(rb"(?is)<(script|style)\b.*?</\1\s*>|<!--.*?-->|<[^>]*>|&#?\w+;")
 
 
@@ -69,47 +69,28 @@ def text_model(rows: DataFrame, markup: bool) -> tuple[list[str], np.ndarray]:
 
     counts = checkpoint(rows.select("text", "declared").mapInArrow(count, "lang string, slot int, n long")
                         .groupBy("lang", "slot").agg(F.sum("n").alias("n")), "langid-text")
-    total = counts.where(F.col("slot") == BUCKETS).agg(F.sum("n")).first()[0] or 0
-    kept = counts.where(F.col("slot") == BUCKETS).where(F.col("n") * MIN_SHARE >= total)
-    langs = sorted(r.lang for r in kept.select("lang").collect())
+    langs = sorted(r.lang for r in counts.where(F.col("slot") == BUCKETS).select("lang").collect())
     at = {x: i for i, x in enumerate(langs)}
-    model = np.ones((len(langs), BUCKETS))
-    for r in counts.join(F.broadcast(kept.select("lang")), "lang").where(F.col("slot") < BUCKETS).toLocalIterator():
+    model = np.ones((len(langs), BUCKETS), np.float32)
+    for r in counts.where(F.col("slot") < BUCKETS).toLocalIterator():
         model[at[r.lang], r.slot] += r.n
-    return langs, np.log(model / model.sum(1, keepdims=True)).astype(np.float32)
-
-
-def _likelihood(evidence: DataFrame, column: str, langs: list[str]) -> DataFrame:
-    """Rows (column, array of log P(value | language)); rare values share the entry ``other``."""
-    n = evidence.where("guess is not null").groupBy(column, "guess").agg(F.count("*").alias("n"))
-    total = n.agg(F.sum("n")).first()[0] or 1
-    sums = n.groupBy(column).agg(F.sum("n").alias("all"), *[F.sum(F.when(F.col("guess") == x, F.col("n")).otherwise(0)).alias(f"n{i}")
-                                                          for i, x in enumerate(langs)])
-    common = sums.where(F.col("all") * MIN_SHARE >= total).collect()
-    per = [sum(r[f"n{i}"] for r in common) for i in range(len(langs))]
-    k = len(common) + 1
-    rows = [(r[column], [float(np.log((r[f"n{i}"] + 0.5) / (per[i] + 0.5 * k))) for i in range(len(langs))]) for r in common]
-    return evidence.sparkSession.createDataFrame(rows, f"{column} string, ll_{column} array<double>")
-
-
-def host_priors(evidence: DataFrame, langs: list[str]) -> DataFrame:
-    """Rows (host, array of log prior), smoothed host <- domain <- corpus by grouped aggregation."""
-    sums = [F.sum(F.when(F.col("guess") == x, 1).otherwise(0)).alias(f"n{i}") for i, x in enumerate(langs)]
-    again = [F.sum(f"n{i}").alias(f"n{i}") for i in range(len(langs))]
-    hosts = evidence.groupBy("domain", "host").agg(*sums)
-    domains = hosts.groupBy("domain").agg(*again)
-    top = domains.agg(*again).first()
-    n = [float(top[i] or 0) for i in range(len(langs))]
-    corpus = [(x + 1.0) / (sum(n) + len(langs)) for x in n]
-
-    def rise(counts: list[Column], base: list[Column]) -> list[Column]:
-        whole = reduce(lambda a, b: a + b, counts) + F.lit(SMOOTH)
-        return [(c + F.lit(SMOOTH) * p) / whole for c, p in zip(counts, base)]
-
-    numbers = [F.col(f"n{i}") for i in range(len(langs))]
-    domains = domains.select("domain", *[p.alias(f"p{i}") for i, p in enumerate(rise(numbers, [F.lit(x) for x in corpus]))])
-    host = rise(numbers, [F.col(f"p{i}") for i in range(len(langs))])
-    return hosts.join(domains, "domain").select("domain", "host", F.array(*[F.log(p) for p in host]).alias("prior"))
+    for row in model:
+        row[:] = np.log(row / row.sum(dtype=np.float64))
+    return langs, model
+
+
+def votes(evidence: DataFrame, by: list[str], name: str) -> DataFrame:
+    """Rows of ``by`` with the guesses of their rows: places of languages and counts, those that occur only."""
+    n = evidence.where("guess is not null").groupBy(*by, "guess").agg(F.count("*").alias("n"))
+    return n.groupBy(*by).agg(F.collect_list(F.struct("guess", "n")).alias(name))
+
+
+def shares(seen: list | None, base: np.ndarray) -> np.ndarray:
+    """Shares of languages among the guesses, smoothed by ``SMOOTH`` rows of ``base``."""
+    p = SMOOTH * base
+    for v in seen or ():
+        p[v["guess"]] += v["n"]
+    return p / p.sum()
 
 
 def identify(rows: DataFrame, markup: bool) -> DataFrame:
@@ -131,25 +112,50 @@ def identify(rows: DataFrame, markup: bool) -> DataFrame:
             ll = counts @ shared.value.T
             ll *= np.minimum(1.0, EVIDENCE / np.maximum(n, 1))[:, None]
             best = ll.argmax(1)
-            out = [*(b.column(c) for c in keep), pa.array(n, pa.int64()),
-                   pa.array([langs[k] if m else None for k, m in zip(best, n)], pa.string()), pa.array(ll.astype(np.float64).tolist(), pa.list_(pa.float64()))]
+            rows_ll = pa.ListArray.from_arrays(pa.array(np.arange(len(ll) + 1) * ll.shape[1], pa.int32()), pa.array(ll.ravel()))
+            out = [*(b.column(c) for c in keep), pa.array(n, pa.int64()), pa.array(best, pa.int32(), mask=n == 0), rows_ll]
             yield pa.RecordBatch.from_arrays(out, [*keep, "n", "guess", "ll"])
 
     kind = rows.schema["id"].dataType.simpleString()
-    evidence = checkpoint(rows.mapInArrow(weigh, f"id {kind}, host string, suffix string, domain string, declared string, n long, guess string, ll array<double>"),
+    evidence = checkpoint(rows.mapInArrow(weigh, f"id {kind}, host string, suffix string, domain string, declared string, n long, guess int, ll array<float>"),
                           "langid-evidence")
-    zero = F.array(*[F.lit(0.0)] * len(langs))
-    add = lambda a, b: F.zip_with(a, b, lambda x, y: x + y)
-    fused = (evidence.join(host_priors(evidence, langs), ["domain", "host"], "left")
-             .join(F.broadcast(_likelihood(evidence, "declared", langs)), "declared", "left")
-             .join(F.broadcast(_likelihood(evidence, "suffix", langs)), "suffix", "left")
-             .withColumn("post", add(add("ll", F.coalesce("prior", zero)), add(F.coalesce("ll_declared", zero), F.coalesce("ll_suffix", zero)))))
-    top = F.array_max("post")
-    sure = F.when(F.col("n") > 0, 1 / F.aggregate("post", F.lit(0.0), lambda a, x: a + F.exp(x - top))).otherwise(F.lit(0.0))
-    names = F.array(*map(F.lit, langs))
-    return (fused.withColumn("confidence", sure)
-            .withColumn("language", F.when(F.col("confidence") >= MIN_CONFIDENCE, F.element_at(names, F.array_position("post", top).cast("int"))).otherwise("und"))
-            .select("id", "host", "declared", "language", "confidence"))
+    counts = np.ones(len(langs))
+    for r in evidence.where("guess is not null").groupBy("guess").agg(F.count("*").alias("n")).collect():  # a row for each language at most
+        counts[r.guess] += r.n
+    corpus = counts / counts.sum()
+    hosts = votes(evidence, ["domain", "host"], "by_host").join(votes(evidence, ["domain"], "by_domain"), "domain")
+    # written first, so that Spark knows the size and broadcasts the small ones
+    of_declared = checkpoint(votes(evidence, ["declared"], "by_declared"), "langid-declared")
+    of_suffix = checkpoint(votes(evidence, ["suffix"], "by_suffix"), "langid-suffix")
+    joined = (evidence.join(hosts, ["domain", "host"], "left").join(of_declared, "declared", "left").join(of_suffix, "suffix", "left")
+              .select("id", "host", "declared", "suffix", "domain", "n", "ll", "by_host", "by_domain", "by_declared", "by_suffix"))
+
+    def judge(batches):
+        known: dict[tuple, np.ndarray] = {}
+
+        def told(b, i, column, key, base):
+            key = (column, key)
+            if key not in known:
+                if len(known) >= KNOWN:
+                    known.clear()
+                known[key] = np.log(shares(b.column(column)[i].as_py(), base))
+            return known[key]
+
+        for b in batches:
+            if not b.num_rows:
+                continue
+            post = np.asarray(b.column("ll").flatten(), np.float64).reshape(b.num_rows, -1)
+            values = zip(*(b.column(c).to_pylist() for c in ("host", "domain", "declared", "suffix")))
+            for i, (host, domain, declared, suffix) in enumerate(values):
+                base = told(b, i, "by_domain", domain, corpus)
+                post[i] += told(b, i, "by_host", (domain, host), np.exp(base))
+                post[i] += told(b, i, "by_declared", declared, corpus) + told(b, i, "by_suffix", suffix, corpus) - 2 * np.log(corpus)
+            best = post.argmax(1)
+            sure = np.where(np.asarray(b.column("n")) > 0, 1 / np.exp(post - post.max(1, keepdims=True)).sum(1), 0.0)
+            yield pa.RecordBatch.from_arrays([*(b.column(c) for c in ("id", "host", "declared")), pa.array([langs[k] if p >= MIN_CONFIDENCE else "und" for k, p in zip(best, sure)], pa.string()),
+                                              pa.array(sure)], ["id", "host", "declared", "language", "confidence"])
+
+    return joined.mapInArrow(judge, f"id {kind}, host string, declared string, language string, confidence double")
 
 
 def page_rows(pages: DataFrame) -> DataFrame:

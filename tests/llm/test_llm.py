@@ -166,6 +166,18 @@ def test_language_of_pages_follows_text_and_declaration(spark):
     assert {r.language for r in langid.identify_pages(odd).collect()} == {"und"}
 
 
+def test_rare_declared_languages_and_values_count(spark):
+    rng = np.random.default_rng(3)
+    common = ["the", "house", "water", "under", "which", "seven", "mother", "garden"]
+    rare = ["agus", "bhfuil", "sráid", "uisce", "teach", "máthair", "gairdín", "seacht"]
+    text = lambda w: f"<p>{' '.join(rng.choice(w, 40))}</p>"
+    rows = [(i, f"http://a{i % 7}.example.com/", f'<html lang="en">{text(common)}') for i in range(2400)]
+    rows += [(10_000 + i, f"http://b{i}.example.ie/", f'<html lang="ga">{text(rare)}') for i in range(2)]
+    rows += [(20_000, "http://c.example.org/", text(rare))]
+    got = {r.page_id: r.language for r in langid.identify_pages(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    assert [got[i] for i in (10_000, 10_001, 20_000)] == ["ga"] * 3 and all(got[i] == "en" for i in range(2400))
+
+
 def test_language_stage_drops_texts_without_letters_only(spark, real):
     odd = documents(spark, [(10**6, None), (10**6 + 1, "12 34"), (None, "12")]).select(*real.columns)
     kept = langid.keep_identified(real.unionByName(odd))
