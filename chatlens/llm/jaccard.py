@@ -31,6 +31,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType, StructField, StructType
 
 from chatlens.llm.base import Hashes, checkpoint, id_bitmap, maybe_in, mix, text_slices, without_ids
 from chatlens.llm.components import components
@@ -315,7 +316,40 @@ def similar_documents(docs: DataFrame) -> DataFrame:
                     F.when(named_id, F.coalesce("component", "rep", "doc_id")).alias("component_id")))
 
 
+def with_sets(docs: DataFrame) -> DataFrame:
+    """Documents with their class and size of set as ``_class`` and ``_n``."""
+    def scan(batches):
+        words = Hashes()
+        for b, texts in text_slices(batches, "text"):
+            sets = [shingle_set(t, words) for t in texts]
+            yield pa.RecordBatch.from_arrays([*b.columns, pa.array([set_hash(s) for s in sets], pa.int64()), pa.array([len(s) for s in sets], pa.int64())],
+                                             [*b.schema.names, "_class", "_n"])
+
+    return docs.mapInArrow(scan, StructType([*docs.schema.fields, StructField("_class", LongType()), StructField("_n", LongType())]))
+
+
+def first_rows(rows: DataFrame, keys: list[str], columns: list[str]) -> DataFrame:
+    """One row per key: the smallest text that is not null, then the smallest other columns."""
+    order = F.struct(F.col("text").isNull().alias("_none"), "text", *[c for c in columns if c != "text"])
+    return rows.groupBy(*keys).agg(F.min(order).alias("_row")).select(*[F.col(f"_row.{c}").alias(c) for c in columns])
+
+
 def keep_one_of_each(docs: DataFrame) -> DataFrame:
-    """Documents with the smallest doc_id of their component; one row of each repeated doc_id."""
+    """One row of the smallest doc_id of each component.
+
+    Of rows that repeat a doc_id, that of ``first_rows`` stays; only ids that may be repeated go through a shuffle. Of rows without a doc_id
+    one stays for each set of shingles that no row with a doc_id has; those with an empty set link with nothing and all stay.
+    """
     found = checkpoint(similar_documents(docs).select("doc_id", "component_id"), "jaccard-found")
-    return without_ids(docs, found.where("doc_id != component_id"), "doc_id")
+    kept = without_ids(docs, found.where("doc_id != component_id"), "doc_id")
+    repeated = checkpoint(docs.where("doc_id is not null").groupBy("doc_id").agg(F.count("*").alias("n")).where("n > 1").select("doc_id"), "jaccard-repeated")
+    maybe = maybe_in(docs.sparkSession, id_bitmap(repeated, "doc_id"), "doc_id")
+    named = F.col("doc_id").isNotNull()
+    out = kept.where(named & ~maybe).unionByName(first_rows(kept.where(maybe), ["doc_id"], docs.columns))
+    if docs.where(~named).isEmpty():
+        return out
+    nameless = checkpoint(with_sets(docs.where(~named)), "jaccard-nameless")
+    taken = with_sets(docs.where(named).select("text")).select("_class", "_n").distinct()
+    fresh = nameless.where("_n > 0").join(taken, ["_class", "_n"], "left_anti")
+    return (out.unionByName(first_rows(fresh, ["_class", "_n"], docs.columns))
+            .unionByName(nameless.where("_n = 0").select(*docs.columns)))

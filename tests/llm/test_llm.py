@@ -133,6 +133,17 @@ def test_components_are_exact_with_chains_copies_and_hot_tokens(spark, monkeypat
     assert jaccard.similar_documents(documents(spark, [])).count() == 0
 
 
+def test_one_row_of_each_group_stays_with_repeated_and_null_ids(spark):
+    long = "one long enough text of several words that others share "
+    texts = [(1, long + "a"), (1, long + "a"), (1, "quite another text under the same id here"), (2, long + "a"), (3, "a text of its own with words"),
+             (None, "copies without any id at all"), (None, "copies  without any ID at all"), (None, long + "a"), (None, None), (4, None), (4, "")]
+    docs = documents(spark, texts).repartition(3)
+    kept = jaccard.keep_one_of_each(docs)
+    assert kept.columns == docs.columns
+    assert sorted([(r.doc_id, r.text) for r in kept.collect()], key=str) == sorted(
+        [(1, long + "a"), (3, "a text of its own with words"), (4, ""), (None, "copies  without any ID at all"), (None, None)], key=str)
+
+
 def test_components_of_loops_and_paths(spark):
     edges = spark.createDataFrame([(1, 1), (1, 2), (2, 3), (9, 3), (5, 6), (6, 5), (5, 6)], "u long, v long")
     assert sorted(map(tuple, components.components(edges).collect())) == [(1, 1), (2, 1), (3, 1), (5, 5), (6, 5), (9, 1)]
