@@ -165,6 +165,23 @@ def test_quality_separates_held_out_rows_and_handles_odd_ones(spark):
     assert quality.score_documents(docs.limit(0), labels).count() == 0
 
 
+def test_quality_sample_holds_each_labelled_id_once(spark, monkeypatch):
+    ids = [i for i in range(100) if zlib.crc32(str(i).encode()) % 5]
+    texts = [(i, f"text number {i} of them") for i in ids] + [(ids[0], f"again {k}") for k in range(300)]
+    labels = spark.createDataFrame([(i, i % 2) for i in ids], "doc_id long, quality int")
+    seen, first = [], quality.Network.__init__
+
+    def record(self, x, y):
+        seen.append((x, y))
+        first(self, x, y)
+
+    monkeypatch.setattr(quality, "FIT_ROWS", 100)
+    monkeypatch.setattr(quality.Network, "__init__", record)
+    for parts in (1, 5):
+        quality.score_documents(documents(spark, texts).repartition(parts), labels)
+    assert [len(y) for _, y in seen] == [len(ids)] * 2 and np.allclose(seen[0][0], seen[1][0], atol=1e-4)
+
+
 # --- language ----------------------------------------------------------------------------------------------------------
 def test_language_of_pages_follows_text_and_declaration(spark):
     pages = spark.read.parquet(f"{SF.replace('0.001', '0.01')}/pages.parquet")
