@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from chatlens.llm import decontaminate, jaccard, langid, licenses, lm, neighbours, packing, quality, url_filter, warc
+from chatlens.llm import bpe, decontaminate, jaccard, langid, licenses, lm, merkle, neighbours, packing, quality, resample, url_filter, warc
 from chatlens.llm.base import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -75,6 +75,23 @@ def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.identify_pages(table(spark, sf_dir, "pages"))
 
 
+@query
+def op11_importance_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    drawn = resample.resample(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), percent=5, min_words=20, seed=42)
+    return drawn.select("doc_id", "n_features", "weight", "score", "rank")
+
+
+@query
+def op12_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return merkle.verify(table(spark, sf_dir, "documents"))
+
+
+@query
+def op13_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+    return bpe.digest(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
+
+
 QUERIES["pipeline"] = corpus_pipeline.run
 if corpus_pipeline.ORACLE_SQL:
     ORACLE["pipeline"] = corpus_pipeline.ORACLE_SQL
@@ -171,3 +188,81 @@ SELECT page_id, payload_bytes,
   CASE WHEN page_id = one THEN 'response' ELSE 'revisit' END AS record_type, CASE WHEN page_id <> one THEN one END AS refers_to
 FROM f
 """
+
+LOWER = "translate({}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+# CRC-32 by its table, which the polynomial's rule gives; the argument is a list of bytes and ``crc_table`` holds the table.
+CRC_TABLE = """crc_table AS (
+  SELECT list(v ORDER BY i) AS crcs FROM (SELECT i, list_reduce(list_prepend(i, range(8)), lambda c, k: CASE WHEN (c & 1) = 1 THEN xor(3988292384, c >> 1) ELSE c >> 1 END) AS v
+  FROM range(256) AS n(i)))"""
+CRC = "xor(list_reduce(list_prepend(4294967295, {}), lambda c, b: xor(c >> 8, crcs[(xor(c, b) & 255) + 1])), 4294967295)"
+
+
+def sql_leaf(text: str) -> str:
+    fields = ["CAST(doc_id AS VARCHAR)", "source", "lang", "CAST(n_chars AS VARCHAR)", text]
+    return "sha256(" + " || ".join(f"coalesce(strlen({f}) || ':' || {f}, '-')" for f in fields) + ")"
+
+
+ORACLE["op12_merkle_manifest"] = f"""
+WITH RECURSIVE {CRC_TABLE},
+documents_hashed AS (
+  SELECT row_number() OVER () AS r, doc_id, coalesce('=' || lang, '') AS grp, {sql_leaf('text')} AS leaf, {sql_leaf(LOWER.format('text'))} AS lower_leaf,
+    coalesce({CRC.format("list_transform(string_split(CAST(doc_id AS VARCHAR), ''), lambda x: CAST(ascii(x) AS BIGINT))")} % 3 = 0, false) AS tampered
+  FROM documents, crc_table),
+placed AS (
+  SELECT r, doc_id, grp, leaf, CASE WHEN tampered THEN lower_leaf ELSE leaf END AS found,
+    row_number() OVER (PARTITION BY grp ORDER BY doc_id NULLS FIRST, leaf) - 1 AS pos, count(*) OVER (PARTITION BY grp) AS total
+  FROM documents_hashed),
+up AS (
+  SELECT 0 AS k, grp, pos, leaf AS node, total FROM placed
+  UNION ALL
+  SELECT k + 1, grp, pos // 8, sha256(string_agg(node, '' ORDER BY pos)), (total + 7) // 8 FROM up WHERE total > 1 GROUP BY k, grp, pos // 8, total),
+heights AS (SELECT grp, max(k) AS h FROM up GROUP BY grp),
+subroots AS (SELECT grp, h, node AS subroot, row_number() OVER (ORDER BY grp) - 1 AS pos, count(*) OVER () AS total FROM up JOIN heights USING (grp) WHERE total = 1),
+top AS (
+  SELECT 0 AS k, pos, subroot AS node, total FROM subroots
+  UNION ALL
+  SELECT k + 1, pos // 8, sha256(string_agg(node, '' ORDER BY pos)), (total + 7) // 8 FROM top WHERE total > 1 GROUP BY k, pos // 8, total),
+in_group AS (SELECT r, p.grp, k, pos >> (3 * k) AS place FROM placed p JOIN (SELECT DISTINCT grp, k FROM up WHERE total > 1) l ON l.grp = p.grp),
+above_group AS (SELECT r, h, k, s.pos >> (3 * k) AS place FROM placed p JOIN subroots s ON s.grp = p.grp, (SELECT DISTINCT k FROM top WHERE total > 1)),
+steps AS (
+  SELECT r, i.k AS step, coalesce(string_agg(node, '' ORDER BY pos) FILTER (pos < place), '') AS l, coalesce(string_agg(node, '' ORDER BY pos) FILTER (pos > place), '') AS g
+  FROM in_group i JOIN up u ON u.grp = i.grp AND u.k = i.k AND u.pos // 8 = i.place // 8 GROUP BY r, i.k
+  UNION ALL
+  SELECT r, h + a.k, coalesce(string_agg(node, '' ORDER BY pos) FILTER (pos < place), ''), coalesce(string_agg(node, '' ORDER BY pos) FILTER (pos > place), '')
+  FROM above_group a JOIN top t ON t.k = a.k AND t.pos // 8 = a.place // 8 GROUP BY r, h + a.k),
+folded AS (
+  SELECT r, 0 AS step, found AS node FROM placed
+  UNION ALL
+  SELECT f.r, f.step + 1, sha256(l || node || g) FROM folded f JOIN steps s ON s.r = f.r AND s.step = f.step),
+proofs AS (SELECT r, string_agg(l || g, '' ORDER BY step) AS proof FROM steps GROUP BY r),
+ends AS (SELECT r, arg_max(node, step) AS folded_root FROM folded GROUP BY r)
+SELECT p.doc_id, p.leaf, s.subroot, t.node AS root, sha256(coalesce(x.proof, '')) AS proof_sha256, e.folded_root, e.folded_root = t.node AS verified
+FROM placed p JOIN subroots s ON s.grp = p.grp JOIN ends e ON e.r = p.r LEFT JOIN proofs x ON x.r = p.r, (SELECT node FROM top WHERE total = 1) t
+"""
+
+ORACLE["op11_importance_resampling"] = rf"""
+WITH {CRC_TABLE},
+texts AS (
+  SELECT row_number() OVER () AS r, doc_id, w, false AS target
+  FROM (SELECT doc_id, regexp_extract_all({LOWER.format("coalesce(text, '')")}, '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM documents)
+  UNION ALL
+  SELECT -row_number() OVER (), NULL, regexp_extract_all({LOWER.format("coalesce(text, '')")}, '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+'), true FROM benchmark),
+runs AS (
+  SELECT r, target, array_to_string(w[i:i + n - 1], ' ') AS f
+  FROM (SELECT r, target, w, n, unnest(range(1, len(w) - n + 2)) AS i FROM texts, (VALUES (1), (2), (3)) AS lengths(n) WHERE len(w) >= n)),
+hashed AS (
+  SELECT f, {CRC.format("list_transform(range(0, len(h) // 2), lambda i: CAST('0x' || h[2 * i + 1:2 * i + 2] AS BIGINT))")} % 10000 AS bucket
+  FROM (SELECT f, hex(encode(f)) AS h FROM (SELECT DISTINCT f FROM runs)), crc_table),
+counted AS (SELECT bucket, count(*) FILTER (NOT target) AS s, count(*) FILTER (target) AS t FROM runs JOIN hashed USING (f) GROUP BY bucket),
+gains AS (
+  SELECT bucket, CAST(floor(1000 * ln(CAST(t + 1 AS DOUBLE) * CAST(all_s + 10000 AS DOUBLE) / (CAST(s + 1 AS DOUBLE) * CAST(all_t + 10000 AS DOUBLE)))) AS BIGINT) AS gain
+  FROM counted, (SELECT sum(s) AS all_s, sum(t) AS all_t FROM counted)),
+weighed AS (SELECT r, count(*) AS n, CAST(sum(gain) AS BIGINT) AS weight FROM runs JOIN hashed USING (f) JOIN gains USING (bucket) WHERE NOT target GROUP BY r),
+scored AS (
+  SELECT r, doc_id, len(w) AS n_words, coalesce(n, 0) AS n_features, coalesce(weight, 0) AS weight,
+    coalesce(weight, 0) + CAST(floor(-1000 * ln(-ln((CAST('0x' || substr(sha256('42:' || coalesce(CAST(doc_id AS VARCHAR), '')), 1, 8) AS BIGINT) + 0.5::DOUBLE) / 4294967296.0::DOUBLE))) AS BIGINT) AS score
+  FROM texts LEFT JOIN weighed USING (r) WHERE NOT target),
+drawn AS (
+  SELECT r, row_number() OVER (ORDER BY score DESC, doc_id NULLS FIRST, weight, n_features) AS rank, count(*) OVER () AS n FROM scored WHERE n_words >= 20)
+SELECT doc_id, n_features, weight, score, rank FROM scored LEFT JOIN (SELECT r, rank FROM drawn WHERE rank <= 5 * n // 100) USING (r)
+"""

@@ -505,4 +505,4 @@ def test_pipeline_stages_keep_columns_and_do_what_their_operators_say(spark):
 def test_queries_without_sql_are_listed():
     from chatlens.llm import catalog
     assert set(catalog.QUERIES) - set(catalog.ORACLE) == {
-        "op2_lm_scoring", "op4_quality_classifier", "op5_nearest_neighbours", "op7_packing", "op10_language_id", "pipeline"}
+        "op2_lm_scoring", "op4_quality_classifier", "op5_nearest_neighbours", "op7_packing", "op10_language_id", "op13_bpe", "pipeline"}
