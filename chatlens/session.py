@@ -32,6 +32,14 @@ def get_session(master: str = "local[*]", app: str = "chatlens", shuffle_partiti
     return spark
 
 
+def share_library(spark: SparkSession) -> None:
+    """Let Python workers import this library from where the driver has it; a cluster without that path ships it with --py-files."""
+    root = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
+    env = spark.sparkContext.environment
+    if root not in env.get("PYTHONPATH", "").split(os.pathsep):
+        env["PYTHONPATH"] = os.pathsep.join(filter(None, [env.get("PYTHONPATH"), root]))
+
+
 def checkpoint_dir(spark: SparkSession) -> str:
     """Return the shared checkpoint folder the cluster names in ``spark.checkpoint.dir``.
 

@@ -1,15 +1,11 @@
 """JSON message collections.
 
-One scan reads every accepted shape: ``{metadata, messages}``, ``[{metadata, messages}]``,
-bare ``[message, ...]``, API pages ``{data: [...]}``, and JSON-lines content. Each file becomes
-one text row (``wholetext``) parsed with ``from_json`` against the declared envelope schema,
-so there is no schema inference and no per-file exception: a file that does not parse becomes
-a row of the rejects table (FILE_CORRUPTED / FILE_EMPTY) and every other file still loads.
-
-Scale note: a whole-file JSON document cannot be split, so each file is one task (Spark's
-multiLine reader has the same limit). Very large collections should be written as JSON lines
-(``*.jsonl``), which ``read_jsonl`` reads with the splittable line reader; analysis then runs on
-the Parquet table written by ``sinks.write_messages``.
+Every accepted shape: ``{metadata, messages}``, ``[{metadata, messages}]``, bare ``[message, ...]``, API pages
+``{data: [...]}``, and JSON-lines content. Batch jobs read files by blocks (``json_splits``), so a file of many blocks is read by
+many tasks; JSON lines go to the line reader. There is no schema inference and no per-file exception: what does not parse
+becomes a row of the rejects table (FILE_CORRUPTED / FILE_EMPTY / VALIDATION_INVALID_FORMAT) and everything else still loads.
+
+Streams parse each new file as one text row (``wholetext``, ``parse_files``), since a micro-batch's files come as a DataFrame.
 """
 
 from __future__ import annotations
@@ -22,6 +18,8 @@ from pyspark.sql import types as T
 from chatlens.functions import patterns as P
 from chatlens.operators.validate import FILE_CORRUPTED, FILE_EMPTY, VALIDATION_INVALID_FORMAT
 from chatlens.schema import ENVELOPE, MESSAGE_COLUMNS, MESSAGE_ELEMENT, RAW_MESSAGE
+from chatlens.session import cut_lineage
+from chatlens.sources import json_splits
 
 RAW_FIELDS = [f.name for f in RAW_MESSAGE.fields]
 
@@ -75,13 +73,61 @@ def file_name_columns(name: Column) -> list[Column]:
 
 def read_collection_files(spark: SparkSession, path: str | list[str], *, glob: str | None = None
                           ) -> tuple[DataFrame, DataFrame]:
-    """S1+S2+S3+S7: (raw message rows, rejected files).
+    """S1+S2+S3+S7: (raw message rows, rejected files, documents and elements).
 
-    Raw rows keep every value as a string plus lineage: ``source_file``, ``file_channel``,
-    ``file_min_id``, ``file_max_id``, ``loaded_at`` (collected_at / combined_at of the envelope),
-    ``split_pos``, ``doc_pos`` and ``msg_pos`` (position inside the file, for keep-latest ordering).
+    Files are read by blocks (``json_splits``); nothing holds a whole file. Raw rows keep every value as a string plus lineage: ``source_file``,
+    ``file_channel``, ``file_min_id``, ``file_max_id``, ``loaded_at`` (collected_at / combined_at of the envelope) and ``split_pos``,
+    ``doc_pos``, ``msg_pos``, which grow inside the file (for keep-latest ordering).
     """
-    return parse_files(_scan(spark, path, glob))
+    paths = path if isinstance(path, list) else [path]
+    frags = json_splits.fragments(spark, paths, glob)
+    states = json_splits.split_states(frags)
+    raw, rejects = parse_units(json_splits.whole_units(cut_lineage(json_splits.units(frags, states), "json-units")))
+    files = states.select("source_file", "bad", "lines", "blank").distinct()
+    rejects = rejects.unionByName(files.where("blank").select("source_file", F.lit(FILE_EMPTY).alias("code"), F.lit(None).cast("string").alias("detail")))
+    rejects = rejects.unionByName(files.where("bad <> '' and not lines and not blank").select("source_file", F.lit(FILE_CORRUPTED).alias("code"), F.col("bad").alias("detail")))
+    by_line = files.where("lines").select("source_file")
+    if not by_line.isEmpty():
+        lines, bad_lines = read_jsonl(spark, path, glob=glob, only=by_line)
+        raw, rejects = raw.unionByName(lines), rejects.unionByName(bad_lines)
+    return raw, rejects
+
+
+def parse_units(units: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Parse the units of ``json_splits`` -> (raw message rows, rejects).
+
+    A document that is no object or does not parse, and text outside all documents, are rejected; an element of a message array that is no object or does
+    not parse is VALIDATION_INVALID_FORMAT. Elements of ``data`` count only where the document has no ``messages``."""
+    docs = units.where("kind = 'doc'").withColumn("doc", F.from_json("text", ENVELOPE))
+    is_object = F.col("text").startswith("{")
+    good = is_object & F.col("doc").isNotNull() & F.col("doc._corrupt_record").isNull()
+    once = F.col("doc_seq") >= 0  # a document in several splits comes under two names
+    is_array = F.col("doc.messages").isNotNull() | F.col("doc.data").isNotNull()
+    is_bare = ~is_array & F.coalesce(*[F.col(f"doc.{c}") for c in RAW_FIELDS]).isNotNull()
+    loaded = F.coalesce(F.col("doc.metadata.combined_at"), F.col("doc.metadata.collected_at")).alias("loaded_at")
+    envelopes = cut_lineage(docs.where(good & is_array).select("source_file", "doc_split", "doc_seq", loaded, F.col("doc.messages").isNotNull().alias("has_messages")),
+                            "json-envelopes")
+    place = [F.col("split_pos"), F.col("seq").alias("doc_pos")]
+    gaps = units.where("kind = 'gap' and array is not null").select("*", F.posexplode(json_splits.scalars("text")).alias("msg_pos", "scalar"))
+    bare_text = F.get(F.from_json(F.concat(F.lit("["), F.col("scalar"), F.lit("]")), "array<string>"), 0)
+    keys = ["source_file", "file_name_src", "array", "doc_split", "doc_seq"]
+    elements = (units.where("kind = 'element'").select(*keys, *place, F.lit(0).alias("msg_pos"), F.col("text").alias("m_text"), is_object.alias("is_object"))
+                .unionByName(gaps.select(*keys, *place, "msg_pos", F.when(F.col("scalar") != "null", F.coalesce(bare_text, "scalar")).alias("m_text"), F.lit(False).alias("is_object"))))
+    in_top = F.col("array") == json_splits.TOP
+    elements = (elements.join(envelopes, ["source_file", "doc_split", "doc_seq"], "left")
+                .where(in_top | (F.col("array") == "messages") | ~F.coalesce("has_messages", F.lit(False)))
+                .withColumn("m", F.when(F.col("is_object"), F.from_json("m_text", MESSAGE_ELEMENT))))
+    loads = F.col("m").isNotNull() & F.col("m._corrupt_record").isNull()
+    bare = (docs.where(good & is_bare & once)
+            .select("source_file", "file_name_src", *place, F.lit(0).alias("msg_pos"), loaded, F.from_json("text", MESSAGE_ELEMENT).alias("m")))
+    found = bare.unionByName(elements.where(loads).select(*bare.columns))
+    raw = found.select(*[F.col(f"m.{c}").alias(c) for c in RAW_FIELDS], "source_file", *file_name_columns(F.col("file_name_src")), "loaded_at", "split_pos", "doc_pos",
+                       F.col("msg_pos").cast("bigint").alias("msg_pos"))
+    invalid = F.lit(VALIDATION_INVALID_FORMAT).alias("code")
+    rejects = (docs.where(~good & once).select("source_file", F.when(is_object, FILE_CORRUPTED).otherwise(VALIDATION_INVALID_FORMAT).alias("code"), F.col("text").alias("detail"))
+               .unionByName(elements.where(~loads).select("source_file", invalid, F.col("m_text").alias("detail")))
+               .unionByName(units.where("kind = 'gap' and array is null").select("source_file", F.lit(FILE_CORRUPTED).alias("code"), F.col("text").alias("detail"))))
+    return raw, rejects
 
 
 def parse_files(files: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -144,8 +190,9 @@ def empty_files(spark: SparkSession, path: str | list[str], *, glob: str | None
                  .select("source_file", F.lit(FILE_EMPTY).alias("code"), F.lit(None).cast("string").alias("detail")))
 
 
-def read_jsonl(spark: SparkSession, path: str | list[str], *, glob: str | None = None) -> tuple[DataFrame, DataFrame]:
+def read_jsonl(spark: SparkSession, path: str | list[str], *, glob: str | None = None, only: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
     """Splittable reader for large JSON-lines collections, one message (or envelope) per line: (raw message rows, rejects).
+    ``only``: the ``source_file`` names to read, if not all.
 
     ``split_pos`` is where the line's split starts in the file and ``doc_pos`` grows inside the split, so the later line
     wins as in a file read whole."""
@@ -153,6 +200,8 @@ def read_jsonl(spark: SparkSession, path: str | list[str], *, glob: str | None =
     lines = reader.text(path if isinstance(path, list) else [path]).select(
         F.col("_metadata.file_path").alias("source_file"), F.col("_metadata.file_name").alias("file_name_src"),
         F.col("_metadata.file_block_start").alias("split_pos"), F.monotonically_increasing_id().alias("doc_pos"), F.col("value").alias("doc_text"))
+    if only is not None:
+        lines = lines.join(only, "source_file", "left_semi")
     return parse_docs(lines.where(F.col("doc_text").rlike(r"(?U)\S")))
 
 
