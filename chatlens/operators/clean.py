@@ -28,6 +28,20 @@ def to_long(c: Column) -> Column:
     return F.coalesce(s.try_cast("bigint"), F.when(whole, d.try_cast("bigint")))
 
 
+def to_count(c: Column) -> Column:
+    """C4: a count as an integer, fractions cut towards zero ('12.7' -> 12); what is no finite number is null."""
+    s = null_if_missing(c.cast("string"))
+    d = s.try_cast("double")
+    return F.coalesce(s.try_cast("bigint"), F.when(~F.isnan(d) & (F.abs(d) != float("inf")), d.try_cast("bigint")))
+
+
+def normal_string(c: Column) -> Column:
+    """C4: a string value as the store receives it: missing markers null, 'bool' 'false', 'true' and 'false' in any case lower-cased."""
+    low = F.lower(c)
+    return (F.when(c.isin(*P.NULL_STRINGS), F.lit(None).cast("string")).when(low == "bool", F.lit("false"))
+             .when(low.isin("true", "false"), low).otherwise(c))
+
+
 def to_timestamp_utc(c: Column) -> Column:
     """ISO ('T') or space separated timestamps with optional offset -> UTC wall clock; bad -> null."""
     s = null_if_missing(c.cast("string"))
@@ -36,7 +50,7 @@ def to_timestamp_utc(c: Column) -> Column:
 
 def to_bool(c: Column) -> Column:
     s = F.lower(F.trim(c.cast("string")))
-    return F.when(s.isin("true", "1", "yes"), True).when(s.isin("false", "0", "no"), False)
+    return F.when(s.isin("true", "1", "yes"), True).when(s.isin("false", "0", "no", "bool"), False)
 
 
 def typed_messages(raw: DataFrame) -> DataFrame:
@@ -45,7 +59,7 @@ def typed_messages(raw: DataFrame) -> DataFrame:
     for f in MESSAGE.fields:
         c = F.col(f.name) if f.name in raw.columns else F.lit(None)
         if f.name in NUMERIC:
-            c = to_long(c)
+            c = to_long(c) if f.name == "message_id" else to_count(c)
         elif f.name == "date":
             c = to_timestamp_utc(c)
         elif isinstance(f.dataType, T.BooleanType):
@@ -95,9 +109,15 @@ def iso_timestamp(c: Column) -> Column:
         F.date_format(c, "yyyy-MM-dd'T'HH:mm:ss.SSSSSS"))
 
 
+def import_strings(df: DataFrame) -> DataFrame:
+    """C4 on the string columns of typed rows, as the import stores them."""
+    return df.withColumns({c: normal_string(F.col(c)) for c in STORE_BASE + STORE_OPTIONAL
+                           if c in df.columns and isinstance(df.schema[c].dataType, T.StringType)})
+
+
 def store_values(df: DataFrame) -> DataFrame:
-    """C4 + C5: values as the message store receives them: dates as ISO text, booleans as
-    'true'/'false', counts as integers (non-integral or non-finite -> null), missing strings null."""
+    """C4 + C5: values as the message store receives them: dates as ISO text, booleans as 'true'/'false', counts as integers
+    (fractions cut, non-finite -> null), strings by ``normal_string``, lists and objects as JSON text."""
     out = []
     for c in store_projection(df).columns:
         dt = df.schema[c].dataType
@@ -107,17 +127,74 @@ def store_values(df: DataFrame) -> DataFrame:
         elif isinstance(dt, T.BooleanType):
             col = F.when(col.isNull(), None).when(col, "true").otherwise("false")
         elif c in NUMERIC:
-            col = to_long(col)
-        elif isinstance(dt, T.StringType) and c not in ("text", "caption"):
-            col = null_if_missing(col)
-        elif isinstance(dt, (T.ArrayType, T.MapType, T.StructType)):
-            col = F.to_json(col)
+            col = to_long(col) if c == "message_id" else to_count(col)
+        elif isinstance(dt, T.StringType):
+            col = normal_string(col)
+        elif isinstance(dt, T.ArrayType):
+            col = F.when(col.isNotNull(), F.concat(F.lit("{"), F.array_join(F.transform(col, _keyed), ","), F.lit("}")))
+        elif isinstance(dt, (T.MapType, T.StructType)):
+            col = F.when(col.isNotNull(), F.concat(F.lit("["), F.to_json(col), F.lit("]")))
+        elif isinstance(dt, T.DayTimeIntervalType):
+            col = interval_seconds(col)
         out.append(col.alias(c))
     return df.select(*out)
 
 
+def _json_value(x: Column) -> Column:
+    """JSON text of any value: what a one-field object of it holds behind its key."""
+    whole = F.to_json(F.struct(x.alias("v")), {"ignoreNullFields": "false"})
+    return F.substring(whole, F.lit(6), F.length(whole) - 6)
+
+
+def _keyed(x: Column, i: Column) -> Column:
+    return F.concat(F.lit('"'), i.cast("string"), F.lit('":'), _json_value(x))
+
+
+def normal_values(df: DataFrame, document: str = "document", *, keep: tuple[str, ...] = ()) -> DataFrame:
+    """C4 for values of unknown type: ``keep``, ``field, kind, value`` for every field of the JSON objects in ``document``.
+
+    The object is read as VARIANT, so no schema is declared or inferred and every value keeps the type it came with:
+
+    * null, and the strings that mark missing values: kind ``null``, value null; so are numbers that are not finite;
+    * booleans, and the strings ``bool`` (false), ``true`` and ``false`` in any case: kind ``string``, ``true`` or ``false``;
+    * counts (``file_size, views, forwards, replies``) that are numbers: kind ``integer``, cut towards zero; digit strings too, but for ``file_size``;
+    * other numbers: kind ``number``; other strings: kind ``string``;
+    * lists: kind ``json``, an object from place to element; objects: kind ``json``, an array of the one object (keys in order).
+
+    Documents that are null, no objects or do not parse give no rows here; ``bad_documents`` has them.
+    """
+    parsed = df.select(*keep, F.try_parse_json(F.col(document)).alias("_v")).where(F.schema_of_variant("_v").startswith("OBJECT"))
+    fields = parsed.lateralJoin(parsed.sparkSession.tvf.variant_explode(F.col("_v").outer()))
+    v = F.col("value")
+    kind = F.schema_of_variant(v)
+    text = F.try_variant_get(v, "$", "string")
+    number = F.try_variant_get(v, "$", "double")
+    is_number = kind.isin("BIGINT", "DOUBLE", "FLOAT") | kind.startswith("DECIMAL")
+    is_text = kind == "STRING"
+    count = F.col("key").isin("views", "forwards", "replies")
+    cut = F.coalesce(F.when(kind == "BIGINT", F.try_variant_get(v, "$", "bigint")), F.try_variant_get(v, "$", "decimal(38,18)").try_cast("bigint"), number.try_cast("bigint"))
+    digits = is_text & text.rlike("^[0-9]+$")
+    missing = kind.isNull() | (kind == "VOID") | (is_text & text.isin(*P.NULL_STRINGS)) | (is_number & (F.isnan(number) | (F.abs(number) == float("inf"))))
+    integer = (is_number & (count | (F.col("key") == "file_size"))) | (digits & count)
+    listed = F.concat(F.lit("{"), F.array_join(F.transform(F.try_variant_get(v, "$", "array<variant>"), lambda x, i: F.concat(F.lit('"'), i.cast("string"), F.lit('":'), F.to_json(x))), ","), F.lit("}"))
+    value = (F.when(missing, F.lit(None).cast("string"))
+              .when(integer, F.when(digits, text.try_cast("bigint")).otherwise(cut).cast("string"))
+              .when(kind == "BOOLEAN", text).when(is_text, normal_string(text)).when(kind.startswith("ARRAY"), listed)
+              .when(kind.startswith("OBJECT"), F.concat(F.lit("["), F.to_json(v), F.lit("]"))).otherwise(F.to_json(v)))
+    label = (F.when(missing, "null").when(integer, "integer").when(is_number, "number")
+              .when(kind.startswith("ARRAY") | kind.startswith("OBJECT"), "json").otherwise("string"))
+    return fields.select(*keep, F.col("key").alias("field"), label.alias("kind"), value.alias("value"))
+
+
+def bad_documents(df: DataFrame, document: str = "document", *, keep: tuple[str, ...] = ()) -> DataFrame:
+    """Rows whose ``document`` is null, no JSON object or does not parse."""
+    is_object = F.schema_of_variant(F.try_parse_json(F.col(document))).startswith("OBJECT")
+    return df.where(~F.coalesce(is_object, F.lit(False))).select(*keep, document)
+
+
 def interval_seconds(c: Column) -> Column:
     """Day-time interval -> total seconds (double)."""
+    c = c.cast("interval day to second")
     return (F.extract(F.lit("DAY"), c) * 86400.0 + F.extract(F.lit("HOUR"), c) * 3600.0
             + F.extract(F.lit("MINUTE"), c) * 60.0 + F.extract(F.lit("SECOND"), c).cast("double"))
 
