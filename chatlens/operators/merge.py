@@ -52,17 +52,18 @@ def dedup_report(before: DataFrame, after: DataFrame, *, by: Sequence[str] = BY)
 
 
 def combine_summary(existing: DataFrame, new: DataFrame, combined: DataFrame | None = None, *,
-                    stored: DataFrame | None = None, by: Sequence[str] = BY, key: Sequence[str] = KEY) -> DataFrame:
+                    counted: DataFrame | None = None, by: Sequence[str] = BY, key: Sequence[str] = KEY) -> DataFrame:
     """Per channel: existing rows, new rows, rows after combine, new messages added
     (keys not present before), duplicates removed, status created / updated / no_new_files.
 
-    ``existing`` may be the part of the store that ``new`` can meet; ``stored`` is then the whole store (only its ``by``
-    columns are read). Without ``combined``, the rows after combine are the stored ones, unique by key, plus those added.
+    ``existing`` may be the part of the store that ``new`` can meet; ``counted`` then has the ``rows`` of the whole store
+    (one row or several a channel). Without ``combined``, the rows after combine are the stored ones, unique by key, plus those added.
     Null channels and null ids are values like others."""
     count = F.count(F.lit(1))
     keys = (new.select(*key, F.lit(True).alias("new")).unionByName(existing.select(*key, F.lit(False).alias("new")))
                .groupBy(*key).agg(F.every("new").alias("added")))
-    parts = [((stored if stored is not None else existing).groupBy(*by).agg(count.alias("existing_messages"))),
+    parts = [(existing.groupBy(*by).agg(count.alias("existing_messages")) if counted is None
+              else counted.groupBy(*by).agg(F.sum("rows").alias("existing_messages"))),
              new.groupBy(*by).agg(count.alias("new_rows")),
              keys.groupBy(*by).agg(F.count_if("added").alias("new_messages_added"))]
     if combined is not None:
@@ -92,6 +93,50 @@ def lineage(ranges: DataFrame, *, by: Sequence[str] = BY, unit: str = "source_fi
         F.concat_ws("-", F.min("min_id").cast("string"), F.max("max_id").cast("string")).alias("overall_range"))
 
 
+def coalesce_ranges(ranges: DataFrame, *, by: Sequence[str] = BY, span: int = 10_000_000) -> DataFrame:
+    """U4: the id ranges of a ledger melted into islands without a gap, per channel: ``min_id, max_id, ranges, messages, first_load, last_load``.
+
+    Ranges meet when they overlap or follow each other. A first pass melts them inside spans of ids, so that a channel of very many files is not
+    sorted in one task; what is left, at most a few islands a span, is melted again. Ranges without ids are left out."""
+    def melt(rows: DataFrame, keys: list[str]) -> DataFrame:
+        w = Window.partitionBy(*keys).orderBy("min_id", "max_id")
+        before = F.max("max_id").over(w.rowsBetween(Window.unboundedPreceding, -1))
+        starts = F.coalesce((F.col("min_id") > before + 1).cast("long"), F.lit(1))
+        island = F.sum("_starts").over(w.rowsBetween(Window.unboundedPreceding, 0))
+        return (rows.withColumn("_starts", starts).withColumn("_island", island).groupBy(*keys, "_island")
+                .agg(F.min("min_id").alias("min_id"), F.max("max_id").alias("max_id"), F.sum("ranges").alias("ranges"), F.sum("messages").alias("messages"),
+                     F.min("first_load").alias("first_load"), F.max("last_load").alias("last_load")).drop("_island"))
+
+    rows = ranges.where(F.col("min_id").isNotNull()).select(*by, "min_id", "max_id", F.lit(1).cast("long").alias("ranges"), "messages",
+                                                            F.col("load").alias("first_load"), F.col("load").alias("last_load"))
+    spans = rows.withColumn("_span", F.floor(F.col("min_id") / span))
+    return melt(melt(spans, [*by, "_span"]).drop("_span"), list(by))
+
+
+def changed_rows(left: DataFrame, right: DataFrame, *, key: Sequence[str] = KEY, compare: Sequence[str]) -> DataFrame:
+    """Rows in which two sources differ, with ``status`` (only_left, only_right, changed), taken from the right where it has the key.
+
+    Only keys and a 128-bit hash of the compared values are shuffled to find them; whole rows move for the keys that differ alone. Keys are unique on each side."""
+    def hashed(df: DataFrame, name: str) -> DataFrame:
+        values = F.to_json(F.struct(*compare), {"ignoreNullFields": "false"})
+        return df.select(*key, F.md5(values.cast("binary")).alias(name))
+
+    on = F.lit(True)
+    for k in key:
+        on = on & F.col(f"l.{k}").eqNullSafe(F.col(f"r.{k}"))
+    both = hashed(left, "l_hash").alias("l").join(hashed(right, "r_hash").alias("r"), on, "full_outer")
+    status = F.when(F.col("r_hash").isNull(), "only_left").when(F.col("l_hash").isNull(), "only_right").otherwise("changed")
+    differ = both.where(~F.col("l_hash").eqNullSafe(F.col("r_hash"))).select(*[F.coalesce(F.col(f"l.{k}"), F.col(f"r.{k}")).alias(k) for k in key], status.alias("status"))
+
+    def whole(df: DataFrame, which: Column) -> DataFrame:
+        same = F.lit(True)
+        for k in key:
+            same = same & F.col(f"x.{k}").eqNullSafe(F.col(f"d.{k}"))
+        return df.alias("x").join(differ.where(which).alias("d"), same).select(*[F.col(f"x.{c}").alias(c) for c in df.columns], F.col("d.status").alias("status"))
+
+    return whole(right, F.col("status") != "only_left").unionByName(whole(left, F.col("status") == "only_left"), allowMissingColumns=True)
+
+
 def range_overlaps(ranges: DataFrame, *, by: Sequence[str] = BY, unit: str = "source_file") -> DataFrame:
     """Gaps-and-islands over id ranges. For each range (ordered by min, max, unit) the running
     maximum of earlier ranges decides: overlap (starts at or below it), gap (starts more than one

@@ -17,6 +17,7 @@ from chatlens.session import cut_lineage
 from chatlens.sinks import writers
 from chatlens.sources import collections
 
+MAX_TOUCHED = 100_000  # partitions of the store that are broadcast, some 5 MB
 LINEAGE_ORDER = ("source_file", "split_pos", "doc_pos", "msg_pos")
 
 
@@ -31,14 +32,92 @@ def stored_schema(with_partitions: bool = False):
     return T.StructType(fields)
 
 
+def touched_partitions(new: DataFrame) -> DataFrame:
+    """The (channel, id block) partitions of the store that ``new`` falls in, one row each."""
+    return writers.with_store_partition(new).select(writers.PART, writers.BLOCK).distinct()
+
+
 def touched_existing(spark: SparkSession, store_path: str, new: DataFrame) -> DataFrame:
-    """Stored rows in the (channel, id block) partitions that ``new`` touches, exactly those the job will overwrite.
+    """Stored rows in the partitions that ``new`` touches, exactly those the job will overwrite.
 
-    A null-safe semi join on the partition columns (rows without a channel live in a partition too)."""
+    A semi join on the partition columns, which are never null, so Spark prunes the store's files to these partitions before it reads (dynamic
+    partition pruning). The touched partitions are broadcast while they are at most ``MAX_TOUCHED``; beyond, Spark plans the join as it likes."""
     existing = collections.read_table_or_empty(spark, store_path, stored_schema(True))
-    touched = (writers.with_store_partition(new).select(F.col(writers.PART).alias("_part"), F.col(writers.BLOCK).alias("_block")).distinct())
-    same = F.col(writers.PART).eqNullSafe(F.col("_part")) & F.col(writers.BLOCK).eqNullSafe(F.col("_block"))
-    return existing.join(touched, same, "left_semi").drop(writers.PART, writers.BLOCK)
+    touched = cut_lineage(touched_partitions(new), "touched").where(F.col(writers.BLOCK) >= -1)  # true for all; pruning wants a filter on this side
+    if touched.count() <= MAX_TOUCHED:
+        touched = F.broadcast(touched)
+    return existing.join(touched, [writers.PART, writers.BLOCK], "left_semi").drop(writers.PART, writers.BLOCK)
+
+
+COMMITS = "_commits"  # below the store's folder, where readers of the store don't look
+COMMIT_SCHEMA = ("seq long, state string, committed_at timestamp, channel string, id_block long, channel_username string, rows long")
+LEDGER = "_lineage"
+LEDGER_SCHEMA = "load long, combined_at timestamp, channel_username string, source_file string, min_id long, max_id long, messages long"
+
+
+def read_log(spark: SparkSession, store_path: str, name: str, schema: str) -> DataFrame:
+    return collections.read_table_or_empty(spark, f"{store_path.rstrip('/')}/{name}", _schema(schema))
+
+
+def _schema(ddl: str):
+    from pyspark.sql.types import StructType
+    return StructType.fromDDL(ddl)
+
+
+def partition_rows(rows: DataFrame) -> DataFrame:
+    """Rows of each channel in each partition of the store; partitions with no channel name of their own come as null names."""
+    return rows.groupBy(writers.PART, writers.BLOCK, "channel_username").agg(F.count(F.lit(1)).alias("rows"))
+
+
+def stored_counts(spark: SparkSession, store_path: str) -> DataFrame:
+    """``channel, id_block, channel_username, rows`` of the whole store, from the commit log.
+
+    The last commit of a partition tells its rows. Partitions whose last entry has begun and not ended (an import, or a lost driver) are counted from the
+    store itself, and only they are read. A store without a log is counted whole, once: the first commit logs it."""
+    log = read_log(spark, store_path, COMMITS, COMMIT_SCHEMA)
+    last = log.groupBy(writers.PART, writers.BLOCK).agg(F.max("seq").alias("seq"), F.max_by("state", F.struct("seq", (F.col("state") == "done"))).alias("last_state"))
+    sure = (log.where("state = 'done'").join(last.where("last_state = 'done'").drop("last_state"), [writers.PART, writers.BLOCK, "seq"])
+            .where("rows > 0").select(writers.PART, writers.BLOCK, "channel_username", "rows"))
+    unsure = cut_lineage(last.where("last_state <> 'done'").select(writers.PART, writers.BLOCK), "unsure").where(F.col(writers.BLOCK) >= -1)
+    if log.isEmpty():
+        return partition_rows(collections.read_table_or_empty(spark, store_path, stored_schema(True)))
+    if unsure.isEmpty():
+        return sure
+    again = collections.read_table_or_empty(spark, store_path, stored_schema(True)).join(F.broadcast(unsure), [writers.PART, writers.BLOCK], "left_semi")
+    return sure.unionByName(partition_rows(again))
+
+
+def _log(rows: DataFrame, store_path: str, seq: int, state: str) -> None:
+    rows = rows if "rows" in rows.columns else rows.select("*", F.lit(None).cast("string").alias("channel_username"), F.lit(0).cast("long").alias("rows"))
+    rows.select(F.lit(seq).cast("long").alias("seq"), F.lit(state).alias("state"), F.current_timestamp().alias("committed_at"), writers.PART, writers.BLOCK,
+                "channel_username", F.col("rows").cast("long").alias("rows")).write.mode("append").parquet(f"{store_path.rstrip('/')}/{COMMITS}")
+
+
+def next_seq(spark: SparkSession, store_path: str) -> int:
+    return (read_log(spark, store_path, COMMITS, COMMIT_SCHEMA).agg(F.max("seq")).first()[0] or 0) + 1
+
+
+def begin(spark: SparkSession, store_path: str, touched: DataFrame) -> int:
+    """Log that the touched partitions are about to change; returns the commit's number. The first commit of a store also logs what the store holds."""
+    seq = next_seq(spark, store_path)
+    if seq == 1:
+        _log(cut_lineage(stored_counts(spark, store_path), "first-counts"), store_path, 1, "done")
+        seq = 2
+    _log(touched, store_path, seq, "begun")
+    return seq
+
+
+def commit(spark: SparkSession, store_path: str, combined: DataFrame, touched: DataFrame) -> int:
+    """Replace the touched partitions by ``combined`` between two entries of the commit log."""
+    seq = begin(spark, store_path, touched)
+    writers.write_messages(combined, store_path)
+    _log(partition_rows(writers.with_store_partition(combined)), store_path, seq, "done")
+    return seq
+
+
+def lineage_ledger(spark: SparkSession, store_path: str) -> DataFrame:
+    """U4: id islands of every channel over all loads so far."""
+    return merge.coalesce_ranges(read_log(spark, store_path, LEDGER, LEDGER_SCHEMA))
 
 
 def to_store_rows(typed: DataFrame) -> DataFrame:
@@ -71,19 +150,34 @@ def combine(spark: SparkSession, raw_path: str, store_path: str, *, channels: st
             glob: str | None = "*.json", lines_glob: str | None = "*.jsonl") -> tuple[DataFrame, DataFrame]:
     """Read new collection files, merge them into the stored table, replace the touched
     (channel, id block) partitions. Returns (summary per channel, rejected files and elements). Running it twice on the
-    same files gives the same table (keep-latest is idempotent)."""
+    same files gives the same table (keep-latest is idempotent).
+
+    Only the touched partitions of the store are read; what the rest holds is known from the commit log."""
     new, rejects = read_loads(spark, raw_path, channels=channels, glob=glob, lines_glob=lines_glob)
     new = cut_lineage(new, "combine-new")                       # files are parsed once
+    touched = cut_lineage(touched_partitions(new), "combine-touched")
     existing_touched = touched_existing(spark, store_path, new)
-    combined = cut_lineage(merge_into(existing_touched, new))   # also frees the read of store_path
-    # U4 lineage of this load: source files and their [min, max] id ranges per channel (one entry
-    # per file), the overall range and the combine time, next to the U5 counts.
-    lineage = (merge.lineage(merge.id_ranges(new)).withColumn("combined_at", F.current_timestamp())
-               .withColumnRenamed("channel_username", "_channel"))
-    stored = collections.read_table_or_empty(spark, store_path, stored_schema(True))
-    summary = merge.combine_summary(existing_touched, new, stored=stored)
-    summary = cut_lineage(summary.join(lineage, F.col("channel_username").eqNullSafe(F.col("_channel")), "left").drop("_channel"))
-    writers.write_messages(combined, store_path)
+    combined = cut_lineage(merge_into(existing_touched, new), "combine-merged")   # also frees the read of store_path
+    stored = cut_lineage(stored_counts(spark, store_path), "combine-stored")
+    summary = merge.combine_summary(existing_touched, new, counted=stored)
+    # U4: this load's files with their id ranges (lists as long as the load has files) and, over the ledger and this load, all files, the overall
+    # range and the time the channel was combined before.
+    now = F.current_timestamp()
+    ranges = cut_lineage(merge.id_ranges(new), "combine-ranges")
+    ledger = read_log(spark, store_path, LEDGER, LEDGER_SCHEMA)
+    known = (ledger.select("channel_username", "source_file", "min_id", "max_id", "combined_at")
+             .unionByName(ranges.select("channel_username", "source_file", "min_id", "max_id", F.lit(None).cast("timestamp").alias("combined_at"))))
+    files = known.groupBy("channel_username", "source_file").agg(F.min("min_id").alias("lo"), F.max("max_id").alias("hi"), F.max("combined_at").alias("at"))
+    history = files.groupBy("channel_username").agg(
+        F.count(F.lit(1)).alias("source_files_total"), F.concat_ws("-", F.min("lo").cast("string"), F.max("hi").cast("string")).alias("overall_range"),
+        F.max("at").alias("previous_combined_at")).withColumnRenamed("channel_username", "_other")
+    lineage = merge.lineage(ranges).drop("overall_range").withColumn("combined_at", now).withColumnRenamed("channel_username", "_channel")
+    summary = (summary.join(lineage, F.col("channel_username").eqNullSafe(F.col("_channel")), "left")
+               .join(history, F.col("channel_username").eqNullSafe(F.col("_other")), "left").drop("_channel", "_other"))
+    summary = cut_lineage(summary, "combine-summary")
+    seq = commit(spark, store_path, combined, touched)
+    (ranges.select(F.lit(seq).cast("long").alias("load"), now.alias("combined_at"), "channel_username", "source_file", "min_id", "max_id", "messages")
+     .write.mode("append").parquet(f"{store_path.rstrip('/')}/{LEDGER}"))
     return summary, rejects
 
 
@@ -157,6 +251,8 @@ def run_analysis(spark: SparkSession, store_path: str, out_path: str | None = No
 def run_import(spark: SparkSession, source: DataFrame, store_path: str, **kw) -> dict:
     """K5 job: import rows into the message store, skipping keys already stored."""
     stored = collections.read_table_or_empty(spark, store_path, stored_schema(True))
+    if not (kw.get("dry_run") or kw.get("validate_only")):
+        begin(spark, store_path, touched_partitions(clean.typed_messages(source)))  # what they will hold is counted when it is next asked for
     return writers.import_messages(source, store_path, stored=stored, **kw)
 
 

@@ -18,6 +18,7 @@ from chatlens.schema import MESSAGE_COLUMNS
 PART = "channel"
 BLOCK = "id_block"
 BLOCK_SIZE = 100_000  # message ids per storage block (ids grow per channel, so loads touch few blocks)
+NO_CHANNEL = "~"  # partition of rows without a channel in the message store; a null would not prune by equality
 
 
 def with_partition(df: DataFrame) -> DataFrame:
@@ -33,8 +34,8 @@ def id_block(message_id="message_id", size: int = BLOCK_SIZE):
 
 def with_store_partition(df: DataFrame) -> DataFrame:
     """Message-store partitioning: (channel, id block). A combine replaces only the blocks its
-    new messages fall in, so a hot channel is never rewritten whole; readers still prune by channel."""
-    return with_partition(df).withColumn(BLOCK, id_block())
+    new messages fall in, so a hot channel is never rewritten whole; readers still prune by channel. Neither column is ever null."""
+    return df.withColumn(PART, F.coalesce(F.nullif(channel_key("channel_username"), F.lit("")), F.lit(NO_CHANNEL))).withColumn(BLOCK, id_block())
 
 
 def collection_manifest(df: DataFrame) -> DataFrame:
@@ -94,7 +95,7 @@ def write_combined_results(tables: Mapping[str, DataFrame], path: str) -> None:
 def import_messages(df: DataFrame, store_path: str | None, *, stored: DataFrame | None = None,
                     skip_duplicates: bool = True, dry_run: bool = False, validate_only: bool = False,
                     limit: int | None = None, batch_size: int = 100) -> dict:
-    """K5: validate -> type -> skip already stored keys and repeated keys of the batch -> append.
+    """K5: validate -> type and normalise values (C4) -> skip already stored keys and repeated keys of the batch -> append.
 
     ``limit`` keeps the first n messages in (channel, id) order (the reference's --limit).
     Counts come from Observations on the rows while they are written, or from aggregations of
@@ -114,7 +115,7 @@ def import_messages(df: DataFrame, store_path: str | None, *, stored: DataFrame
         # of equal keys in the batch the first is imported: by lineage where the rows have one, else by content
         order = [c for c in ("source_file", "split_pos", "doc_pos", "msg_pos") if c in typed.columns] + [f for f in MESSAGE_COLUMNS if f in typed.columns]
         typed = merge.keep_first(typed, order)
-    out = clean.store_projection(typed)
+    out = clean.import_strings(clean.store_projection(typed))
     if writes:
         out = with_store_partition(out.observe(obs_new, F.count(F.lit(1)).alias("new")))
         out.write.mode("append").partitionBy(PART, BLOCK).parquet(store_path)

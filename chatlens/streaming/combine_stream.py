@@ -15,7 +15,6 @@ from pyspark.sql import functions as F
 
 from chatlens.operators import clean
 from chatlens.plans import jobs
-from chatlens.sinks import writers
 from chatlens.sources import collections
 
 
@@ -54,7 +53,7 @@ def merge_batch(spark: SparkSession, store_path: str, rejects_path: str | None =
         if batch.isEmpty():
             return
         merged = jobs.merge_into(jobs.touched_existing(spark, store_path, batch), batch)
-        writers.write_messages(cut_lineage(merged, "stream-merge"), store_path)
+        jobs.commit(spark, store_path, cut_lineage(merged, "stream-merge"), jobs.touched_partitions(batch))
     return run
 
 
