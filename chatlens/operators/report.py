@@ -9,11 +9,11 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from chatlens.functions.expr import MIB, MONTH_NAMES, non_blank, pct, round_half_even
-from chatlens.operators import content, files, language, people, timeline
+from chatlens.operators import content, files, people, profile
 from chatlens.operators.topk import BY
 
 SOURCE_TYPES = ("file", "db", "diff")
@@ -42,6 +42,21 @@ def source_breakdown(df: DataFrame, *, source: str | None = None, by: Sequence[s
                          F.coalesce("files", F.lit(0)).alias("files")))
 
 
+def source_cube(sources: dict[str, DataFrame], *, by: str = "channel_username") -> DataFrame:
+    """A26 over real sources: messages and files for each channel and source, each channel, each source and all (``level`` 0, 1, 2, 3: which of
+    channel (2) and source (1) are summed up). Every source of every channel is there, with zeros where it has none.
+
+    The cube is taken over the counts by channel and source, not over the rows."""
+    rows = None
+    for name, df in sources.items():
+        part = df.groupBy(by).agg(F.count(F.lit(1)).alias("messages"), F.count_if(F.col("file_size") > 0).alias("files")).withColumn("source", F.lit(name))
+        rows = part if rows is None else rows.unionByName(part)
+    empty = F.explode(F.array(*[F.lit(s) for s in sources])).alias("source")
+    zero = F.lit(0).cast("long")
+    rows = rows.unionByName(rows.select(by).distinct().select(by, empty, zero.alias("messages"), zero.alias("files")))
+    return rows.cube(by, "source").agg(F.sum("messages").alias("messages"), F.sum("files").alias("files"), F.grouping_id().alias("level"))
+
+
 def channel_metrics(df: DataFrame, *, by: Sequence[str] = BY) -> DataFrame:
     """Long metric table (channel, metric, value) used by run comparison."""
     wide = df.groupBy(*by).agg(
@@ -156,132 +171,43 @@ def validate_report(rep: DataFrame, *, max_chars: int = 1_000_000,
 
 
 # ------------------------------------------------------------------------------- chart datasets
-def _chart(t: DataFrame, chart: str, ord_col, label_col, value_col, *, by: Sequence[str] = BY) -> DataFrame:
-    o = F.col(ord_col) if isinstance(ord_col, str) else ord_col
-    lab = F.col(label_col) if isinstance(label_col, str) else label_col
-    v = F.col(value_col) if isinstance(value_col, str) else value_col
-    return t.select(*by, F.lit(chart).alias("chart"), o.cast("bigint").alias("ord"), lab.cast("string").alias("label"),
-                    v.cast("double").alias("value"))
-
-
-def chart_file_uniqueness(df, *, by=BY):
-    """G1: unique vs duplicate file names (from A1)."""
-    d = files.filename_duplicates(df, by=by)
-    pairs = F.explode(F.array(
-        F.struct(F.lit(0).alias("o"), F.lit("Unique Files").alias("l"),
-                 (F.col("total_files") - F.col("files_with_duplicate_names")).alias("v")),
-        F.struct(F.lit(1).alias("o"), F.lit("Duplicate Files").alias("l"), F.col("files_with_duplicate_names").alias("v"))))
-    return _chart(d.select(*by, pairs.alias("p")).select(*by, "p.*"), "file_uniqueness", "o", "l", "v", by=by)
-
-
-def chart_file_languages(df, *, by=BY):
-    """A6 distribution (top 10)."""
-    return _chart(language.file_language_distribution(df, 10, by=by), "file_languages", "rank", "language", "count", by=by)
-
-
-def chart_emojis(df, *, by=BY):
-    """Top 10 emojis."""
-    return _chart(content.top_tokens(df, "emoji", 10, by=by), "emojis", "rank", "emoji", "count", by=by)
-
-
-def chart_file_sizes(df, *, by=BY):
-    """A8 histogram."""
-    return _chart(files.filesize_histogram(df, by=by), "file_sizes", "ord", "bin", "count", by=by)
-
-
-def chart_file_types(df, *, by=BY):
-    """Top 10 extensions."""
-    return _chart(files.extensions_top(df, 10, by=by), "file_types", "rank", "ext", "count", by=by)
-
-
-def chart_hashtags(df, *, by=BY):
-    """Hashtags; channels without hashtags fall back to emojis, then to one 'No Data' row."""
-    h = content.top_tokens(df, "hashtag", 10, by=by).select(*by, "rank", F.col("hashtag").alias("label"), "count")
-    e = content.top_tokens(df, "emoji", 10, by=by).select(*by, "rank", F.col("emoji").alias("label"), "count")
-    e_only = e.join(h.select(*by).distinct(), list(by), "left_anti")
-    spine = df.select(*by).distinct()
-    none = (spine.join(h.select(*by).distinct(), list(by), "left_anti").join(e.select(*by).distinct(), list(by), "left_anti")
-                 .select(*by, F.lit(1).alias("rank"), F.lit("No Data").alias("label"), F.lit(0).alias("count")))
-    return _chart(h.unionByName(e_only).unionByName(none), "hashtags", "rank", "label", "count", by=by)
-
-
-def chart_timeline(df, *, by=BY):
-    """Down-sampled daily timeline (A18); ord = position in date order."""
-    from pyspark.sql import Window
-    t = timeline.daily_sampled(df, 100, by=by)
-    t = t.withColumn("o", F.row_number().over(Window.partitionBy(*by).orderBy("day")))  # <= 100 rows per channel
-    return _chart(t, "timeline", "o", "day", "count", by=by)
-
-
-def chart_monthly(df, *, by=BY):
-    """12 months Jan..Dec."""
-    return _chart(timeline.monthly_histogram(df, by=by), "monthly", "month", "label", "count", by=by)
-
-
-def chart_sources(df, *, by=BY, source: str | None = None):
-    """Two series (messages, files) per source type; labels like 'File Messages'."""
-    s = source_breakdown(df, source=source, by=by)
-    order = {x: i for i, x in enumerate(SOURCE_TYPES)}
-    o = F.create_map(*[v for k, i in order.items() for v in (F.lit(k), F.lit(i))])[F.col("source")]
-    rows = s.select(*by, o.alias("o"), "source", F.explode(F.array(
-        F.struct(F.lit(0).alias("series"), F.lit("messages").alias("kind"), F.col("messages").alias("v")),
-        F.struct(F.lit(1).alias("series"), F.lit("files").alias("kind"), F.col("files").alias("v")))).alias("x"))
-    lab = F.initcap(F.replace(F.concat(F.col("source"), F.lit("_"), F.col("x.kind")), F.lit("_"), F.lit(" ")))
-    return _chart(rows, "sources", F.col("x.series") * 10 + F.col("o"), lab, F.col("x.v"), by=by)
-
-
-def chart_mentions(df, *, by=BY):
-    """Top mentions (15 requested, 10 available)."""
-    return _chart(content.top_tokens(df, "mention", 10, by=by), "mentions", "rank", "mention", "count", by=by)
-
-
-def chart_urls(df, *, by=BY):
-    """Top 15 URLs."""
-    return _chart(content.top_tokens(df, "url", 15, by=by), "urls", "rank", "url", "count", by=by)
-
-
-def chart_languages(df, *, by=BY):
-    """Top 10 message languages (A10)."""
-    from chatlens.operators.topk import key_counts, top_k_by_count
-    det = language.detect_messages(df, by=by)
-    c = top_k_by_count(key_counts(det, "language", by=by, name="language", drop_null=False), 10, key="language", by=by)
-    return _chart(c, "languages", "rank", "language", "count", by=by)
-
-
-def chart_contributors(df, *, by=BY):
-    """Top 15 creators."""
-    return _chart(people.creators_top(df, 15, by=by), "contributors", "rank", "username", "message_count", by=by)
-
-
-CHARTS = {
-    "file_uniqueness": chart_file_uniqueness, "file_languages": chart_file_languages, "emojis": chart_emojis,
-    "file_sizes": chart_file_sizes, "file_types": chart_file_types, "hashtags": chart_hashtags,
-    "timeline": chart_timeline, "monthly": chart_monthly, "sources": chart_sources, "mentions": chart_mentions,
-    "urls": chart_urls, "languages": chart_languages, "contributors": chart_contributors,
-}
+# Names of the chart datasets.
+CHARTS = ("file_uniqueness", "file_languages", "emojis", "file_sizes", "file_types", "hashtags", "timeline", "monthly", "sources", "mentions", "urls", "languages", "contributors")
 
 
 def charts_long(df: DataFrame, names: Sequence[str] | None = None, *, by: Sequence[str] = BY) -> DataFrame:
-    """G1-G13 in one tidy table: (channel, chart, ord, label, value)."""
-    out = None
-    for n in names or list(CHARTS):
-        t = CHARTS[n](df, by=by)
-        out = t if out is None else out.unionByName(t)
-    return out
+    """G1-G13 in one tidy table: (channel, chart, ord, label, value), from one pass over the messages."""
+    out = profile.charts(profile.profile(df, by=by), by=by)
+    return out if names is None else out.where(F.col("chart").isin(*names))
 
 
 __all__ = ["channel_rollup", "source_breakdown", "run_compare", "media_breakdown", "media_summary", "channel_overview",
            "report_status", "report", "validate_report", "charts_long", "CHARTS", "MONTH_NAMES"]
 
 
+def global_rank(df: DataFrame, value: str, name: str) -> DataFrame:
+    """``df`` with the rank of every row by ``value``, highest first, over all rows, and no task that sees all of them.
+
+    Rows are dealt out by ranges of the value (equal values share a range), ranked inside their range, and the rows of the ranges before are
+    added: one count a range reaches the driver."""
+    from chatlens.session import cut_lineage
+    spark = df.sparkSession
+    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    ranged = cut_lineage(df.repartitionByRange(parts, F.col(value).desc()).withColumn("_range", F.spark_partition_id()), "global-rank")
+    before, offsets = 0, []
+    for k, n in sorted(map(tuple, ranged.groupBy("_range").count().collect())):
+        offsets.append((k, before))
+        before += n
+    inside = F.rank().over(Window.partitionBy("_range").orderBy(F.col(value).desc()))
+    table = spark.createDataFrame(offsets, "_range int, _before long")
+    return ranged.join(F.broadcast(table), "_range").withColumn(name, (inside + F.col("_before")).cast("bigint")).drop("_range", "_before")
+
+
 def channel_comparison(df: DataFrame, *, by: str = "channel_username") -> DataFrame:
-    """Channels side by side with their rank by messages, views and files. The ranking
-    window runs over the per-channel table (one row per channel)."""
-    from pyspark.sql import Window
-    per = df.groupBy(by).agg(F.count(F.lit(1)).alias("messages"),
+    """Channels side by side with their rank by messages, views and files, over however many channels there are."""
+    out = df.groupBy(by).agg(F.count(F.lit(1)).alias("messages"),
                              F.coalesce(F.sum("views"), F.lit(0)).alias("views"),
                              F.count_if(F.col("file_size") > 0).alias("files"))
-    out = per
     for m in ("messages", "views", "files"):
-        out = out.withColumn(f"rank_{m}", F.rank().over(Window.orderBy(F.col(m).desc())).cast("bigint"))
+        out = global_rank(out, m, f"rank_{m}")
     return out
