@@ -1,23 +1,24 @@
-"""Language detection and language profiles.
+"""Language detection and language profiles.
 
 * L2 ``charfreq`` — the design documents' character-frequency detector as pure column
   expressions (no UDF), so it runs in whole-stage codegen and the oracle can check it exactly.
 * L3 ``NgramModel`` — a character-trigram naive Bayes classifier (in the spirit of Cavnar &
   Trenkle's n-gram profiles) trained on labelled documents with explode / groupBy / join only.
-* L1 ``detector_udf`` — the seam for an external per-text detector library as an Arrow-batched
-  ``pandas_udf``; none of the reference's libraries is installed here, so L2/L3 are the defaults.
+
+No local detection library is wrapped (L1).
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from chatlens.functions.expr import non_blank, pct, round_half_even
 from chatlens.operators.topk import BY, key_counts, top_k, top_k_by_count
+from chatlens.session import cut_lineage
 
 # ---- FIXED VALUES: marker strings of the character-frequency detector (design documents) -----
 CHAR_MARKERS = {
@@ -32,14 +33,6 @@ CHAR_MARKERS = {
 NON_ASCII_SHARE = 0.1
 MIN_TEXT = 3
 UNKNOWN = "unknown"
-# Language code -> name table used by the reference's fallback detector.
-LANGUAGE_NAMES = {
-    "en": "English", "es": "Spanish", "fr": "French", "de": "German", "it": "Italian", "pt": "Portuguese",
-    "ru": "Russian", "zh": "Chinese", "ja": "Japanese", "ko": "Korean", "ar": "Arabic", "hi": "Hindi",
-    "nl": "Dutch", "sv": "Swedish", "no": "Norwegian", "da": "Danish", "fi": "Finnish", "pl": "Polish",
-    "cs": "Czech", "tr": "Turkish", "el": "Greek", "he": "Hebrew", "th": "Thai", "vi": "Vietnamese",
-    "id": "Indonesian",
-}
 # ------------------------------------------------------------------------------------------------
 
 WS_TRIM = r"^\s+|\s+$"
@@ -95,49 +88,6 @@ def charfreq(df: DataFrame, text: str = "text") -> DataFrame:
                   .drop("_na", "_low", "_hits", "_scores", "_non_ascii", "_len", "_trimmed"))
 
 
-def detector_udf(detect: Callable[[str], tuple[str, float]]) -> Callable[[DataFrame, str], DataFrame]:
-    """L1 seam: wrap a per-text detector library as an Arrow-batched pandas UDF returning
-    struct<language, confidence>; short or failing texts -> ('unknown', 0.0)."""
-    import pandas as pd
-
-    schema = T.StructType([T.StructField("language", T.StringType()), T.StructField("confidence", T.DoubleType())])
-
-    @F.pandas_udf(schema)
-    def _run(s: pd.Series) -> pd.DataFrame:
-        langs, confs = [], []
-        for x in s:
-            if x is None or len(str(x).strip()) < MIN_TEXT:
-                langs.append(UNKNOWN)
-                confs.append(0.0)
-                continue
-            try:
-                lang, conf = detect(str(x))
-            except Exception:  # noqa: BLE001 - detector failure means unknown, as in the reference
-                lang, conf = UNKNOWN, 0.0
-            langs.append(lang)
-            confs.append(float(conf))
-        return pd.DataFrame({"language": langs, "confidence": confs})
-
-    def transform(df: DataFrame, text: str = "text") -> DataFrame:
-        r = _run(F.col(text))
-        return df.withColumn("_d", r).withColumn("language", F.col("_d.language")) \
-                 .withColumn("confidence", F.col("_d.confidence")).drop("_d")
-    return transform
-
-
-def library_detector() -> Callable[[str], tuple[str, float]] | None:
-    """The reference's fallback library, when installed (it is not in this environment)."""
-    try:
-        import langdetect  # type: ignore
-    except ImportError:
-        return None
-
-    def detect(text: str) -> tuple[str, float]:
-        code = langdetect.detect(text)
-        return LANGUAGE_NAMES.get(code, code.title()), 0.7
-    return detect
-
-
 # ----------------------------------------------------------------------------- L3 n-gram model
 def _letters(text: Column) -> Column:
     return F.trim(F.regexp_replace(F.lower(text), r"[^\p{L}]+", " "))
@@ -151,62 +101,51 @@ def _grams(text: Column, n: int) -> Column:
     return F.regexp_extract_all(norm, F.lit("(?=(.{%d}))" % n), F.lit(1))
 
 
-PRIOR, LENGTH = "\u0000prior", "\u0000unseen"  # bias features joined like any other gram
-
-
 class NgramModel:
     """Multinomial naive Bayes over character trigrams with add-one smoothing.
 
-    ``weights`` holds (language, gram, w): for each trained gram ``log p(gram|lang) - log p(unseen|lang)``,
-    plus two bias features per language: the class prior, and ``log p(unseen|lang)`` which a text
-    carries with a count equal to its number of grams. A text's score for a language is then
-    ``sum(count * w)`` over an equi-join on gram and one aggregation per (text, language); the
-    bias features make every language appear for every text without any cross join.
+    ``weights`` has one row for each trained gram: ``gram, w``, w an array over ``languages`` of ``log p(gram|lang) - log p(unseen|lang)``. What a text
+    scores without any trained gram (the class prior, and ``log p(unseen|lang)`` for each of its grams) is a constant for each language, added after the sums:
+    no feature that every text has takes part in the join. The table is written once, so Spark broadcasts it if its measured size allows and
+    joins by gram with skew handling otherwise.
     """
 
-    def __init__(self, weights: DataFrame, n: int = 3):
-        self.weights, self.n = weights, n
+    def __init__(self, weights: DataFrame, languages: list[str], prior: list[float], unseen: list[float], n: int = 3):
+        self.weights, self.languages, self.prior, self.unseen, self.n = weights, languages, prior, unseen, n
 
     @classmethod
     def train(cls, docs: DataFrame, *, text: str = "text", label: str = "lang", n: int = 3) -> NgramModel:
-        """Fit on labelled documents (two scalar actions: vocabulary size and document count)."""
+        """Fit on labelled documents; a row for each label (the set of languages) and the number of grams reach the driver."""
         labelled = docs.where(F.col(label).isNotNull() & F.col(text).isNotNull())
         grams = labelled.select(F.col(label).alias("language"), F.explode(_grams(F.col(text), n)).alias("gram"))
-        counts = grams.groupBy("language", "gram").agg(F.count(F.lit(1)).alias("c")).persist()
+        counts = cut_lineage(grams.groupBy("language", "gram").agg(F.count(F.lit(1)).alias("c")), "ngram-counts")
         v = counts.select("gram").distinct().count()
-        n_docs = labelled.count()
-        totals = counts.groupBy("language").agg(F.sum("c").alias("total"))
-        docs_per = labelled.groupBy(F.col(label).alias("language")).agg(F.count(F.lit(1)).alias("docs"))
-        langs = (totals.join(docs_per, "language")
-                 .select("language", (F.col("total") + F.lit(v)).alias("denom"),
-                         F.log(F.col("docs") / F.lit(float(n_docs))).alias("prior"))
-                 .withColumn("unseen", -F.log(F.col("denom").cast("double"))))
-        weights = (counts.join(langs, "language")
-                   .select("language", "gram", (F.log((F.col("c") + 1.0) / F.col("denom")) - F.col("unseen")).alias("w"))
-                   .unionByName(langs.select("language", F.lit(PRIOR).alias("gram"), F.col("prior").alias("w")))
-                   .unionByName(langs.select("language", F.lit(LENGTH).alias("gram"), F.col("unseen").alias("w"))))
-        return cls(weights, n)
+        totals = {r.language: r.total for r in counts.groupBy("language").agg(F.sum("c").alias("total")).collect()}
+        docs_per = {r.language: r.n for r in labelled.groupBy(F.col(label).alias("language")).agg(F.count(F.lit(1)).alias("n")).collect()}
+        languages, n_docs = sorted(totals), sum(docs_per.values())
+        prior = [math.log(docs_per[x] / n_docs) for x in languages]
+        unseen = [-math.log(totals[x] + v) for x in languages]
+        # log((c + 1) / d) - log(1 / d) is log(c + 1), whatever the language's total
+        w = F.array(*[F.coalesce(F.max(F.when(F.col("language") == x, F.log(F.col("c") + 1.0))), F.lit(0.0)) for x in languages]) if languages else F.array().cast("array<double>")
+        return cls(cut_lineage(counts.groupBy("gram").agg(w.alias("w")), "ngram-weights"), languages, prior, unseen, n)
 
     def predict(self, df: DataFrame, *, key: Sequence[str] = ("message_id",), text: str = "text") -> DataFrame:
         """(key..., language, confidence). Texts with fewer than 3 letters -> unknown, 0.0.
-        Confidence is the posterior probability of the winning language."""
+        Confidence is the posterior probability of the winning language; of equal ones the last by name wins."""
         key = list(key)
         base = df.select(*key, F.col(text).alias("_t"))
-        ok = F.coalesce(F.length(_letters(F.col("_t"))) >= MIN_TEXT, F.lit(False))
-        scorable = base.where(ok)
+        ok = F.coalesce(F.length(_letters(F.col("_t"))) >= MIN_TEXT, F.lit(False)) & F.lit(bool(self.languages))
         unknown = base.where(~ok).select(*key, F.lit(UNKNOWN).alias("language"), F.lit(0.0).alias("confidence"))
-        g = _grams(F.col("_t"), self.n)
-        feats = (scorable.select(*key, F.explode(g).alias("gram")).groupBy(*key, "gram")
-                         .agg(F.count(F.lit(1)).cast("double").alias("cnt"))
-                 .unionByName(scorable.select(*key, F.lit(PRIOR).alias("gram"), F.lit(1.0).alias("cnt")))
-                 .unionByName(scorable.select(*key, F.lit(LENGTH).alias("gram"), F.size(g).cast("double").alias("cnt"))))
-        scored = (feats.join(self.weights, "gram").groupBy(*key, "language")
-                       .agg(F.sum(F.col("cnt") * F.col("w")).alias("s")))
-        # one entry per language (a bounded label set) per text
-        per = scored.groupBy(*key).agg(F.collect_list(F.struct("s", "language")).alias("sc"))
+        if not self.languages:
+            return unknown
+        feats = (base.where(ok).select(*key, F.explode(_grams(F.col("_t"), self.n)).alias("gram")).groupBy(*key, "gram").agg(F.count(F.lit(1)).cast("double").alias("cnt")))
+        sums = [F.sum(F.coalesce(F.col("cnt") * F.get("w", F.lit(i)), F.lit(0.0))) for i in range(len(self.languages))]
+        scored = feats.join(self.weights, "gram", "left").groupBy(*key).agg(F.sum("cnt").alias("_n"), F.array(*sums).alias("_s"))
+        scores = F.array(*[F.struct((F.get("_s", F.lit(i)) + F.lit(p) + F.col("_n") * F.lit(u)).alias("s"), F.lit(x).alias("language"))
+                           for i, (x, p, u) in enumerate(zip(self.languages, self.prior, self.unseen))])
         best = F.array_max("sc")
         z = F.aggregate("sc", F.lit(0.0), lambda acc, x: acc + F.exp(x["s"] - best["s"]))
-        out = per.select(*key, best["language"].alias("language"), (F.lit(1.0) / z).alias("confidence"))
+        out = scored.select(*key, scores.alias("sc")).select(*key, best["language"].alias("language"), (F.lit(1.0) / z).alias("confidence"))
         return out.unionByName(unknown)
 
 
