@@ -51,7 +51,8 @@ def sql_tokens(pattern: str, name: str) -> str:
 
 
 def sql_token_counts(pattern: str, name: str) -> str:
-    return f"SELECT channel_username, {name}, count(*) AS count FROM ({sql_tokens(pattern, name)}) t GROUP BY ALL"
+    tokens = SQL_EMOJIS if name == "emoji" else sql_tokens(pattern, name)
+    return f"SELECT channel_username, {name}, count(*) AS count FROM ({tokens}) t GROUP BY ALL"
 
 
 SQL_DOMAIN = (f"CASE WHEN regexp_extract(url, {lit(P.URL_NETLOC)}, 1) <> '' AND "
@@ -59,6 +60,28 @@ SQL_DOMAIN = (f"CASE WHEN regexp_extract(url, {lit(P.URL_NETLOC)}, 1) <> '' AND
               f"contains(regexp_extract(url, {lit(P.URL_NETLOC)}, 1), ']') "
               f"THEN regexp_extract(url, {lit(P.URL_NETLOC)}, 1) END")
 
+# Emojis by a table of character classes: every character is looked up, and the text of classes is cut by the emoji grammar; what is cut says where
+# the sequence lies in the message. R regional indicator, D keycap base, V variation selector, K keycap, T skin tone (an emoji itself), B other emoji, G tag, E cancel tag, Z joiner.
+_RANGES = ([("R", 0x1F1E6, 0x1F1FF), ("V", 0xFE0F, 0xFE0F), ("K", 0x20E3, 0x20E3), ("G", 0xE0020, 0xE007E), ("E", 0xE007F, 0xE007F), ("Z", 0x200D, 0x200D), ("D", 0x30, 0x39),
+            ("D", 0x23, 0x23), ("D", 0x2A, 0x2A), ("T", 0x1F3FB, 0x1F3FF)]
+           + [("B", int(r.split("-")[0], 16), int(r.split("-")[-1], 16)) for r in P.EMOJI_RANGES.split()])
+SQL_EMOJIS = f"""
+SELECT channel_username, substr(text, CAST(upto - len + 1 AS BIGINT), len) AS emoji
+FROM (SELECT row_number() OVER (ORDER BY message_id) AS r, channel_username, text FROM messages WHERE text <> '' AND strlen(text) <> length(text)) w
+JOIN (
+  SELECT r, piece, length(piece) AS len, sum(length(piece)) OVER (PARTITION BY r ORDER BY k) AS upto FROM (
+    SELECT r, unnest(pieces) AS piece, unnest(range(len(pieces))) AS k FROM (
+      SELECT r, regexp_extract_all(array_to_string(list_transform(letters, lambda c: coalesce(classes[c], 'O')), ''),
+        'RR|DV?K|[BT](?:G+E|[VT])?(?:Z[BT](?:G+E|[VT])?)*|[^RDBT]+|.') AS pieces
+      FROM (SELECT row_number() OVER (ORDER BY message_id) AS r, regexp_extract_all(text, '(?s).') AS letters FROM messages WHERE text <> '' AND strlen(text) <> length(text)),
+        (SELECT map(list(c), list(class)) AS classes FROM (
+          SELECT c, min_by(class, ord) AS class FROM (
+            SELECT DISTINCT unnest(regexp_extract_all(text, '(?s).')) AS c FROM messages WHERE strlen(text) <> length(text)),
+            (VALUES {", ".join(f"({i}, '{k}', {a}, {b})" for i, (k, a, b) in enumerate(_RANGES))}) AS t(ord, class, low, high)
+          WHERE unicode(c) BETWEEN low AND high GROUP BY c))))
+  ) p ON p.r = w.r
+WHERE regexp_full_match(piece, 'RR|D.+|[BT].*')"""
+
 # ---------------------------------------------------------------- patterns
 for _kind, _pat, _k, _topkey in (("hashtag", P.HASHTAG, 10, "hashtags_top10"),
                                  ("mention", P.MENTION, 10, "mentions_top10"),
@@ -620,7 +643,26 @@ def _lang_ngram(spark, sf):
     return language.language_counts(det)
 
 
-register("lang_ngram")(_lang_ngram)
+def _sql_grams(src: str, keys: str) -> str:
+    """Trigrams of the letters of lower-cased texts, other runs as one space, with a space at both ends."""
+    return rf"""SELECT {keys}, c[i] || c[i + 1] || c[i + 2] AS gram FROM (SELECT {keys}, c, unnest(range(1, len(c) - 1)) AS i FROM (
+      SELECT {keys}, regexp_extract_all(' ' || trim(regexp_replace(lower(text), '[^\p{{L}}]+', ' ', 'g')) || ' ', '(?s).') AS c FROM ({src}) s))"""
+
+
+register("lang_ngram", rf"""
+WITH docs AS (SELECT doc_id, lang, text FROM documents WHERE lang IS NOT NULL AND text IS NOT NULL),
+counts AS (SELECT lang, gram, count(*) AS c FROM ({_sql_grams("SELECT * FROM docs", "lang")}) GROUP BY ALL),
+v AS (SELECT count(DISTINCT gram) AS v FROM counts),
+langs AS (SELECT lang, sum(c) + max(v) AS denom, max(p) AS prior FROM counts, v JOIN (SELECT lang AS l, ln(count(*) / (SELECT CAST(count(*) AS DOUBLE) FROM docs)) AS p FROM docs GROUP BY lang) ON true
+  WHERE l = lang GROUP BY lang),
+m AS (SELECT channel_username, message_id, text, length(trim(regexp_replace(lower(text), '[^\p{{L}}]+', ' ', 'g'))) >= 3 AS ok FROM messages WHERE text IS NOT NULL AND text <> ''),
+g AS (SELECT message_id, gram, count(*) AS n FROM ({_sql_grams("SELECT * FROM m WHERE ok", "message_id")}) GROUP BY ALL),
+known AS (SELECT message_id, lang, sum(n * ln(c + 1)) AS s FROM g JOIN counts USING (gram) GROUP BY ALL),
+sizes AS (SELECT message_id, sum(n) AS n FROM g GROUP BY ALL),
+scored AS (SELECT sizes.message_id, langs.lang, coalesce(s, 0) + prior - n * ln(denom) AS s FROM sizes CROSS JOIN langs LEFT JOIN known ON known.message_id = sizes.message_id AND known.lang = langs.lang),
+best AS (SELECT message_id, arg_max(lang, (s, lang)) AS language FROM scored GROUP BY message_id),
+d AS (SELECT channel_username, coalesce(language, 'unknown') AS language, count(*) AS count FROM m LEFT JOIN best ON best.message_id = m.message_id GROUP BY ALL)
+SELECT channel_username, language, count, coalesce({sql_round("count * 100.0 / sum(count) OVER (PARTITION BY channel_username)", 2)}, 0.0) AS percentage FROM d""")(_lang_ngram)
 
 # ================================================================ reports and charts
 from chatlens.operators import clean, report  # noqa: E402
@@ -715,16 +757,6 @@ SELECT req.channel_username, coalesce(messages, 0) AS messages,
 FROM req LEFT JOIN c ON req.channel_username = c.channel_username""")(
     lambda s, sf: report.report_status(msgs(s, sf), _requested(s, sf)))
 
-def msgs_once(spark: SparkSession, sf: str) -> DataFrame:
-    """The message view materialised once in the shared checkpoint folder, for queries that fan
-    out into many sub-plans over the same rows (reports, chart datasets)."""
-    from chatlens.session import cut_lineage
-    return cut_lineage(msgs(spark, sf), "messages")
-
-
-register("report_json")(lambda s, sf: report.report(msgs_once(s, sf)).select("channel_username", "report_json"))
-register("report_validation")(lambda s, sf: report.validate_report(report.report(msgs_once(s, sf))))
-
 register("clean_values", """
 SELECT message_id, channel_username,
   CASE WHEN date IS NULL THEN NULL WHEN microsecond(date) % 1000000 = 0 THEN strftime(date, '%Y-%m-%dT%H:%M:%S')
@@ -777,7 +809,7 @@ _CHART_SQL = " UNION ALL ".join([
     _c(_SQL_LANG10, "languages", "rank", "language", "count"),
     _c(_SQL_CREATORS15, "contributors", "rank", "username", "message_count"),
 ])
-register("charts_long", _CHART_SQL)(lambda s, sf: report.charts_long(msgs_once(s, sf)))
+register("charts_long", _CHART_SQL)(lambda s, sf: report.charts_long(msgs(s, sf)))
 
 # ================================================================ remaining slices (V6, X4 words, X19 comparison)
 register("latest_messages", """
@@ -808,3 +840,5 @@ FROM (SELECT regexp_replace(channel_username, '^@', '') AS channel, min(message_
     lambda s, sf: _writers.collection_manifest(msgs(s, sf)))
 register("distinct_channels", "SELECT DISTINCT regexp_replace(channel_username, '^@', '') AS channel FROM messages")(
     lambda s, sf: msgs(s, sf).select(F.regexp_replace("channel_username", "^@", "").alias("channel")).distinct())
+
+from chatlens.plans import catalog_ingest, catalog_report  # noqa: E402, F401 - register their queries here

@@ -28,7 +28,7 @@ SELECT d.doc_id AS message_id,
     CASE WHEN d.doc_id % 3 = 0 THEN concat(' #', e.event_type, ' #', d.lang) ELSE '' END,
     CASE WHEN d.doc_id % 4 = 0 THEN concat(' @user', CAST(e.user_id % 40 AS VARCHAR)) ELSE '' END,
     CASE WHEN d.doc_id % 5 = 0 THEN concat(' ', p.url) ELSE '' END,
-    CASE WHEN d.doc_id % 7 = 0 THEN ' 😀' WHEN d.doc_id % 7 = 3 THEN ' 📚 👍🏽' ELSE '' END) AS text,
+    CASE WHEN d.doc_id % 7 = 0 THEN ' 😀' WHEN d.doc_id % 7 = 3 THEN ' 📚 👍🏽' WHEN d.doc_id % 7 = 5 THEN ' 🏴󠁧󠁢󠁥󠁮󠁧󠁿 © ⌀ ‼️ 👨‍👩‍👧 3️⃣ 🇩🇪🇫🇷' ELSE '' END) AS text,
   CASE WHEN d.doc_id % 11 = 0 THEN NULL ELSE concat('user_', CAST(e.user_id AS VARCHAR)) END AS creator_username,
   CASE WHEN d.doc_id % 2 = 0 THEN 'document' WHEN d.doc_id % 9 = 1 THEN 'photo' END AS media_type,
   CASE WHEN d.doc_id % 2 = 0 THEN concat(t.p_name, CASE WHEN d.doc_id % 8 = 0 THEN ' (1)' ELSE '' END,
@@ -42,8 +42,8 @@ SELECT d.doc_id AS message_id,
   CASE WHEN d.doc_id % 5 = 1 THEN concat('@', e.event_type) END AS forwarded_from,
   CASE WHEN d.doc_id % 2 = 0 THEN CASE WHEN d.doc_id % 6 = 0 THEN 'application/pdf' WHEN d.doc_id % 6 = 2 THEN 'application/epub+zip' ELSE 'audio/mpeg' END
        WHEN d.doc_id % 9 = 1 THEN 'image/jpeg' END AS mime_type
-FROM (SELECT *, doc_id % (SELECT greatest(count(*), 1) FROM part) + 1 AS part_key,
-        doc_id % (SELECT greatest(count(*), 1) FROM pages) AS page_key FROM documents) d
+FROM (SELECT *, doc_id // 2 % (SELECT greatest(count(*), 1) FROM part) AS part_key,
+        doc_id // 5 % (SELECT greatest(count(*), 1) FROM pages) AS page_key FROM documents) d
 LEFT JOIN events e ON e.event_id = d.doc_id * 5
 LEFT JOIN part t ON t.p_partkey = d.part_key
 LEFT JOIN pages p ON p.page_id = d.page_key
@@ -104,14 +104,15 @@ def messages(spark: SparkSession, sf_dir: str) -> DataFrame:
     p = table(spark, sf_dir, "pages").select("page_id", "url")
 
     i = F.col("doc_id")
-    d = d.withColumns({"part_key": i % _rows(t) + 1, "page_key": i % _rows(p)})
+    # every second document carries a file and every fifth a URL, so that each part and page comes up
+    d = d.withColumns({"part_key": F.floor(i / 2) % _rows(t), "page_key": F.floor(i / 5) % _rows(p)})
     j = (d.join(e, e.event_id == d.doc_id * 5, "left")
           .join(t, t.p_partkey == d.part_key, "left")
           .join(p, p.page_id == d.page_key, "left"))
     tags = F.when(i % 3 == 0, F.concat(F.lit(" #"), F.col("event_type"), F.lit(" #"), F.col("lang"))).otherwise("")
     ment = F.when(i % 4 == 0, F.concat(F.lit(" @user"), (F.col("user_id") % 40).cast("string"))).otherwise("")
     url = F.when(i % 5 == 0, F.concat(F.lit(" "), F.col("url"))).otherwise("")
-    emo = _case((i % 7 == 0, " 😀"), (i % 7 == 3, " 📚 👍🏽"), otherwise="")
+    emo = _case((i % 7 == 0, " 😀"), (i % 7 == 3, " 📚 👍🏽"), (i % 7 == 5, " 🏴󠁧󠁢󠁥󠁮󠁧󠁿 © ⌀ ‼️ 👨‍👩‍👧 3️⃣ 🇩🇪🇫🇷"), otherwise="")
     ext = _case((i % 10 == 0, ""), (i % 6 == 0, ".PDF"), (i % 6 == 2, ".epub"), otherwise=".mp3")
     mime = _case((i % 6 == 0, "application/pdf"), (i % 6 == 2, "application/epub+zip"), otherwise="audio/mpeg")
     return j.select(

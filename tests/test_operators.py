@@ -89,6 +89,11 @@ def test_emoji_sequences(spark):
     df = msgs(spark, [{"channel_username": CH, "text": f"a {fam} b {flag} c {key} d {thumb} e {thumb}"}])
     got = {r["emoji"]: r["count"] for r in content.token_counts(df, "emoji").collect()}
     assert got == {fam: 1, flag: 1, key: 1, thumb: 2}
+    england, lgbt = "\U0001F3F4\U000E0067\U000E0062\U000E0065\U000E006E\U000E0067\U000E007F", "\U0001F3F3\uFE0F\u200D\U0001F308"
+    text = f"{england}{england} © ‼ ⌀ 5 #1 * {lgbt}{flag}{flag} {thumb}{thumb} \U0001F3FD \U0001F1E9 ☎️x\u200D\u200D😀\u200D"
+    df = msgs(spark, [{"channel_username": CH, "text": text}])
+    got = {r["emoji"]: r["count"] for r in content.token_counts(df, "emoji").collect()}
+    assert got == {england: 2, "©": 1, "‼": 1, lgbt: 1, flag: 2, thumb: 2, "\U0001F3FD": 1, "☎️": 1, "😀": 1}
 
 
 def test_topk_tie_rule(spark):
