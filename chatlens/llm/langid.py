@@ -30,13 +30,46 @@ EVIDENCE = 60.0  # a text counts as at most so many independent trigrams
 SMOOTH = 20.0  # pseudo-rows that a host takes from its domain, a domain, a declaration or a suffix from the corpus
 MIN_CONFIDENCE = 0.5
 KNOWN = 20_000  # shares of hosts, domains and values that a task keeps at hand
-MARKUP = re.compile(rb"(?is)<(script|style)\b.*?</\1\s*>|<!--.*?-->|<[^>]*>|&#?\w+;")
+ENTITY = re.compile(rb"&#?\w+;")
+WHOLE = {b"script": re.compile(rb"</script\s*+>"), b"style": re.compile(rb"</style\s*+>")}  # elements that go with their content
+ELEMENT = re.compile(rb"<(script|style)\b")
+WEIGH_ROWS = 256  # texts whose trigram counts are in memory at once
+
+
+def without_markup(text: bytes) -> bytes:
+    """A text with comments, scripts, styles, tags and entities replaced by spaces, in one pass: a closing mark that is not there is looked for once."""
+    low, parts, at = text.lower(), [], 0
+    missing: set[bytes] = set()
+    while True:
+        i = low.find(b"<", at)
+        if i < 0:
+            break
+        element = ELEMENT.match(low, i)
+        end = -1
+        if element and element[1] not in missing:
+            close = WHOLE[element[1]].search(low, i)
+            end = close.end() if close else -1
+            if end < 0:
+                missing.add(element[1])
+        elif low.startswith(b"<!--", i) and b"-->" not in missing:
+            end = low.find(b"-->", i + 4)
+            end = end + 3 if end >= 0 else -1
+            if end < 0:
+                missing.add(b"-->")
+        if end < 0:
+            end = low.find(b">", i) + 1 or -1
+        if end < 0:  # no mark ends a tag from here on
+            break
+        parts.append(text[at:i])
+        at = end
+    parts.append(text[at:])
+    return ENTITY.sub(b" ", b" ".join(parts))
 
 
 def trigram_slots(text: bytes, markup: bool) -> np.ndarray:
     """Slots of the byte trigrams of the lower-cased letters and spaces of a whole text."""
     if markup:
-        text = MARKUP.sub(b" ", text)
+        text = without_markup(text)
     a = np.frombuffer(b" " + text.lower() + b" ", np.uint8).astype(np.uint32)
     letter = (a >= 128) | ((a >= 97) & (a <= 122))
     if not letter.any():
@@ -106,15 +139,17 @@ def identify(rows: DataFrame, markup: bool) -> DataFrame:
 
     def weigh(batches):
         keep = ["id", "host", "suffix", "domain", "declared"]
-        for b, slots in _slots(batches, markup):
-            n = np.array([len(s) for s in slots])
-            counts = np.stack([np.bincount(s, minlength=BUCKETS) for s in slots]).astype(np.float32)
-            ll = counts @ shared.value.T
-            ll *= np.minimum(1.0, EVIDENCE / np.maximum(n, 1))[:, None]
-            best = ll.argmax(1)
-            rows_ll = pa.ListArray.from_arrays(pa.array(np.arange(len(ll) + 1) * ll.shape[1], pa.int32()), pa.array(ll.ravel()))
-            out = [*(b.column(c) for c in keep), pa.array(n, pa.int64()), pa.array(best, pa.int32(), mask=n == 0), rows_ll]
-            yield pa.RecordBatch.from_arrays(out, [*keep, "n", "guess", "ll"])
+        for whole, every in _slots(batches, markup):
+            for lo in range(0, len(every), WEIGH_ROWS):
+                b, slots = whole.slice(lo, WEIGH_ROWS), every[lo:lo + WEIGH_ROWS]
+                n = np.array([len(s) for s in slots])
+                counts = np.stack([np.bincount(s, minlength=BUCKETS) for s in slots]).astype(np.float32)
+                ll = counts @ shared.value.T
+                ll *= np.minimum(1.0, EVIDENCE / np.maximum(n, 1))[:, None]
+                best = ll.argmax(1)
+                rows_ll = pa.ListArray.from_arrays(pa.array(np.arange(len(ll) + 1) * ll.shape[1], pa.int32()), pa.array(ll.ravel()))
+                out = [*(b.column(c) for c in keep), pa.array(n, pa.int64()), pa.array(best, pa.int32(), mask=n == 0), rows_ll]
+                yield pa.RecordBatch.from_arrays(out, [*keep, "n", "guess", "ll"])
 
     kind = rows.schema["id"].dataType.simpleString()
     evidence = checkpoint(rows.mapInArrow(weigh, f"id {kind}, host string, suffix string, domain string, declared string, n long, guess int, ll array<float>"),
