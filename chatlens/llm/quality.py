@@ -24,6 +24,7 @@ from pyspark.sql import functions as F
 from chatlens.llm.base import Hashes, checkpoint, text_slices
 
 BUCKETS, DIM, NONZERO, REACH = 8192, 32, 4, 2
+POOL_WORDS = 1 << 15  # words whose vectors are in memory at once
 FIT_ROWS = 20_000  # documented bound of the labelled sample that fits the network
 HIDDEN, EPOCHS, RATE, BATCH, DECAY = 32, 30, 3e-3, 128, 1e-4
 THRESHOLD = 0.3
@@ -72,21 +73,31 @@ def word_vectors(docs: DataFrame) -> np.ndarray:
 
 
 def pool(texts: list[bytes], vectors: np.ndarray, ids: Hashes) -> np.ndarray:
-    """Mean, spread and mean adjacent product of the word vectors of each whole text."""
+    """Mean, spread and mean adjacent product of the word vectors of each whole text, ``POOL_WORDS`` words at a time."""
     w, begin = _words(texts, ids)
     n = np.diff(begin)
+    sums = np.zeros((3, len(texts), DIM))
+    inner = begin[1:-1]
+    for lo in range(0, len(w), POOL_WORDS):
+        hi = min(len(w), lo + POOL_WORDS)
+        at = np.unique(np.concatenate([[lo], inner[(inner > lo) & (inner < hi)]]))
+        doc = np.searchsorted(begin, at, "right") - 1
+        v = vectors[w[lo:hi + 1]]
+        here = v[:hi - lo]
+        sums[0, doc] += np.add.reduceat(here, at - lo)
+        sums[1, doc] += np.add.reduceat(here * here, at - lo)
+        beside = np.zeros_like(here)
+        beside[:len(v) - 1] = v[:-1] * v[1:]
+        last = begin[1:][(begin[1:] > lo) & (begin[1:] <= hi)] - 1 - lo
+        beside[last] = 0  # no product across two texts
+        sums[2, doc] += np.add.reduceat(beside, at - lo)
     out = np.zeros((len(texts), 3 * DIM), np.float32)
     some = np.flatnonzero(n)
-    if not len(some):
-        return out
-    v, at, m = vectors[w], begin[some], n[some][:, None]
-    mean = np.add.reduceat(v, at) / m
+    m = n[some][:, None]
+    mean = sums[0, some] / m
     out[some, :DIM] = mean
-    out[some, DIM:2 * DIM] = np.sqrt(np.maximum(np.add.reduceat(v * v, at) / m - mean * mean, 0))
-    beside = np.zeros_like(v)
-    beside[:-1] = v[:-1] * v[1:]
-    beside[begin[1:][some] - 1] = 0  # no product across two texts
-    out[some, 2 * DIM:] = np.add.reduceat(beside, at) / np.maximum(m - 1, 1)
+    out[some, DIM:2 * DIM] = np.sqrt(np.maximum(sums[1, some] / m - mean * mean, 0))
+    out[some, 2 * DIM:] = sums[2, some] / np.maximum(m - 1, 1)
     return out
 
 
