@@ -7,7 +7,7 @@ then the longest path, then block over allow.
 
 Defined cases: a null url, or one without ``://``, has empty host and path and gets no rule; an
 empty table gives an empty result; extra columns of the input are ignored; repeated rows are
-judged alike; repeated rules count once.
+judged alike; repeated rules count once; a rule without a host, path or verdict fits nothing.
 """
 
 from __future__ import annotations
@@ -75,6 +75,10 @@ class UrlTrie:
         return best
 
 
+def usable_rules(rules: DataFrame) -> DataFrame:
+    return rules.select("host", "path", "verdict").where("host is not null and path is not null and verdict is not null")
+
+
 def judge_urls(pages: DataFrame, rules: DataFrame, default: str = "allow", id_col: str = "page_id",
                url_col: str = "url") -> DataFrame:
     """Return ``id, host, path, rule, verdict`` for every row; ``rules`` has ``host, path, verdict``.
@@ -83,7 +87,7 @@ def judge_urls(pages: DataFrame, rules: DataFrame, default: str = "allow", id_co
     count); larger lists go through ``judge_urls_by_join`` with the same result.
     """
     spark = pages.sparkSession
-    rules = rules.select("host", "path", "verdict").distinct()
+    rules = usable_rules(rules).distinct()
     if rules.limit(MAX_TRIE_RULES + 1).count() > MAX_TRIE_RULES:
         return judge_urls_by_join(pages, rules, default, id_col, url_col)
     trie = spark.sparkContext.broadcast(UrlTrie([tuple(r) for r in rules.collect()]))
@@ -116,7 +120,7 @@ def judge_urls_by_join(pages: DataFrame, rules: DataFrame, default: str = "allow
     suffixes = F.transform(F.sequence(F.lit(1), F.size(labels)),
                            lambda i: F.array_join(F.slice(labels, i, F.size(labels) - i + 1), "."))
     urls = parts.select("host", "path").distinct()
-    r = rules.select(F.translate("host", UPPER, LOWER).alias("rule_host"), F.col("path").alias("rule_path"),
+    r = usable_rules(rules).select(F.translate("host", UPPER, LOWER).alias("rule_host"), F.col("path").alias("rule_path"),
                      F.concat("host", "path").alias("rule"), F.col("verdict"))
     rank = F.struct(F.length("rule_host"), F.length("rule_path"), F.when(F.col("verdict") == "block", 1).otherwise(0))
     best = (urls.select("host", "path", F.explode(suffixes).alias("rule_host")).join(r, "rule_host")
