@@ -33,7 +33,7 @@ from pyspark.sql import functions as F
 from chatlens.llm.base import text_slices
 
 MAX_TOKENS = 1_000_000  # bound of the broadcast vocabulary
-CACHE_BYTES = 80 << 20  # pieces that a worker remembers with their ids, in each of two generations
+CACHE_BYTES = 64 << 20  # pieces that a worker remembers with their ids, in each of two generations
 LONGEST_CACHED = 64
 DECODE_IDS = 1 << 18  # ids gathered at once
 
@@ -157,9 +157,6 @@ class Encoder:
         self.known: dict[tuple[int, int], bool] = {}
         self.cache = Remembered(self.piece)
         self.cuts = re.compile("(" + "|".join(re.escape(t) for t in sorted(self.special, key=len, reverse=True)) + ")") if self.special else None
-        self.blob = np.frombuffer(b"".join(tokens), np.uint8)
-        self.length = np.array(self.size, np.int64)
-        self.start = np.cumsum(self.length) - self.length
 
     def _border_holds(self, a: int, b: int, skip_top: bool = False) -> bool:
         """Whether no merge crosses the border of ``a`` and ``b``; parts are undone from the last merge to the first."""
@@ -230,6 +227,15 @@ class Encoder:
                 out.append(b"".join(map(self.cache.__getitem__, (PIECES if ABOVE_LOW.search(part) else LOW_PIECES).findall(part))))
         return np.frombuffer(b"".join(out), np.int32)
 
+
+class Decoder:
+    """All tokens' bytes in one string and where each begins."""
+
+    def __init__(self, vocabulary: Vocabulary):
+        self.blob = np.frombuffer(b"".join(vocabulary.tokens), np.uint8)
+        self.length = np.array([len(t) for t in vocabulary.tokens], np.int64)
+        self.start = np.cumsum(self.length) - self.length
+
     def decode(self, ids: np.ndarray) -> str:
         out = []
         for k in range(0, len(ids), DECODE_IDS):
@@ -264,13 +270,13 @@ def decode(encoded: DataFrame, path: str) -> DataFrame:
     encoded = encoded.select("doc_id", F.col("ids").cast("array<int>").alias("ids"))
 
     def run(batches):
-        encoder = shared.value.encoder()
+        decoder = Decoder(shared.value)
         for b in batches:
             ids = b.column("ids")
             for k in range(len(b)):  # row by row: one text at a time is in memory beside the batch
                 mine = ids[k].values
                 mine = np.empty(0, np.int32) if mine is None else mine.drop_null().to_numpy(zero_copy_only=False)
-                yield pa.RecordBatch.from_arrays([b.column("doc_id").slice(k, 1), ids.slice(k, 1), pa.array([encoder.decode(mine)], pa.string())], ["doc_id", "ids", "decoded"])
+                yield pa.RecordBatch.from_arrays([b.column("doc_id").slice(k, 1), ids.slice(k, 1), pa.array([decoder.decode(mine)], pa.string())], ["doc_id", "ids", "decoded"])
 
     return encoded.mapInArrow(run, f"doc_id {encoded.schema['doc_id'].dataType.simpleString()}, ids array<int>, decoded string")
 
