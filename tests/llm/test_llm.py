@@ -3,6 +3,7 @@
 import hashlib
 import math
 import re
+import time
 import zlib
 
 import numpy as np
@@ -48,7 +49,8 @@ def test_url_rules_by_trie_and_by_join_agree_with_brute_force(spark):
         return host, path, best and best[3], best[4] if best else "allow"
 
     want = [(i, *judge(u)) for i, u in enumerate(urls)]
-    table = spark.createDataFrame(rules + rules[:1], "host string, path string, verdict string")
+    nothing = [(None, "/", "block"), ("a.net", None, "block"), ("a.net", "/", None), (None, None, None)]
+    table = spark.createDataFrame(rules + rules[:1] + nothing, "host string, path string, verdict string")
     for f in (url_filter.judge_urls, url_filter.judge_urls_by_join):
         assert sorted(map(tuple, f(pages, table).collect())) == want
     assert url_filter.judge_urls(pages.limit(0), table).count() == 0
@@ -206,6 +208,75 @@ def test_rare_declared_languages_and_values_count(spark):
     assert [got[i] for i in (10_000, 10_001, 20_000)] == ["ga"] * 3 and all(got[i] == "en" for i in range(2400))
 
 
+def test_posterior_of_all_evidence_equals_brute_force(spark):
+    """Every kind of evidence, smoothed as the docstring says, over rows with nulls, repeats and clashing columns."""
+    rng = np.random.default_rng(8)
+    words = {"en": "the house and water is a of", "de": "das haus und wasser ist ein von", "fr": "la maison et eau est une de"}
+    rows = []
+    for i in range(70):
+        lang = ["en", "de", "fr"][i % 3]
+        text = " ".join(rng.choice((words[lang] if rng.random() < 0.8 else words["en"]).split(), rng.integers(1, 12)))
+        rows.append((i, [text, None, "", "123"][int(rng.choice(4, p=[0.9, 0.04, 0.03, 0.03]))], [f"h{i % 5}", None][i % 11 == 0], ["org", "de", None][i % 3], f"d{i % 2}", [lang, None, "zz"][int(rng.choice(3, p=[0.6, 0.3, 0.1]))]))
+    rows += [rows[0], rows[0], (None, "the house", "h1", "org", "d1", "en")]
+    df = spark.createDataFrame(rows, "id long, text string, host string, suffix string, domain string, declared string").selectExpr("*", "1 as n", "2 as guess", "3 as ll").repartition(4)
+    got = sorted(((r.id is None, r.id, r.language, r.confidence) for r in langid.identify(df, markup=False).collect()), key=str)
+
+    clean = [(r[0], langid.trigram_slots((r[1] or "").encode(), False), r[2] or "", r[3] or "", r[4] or "", r[5] or "") for r in rows]
+    langs = sorted({r[5] for r in clean} - {""})
+    model = np.ones((len(langs), langid.BUCKETS))
+    for r in clean:
+        if r[5]:
+            model[langs.index(r[5])] += np.bincount(r[1], minlength=langid.BUCKETS)
+    model = np.log(model / model.sum(1, keepdims=True))
+    ll = np.array([model[:, r[1]].sum(1) * min(1, langid.EVIDENCE / max(1, len(r[1]))) for r in clean])
+    guess = [int(x.argmax()) if len(r[1]) else None for x, r in zip(ll, clean)]
+    corpus = np.ones(len(langs)) + np.bincount([g for g in guess if g is not None], minlength=len(langs))
+    corpus /= corpus.sum()
+
+    def share(of, key, base):
+        p = langid.SMOOTH * base + np.bincount([g for g, r in zip(guess, clean) if g is not None and of(r) == key], minlength=len(langs))
+        return p / p.sum()
+
+    want = []
+    for r, x in zip(clean, ll):
+        domain = share(lambda q: q[4], r[4], corpus)
+        post = x + np.log(share(lambda q: (q[4], q[2]), (r[4], r[2]), domain)) + np.log(share(lambda q: q[5], r[5], corpus)) + np.log(share(lambda q: q[3], r[3], corpus)) - 2 * np.log(corpus)
+        sure = 1 / np.exp(post - post.max()).sum() if len(r[1]) else 0.0
+        want.append((r[0] is None, r[0], langs[int(post.argmax())] if sure >= langid.MIN_CONFIDENCE else "und", sure))
+    want.sort(key=str)
+    assert [w[:3] for w in want] == [g[:3] for g in got]
+    assert np.allclose([w[3] for w in want], [g[3] for g in got], atol=1e-3)
+
+
+def test_markup_goes_in_one_pass():
+    rule = re.compile(rb"(?is)<(script|style)\b.*?</\1\s*>|<!--.*?-->|<[^>]*>|&#?\w+;")
+    rng = np.random.default_rng(2)
+    pieces = [b"<", b">", b"<script", b"</script>", b"</SCRIPT  >", b"<style x>", b"</style", b"<!--", b"-->", b"-", b"&amp;", b"&#12", b";", b"a", b" ", b"/", b"<b>"]
+    for _ in range(20_000):
+        text = b"".join(pieces[k] for k in rng.integers(0, len(pieces), rng.integers(0, 14)))
+        assert langid.without_markup(text) == rule.sub(b" ", text)
+    begin = time.perf_counter()
+    for text in (b"<script>" * 200_000, b"<!-- " * 400_000, b"<" * 2_000_000, b"&a" * 1_000_000, b"</script " * 200_000 + b"<script>"):
+        langid.without_markup(text)
+    assert time.perf_counter() - begin < 20
+
+
+def test_pooling_is_that_of_whole_texts(monkeypatch):
+    """Pooled blocks of any size against the plain formula, document by document."""
+    vectors = np.random.default_rng(3).normal(size=(quality.BUCKETS, quality.DIM)).astype(np.float32)
+    texts = [b"", b"one", b"two words", b"  ", b"a b c, d! e f g h", b"x " * 50, b"", b"last one."]
+    for block in (1 << 15, 7, 1):
+        monkeypatch.setattr(quality, "POOL_WORDS", block)
+        ids = base.Hashes(quality.BUCKETS - 1)
+        got = quality.pool(texts, vectors, ids)
+        for row, t in zip(got, texts):
+            v = vectors[[ids[w] for w in quality.WORD.findall(t)]].astype(np.float64).reshape(-1, quality.DIM)
+            want = np.zeros(3 * quality.DIM)
+            if len(v):
+                want = np.concatenate([v.mean(0), v.std(0), (v[:-1] * v[1:]).sum(0) / max(1, len(v) - 1)])
+            assert np.allclose(row, want, atol=1e-3)
+
+
 def test_language_stage_drops_texts_without_letters_only(spark, real):
     odd = documents(spark, [(10**6, None), (10**6 + 1, "12 34"), (None, "12")]).select(*real.columns)
     kept = langid.keep_identified(real.unionByName(odd))
@@ -363,6 +434,28 @@ def rows0(x):
     return [float(a) for a in x[0]]
 
 
+def test_vectors_of_any_magnitude_have_finite_exact_scores(spark):
+    rng = np.random.default_rng(4)
+    x = rng.normal(size=(60, 8)) * np.where(np.arange(60) % 3 == 0, 1e200, np.where(np.arange(60) % 3 == 1, 1e-200, 1.0))[:, None]
+    vectors = spark.createDataFrame([(i, [float(a) for a in v]) for i, v in enumerate(x)], "vec_id long, embedding array<double>")
+    got = neighbours.nearest(vectors, spark.createDataFrame([(0,), (1,), (2,)], "query_id long")).collect()
+    unit = x / np.abs(x).max(1, keepdims=True)
+    unit /= np.linalg.norm(unit, axis=1, keepdims=True)
+    for q in range(3):
+        s = unit @ unit[q]
+        s[q] = -9
+        mine = sorted((r.rank, r.vec_id, r.score) for r in got if r.query_id == q)
+        assert [m[1] for m in mine] == np.argsort(-s)[:5].tolist() and all(abs(m[2] - s[m[1]]) < 1e-12 for m in mine)
+
+
+def test_neighbours_of_ties_across_classes(spark):
+    """Different vectors of one direction: equal scores, ties to the smaller vec_id."""
+    rows = [(i, [float(i), 0.0, 0.0]) for i in range(1, 9)] + [(100 + i, [0.0, 1.0, float(i)]) for i in range(50)]
+    vectors = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    got = neighbours.nearest(vectors, spark.createDataFrame([(4,)], "query_id long")).collect()
+    assert [(r.vec_id, r.score) for r in sorted(got, key=lambda r: r["rank"])] == [(i, 1.0) for i in (1, 2, 3, 5, 6)]
+
+
 # --- language model ----------------------------------------------------------------------------------------------------
 def test_gradient_is_that_of_the_loss():
     rng = np.random.default_rng(0)
