@@ -46,6 +46,18 @@ WEIGHTS = np.array([0x9E3779B97F4A7C15, 0xBF58476D1CE4E5B9, 0x94D049BB133111EB,
 ORDER_B, ORDER_C = np.uint64(0x8CB92BA72F3D8DD7), np.uint64(0x2545F4914F6CDD1D)
 
 
+def give_back_memory() -> None:
+    """Return what a finished task held to the system: Spark keeps its Python workers for later tasks."""
+    import ctypes
+    import gc
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (OSError, AttributeError):  # no such call on this system
+        pass
+
+
 def shingle_set(text: bytes, words: Hashes) -> np.ndarray:
     """Sorted distinct shingle hashes of a whole text (A-Z lower-cased, ASCII white space)."""
     w = words.of(text.lower().split())
@@ -78,18 +90,21 @@ def shingle_classes(docs: DataFrame) -> tuple[DataFrame, np.ndarray]:
     kind = docs.schema["doc_id"].dataType.simpleString()
 
     def scan(batches):
-        words, slots = Hashes(), np.zeros(SLOTS, np.int64)
+        words, slots = Hashes(), np.zeros(SLOTS, np.int32)  # occurrences in one task
         for b, texts in text_slices(batches, "text"):
             sets = [shingle_set(t, words) for t in texts]
-            slots += np.bincount((np.concatenate(sets) >> np.uint64(64 - SLOT_BITS)).astype(np.int64), minlength=SLOTS)
+            slot, n = np.unique((np.concatenate(sets) >> np.uint64(64 - SLOT_BITS)).astype(np.uint32), return_counts=True)
+            slots[slot] += n.astype(np.int32)
             yield pa.RecordBatch.from_arrays(
                 [b.column("doc_id"), pa.array([set_hash(s) for s in sets], pa.int64()), pa.array([len(s) for s in sets], pa.int64()),
                  pa.array([low_words(s, ORDER_B) for s in sets], pa.list_(pa.int32())), pa.nulls(len(sets), pa.int32()), pa.nulls(len(sets), pa.list_(pa.int32()))], names)
         wide = slots.reshape(-1, 256)
         block = np.flatnonzero(wide.any(1))
-        wide = wide[block].astype(np.int32)
+        wide = wide[block]
         yield pa.RecordBatch.from_arrays([pa.nulls(len(wide), pa_kind), pa.nulls(len(wide), pa.int64()), pa.nulls(len(wide), pa.int64()), pa.nulls(len(wide), pa.list_(pa.int32())),
                                           pa.array(block.astype(np.int32)), pa.array(list(wide), pa.list_(pa.int32()))], names)
+        del words, slots, wide
+        give_back_memory()
 
     from pyspark.sql.pandas.types import to_arrow_type
     pa_kind = to_arrow_type(docs.schema["doc_id"].dataType)
@@ -159,6 +174,8 @@ def shared_tokens(docs: DataFrame, slots: np.ndarray) -> DataFrame:
                 salt = np.where(salts > 1, 1 + (owner & 0x7FFFFFFF) % salts, 0)
                 yield pa.RecordBatch.from_arrays([pa.array(token.view(np.int64)), pa.array(salt.astype(np.int32)), pa.array(owner),
                                                   pa.array(np.concatenate(sizes)), pa.array(np.concatenate(rests))], ["token", "salt", "class", "n", "rest"])
+        del words, seen
+        give_back_memory()
 
     def runs(batches):
         """Rows sorted by (token, salt, leader order): keep runs of several classes and all salted ones, with the run's first class.
@@ -239,6 +256,8 @@ def class_sets(docs: DataFrame, needed: DataFrame) -> DataFrame:
                     [pa.array([k[0] for k in sets], pa.int64()), pa.array([k[1] for k in sets], pa.int32()),
                      pa.array([s.view(np.int64) for s in sets.values()], pa.list_(pa.int64())),
                      pa.array([low_words(s, ORDER_C) for s in sets.values()], pa.list_(pa.int32()))], ["class", "n", "tokens", "c"])
+        del words, seen
+        give_back_memory()
 
     sets = docs.where(maybe).select(F.col("text").cast("string").alias("text")).mapInArrow(build, "class long, n int, tokens array<long>, c array<int>")
     wanted = needed.select("class", F.col("n").cast("int").alias("n"))
