@@ -199,3 +199,26 @@ spine AS (SELECT * FROM (SELECT DISTINCT channel_username FROM s), (VALUES ('fil
 SELECT coalesce(c.channel_username, spine.channel_username) AS channel_username, coalesce(c.source, spine.source) AS source, coalesce(messages, 0) AS messages,
   coalesce(files, 0) AS files, coalesce(level, 0) AS level
 FROM c FULL OUTER JOIN spine ON c.channel_username = spine.channel_username AND c.source = spine.source AND c.level = 0""")(_source_cube)
+
+
+# ================================================================ X19: word search over an inverted index
+def _search_index(spark, sf):
+    """Messages that hold an event type and a language as words, for every pair that a document and its event have, through the index of all messages."""
+    import uuid
+
+    from chatlens.operators import search
+    from chatlens.session import scratch_path
+    path = scratch_path(spark, f"index-{uuid.uuid4().hex}")
+    search.build_index(view.messages(spark, sf), path)
+    events = view.table(spark, sf, "events").select("event_id", F.col("event_type").alias("kind"))
+    docs = view.table(spark, sf, "documents").select((F.col("doc_id") * 5).alias("event_id"), "lang")
+    kinds = docs.join(events, "event_id").select("kind", "lang").where("kind is not null and lang is not null").distinct()
+    queries = kinds.select(F.concat_ws(" ", "kind", "lang").alias("query")).withColumn("text", F.col("query"))
+    return search.search_many(spark, path, queries).groupBy("query", "channel_username").agg(F.count(F.lit(1)).alias("messages"), F.min("message_id").alias("first_id"))
+
+
+register("search_index", r"""
+WITH w AS (SELECT channel_username, message_id, list_distinct(regexp_extract_all(lower(text), '[\p{L}\p{N}_]+')) AS w FROM messages WHERE message_id IS NOT NULL AND text IS NOT NULL),
+q AS (SELECT event_type || ' ' || lang AS query, list_distinct(regexp_extract_all(lower(event_type || ' ' || lang), '[\p{L}\p{N}_]+')) AS asked
+  FROM (SELECT DISTINCT event_type, lang FROM documents JOIN events ON event_id = doc_id * 5 WHERE event_type IS NOT NULL AND lang IS NOT NULL))
+SELECT query, channel_username, count(DISTINCT message_id) AS messages, min(message_id) AS first_id FROM w JOIN q ON list_has_all(w.w, q.asked) GROUP BY ALL""")(_search_index)

@@ -297,3 +297,29 @@ def test_archive_is_read_back_whole(spark, tmp_dir, monkeypatch):
     archive.write_archive(messages, os.path.join(tmp_dir, "x"))
     got = collections.read_messages(spark, os.path.join(tmp_dir, "x"))
     assert sorted(r.message_id % 1_000_000_000_000 for r in got.collect()) == list(range(300))
+
+
+def test_word_search_reads_the_index_alone(spark, tmp_dir, monkeypatch):
+    from chatlens.operators import search
+    monkeypatch.setattr(search, "BLOCK", 16)
+    texts = ["The cat, the DOG", "cat_1 dog", "dog über 漢字", None, "", "cat dog über"]
+    data = [(["@a", "@b", None][i % 3], i - 5, texts[i % len(texts)]) for i in range(90)] + [("@a", 1, "extra dog"), ("@a", 1, "extra cat"), ("@a", None, "cat dog")]
+    df = spark.createDataFrame(data, "channel_username string, message_id long, text string")
+    path = os.path.join(tmp_dir, "index")
+    search.build_index(df, path)
+    import re
+    held = {}
+    for c, i, t in data:
+        if i is not None:
+            held.setdefault((c, i), set()).update(re.findall(r"\w+", (t or "").lower()))
+
+    def want(text):
+        asked = set(re.findall(r"\w+", text.lower()))
+        return sorted(((c, i) for (c, i), w in held.items() if asked and asked <= w), key=str)
+
+    for text in ("cat", "DOG cat", "über dog", "漢字", "nothing cat", "", "cat cat dog"):
+        assert sorted(map(tuple, search.search(spark, path, text).collect()), key=str) == want(text)
+    asked = spark.createDataFrame([(k, t) for k, t in enumerate(["cat", "dog über", "", "none"])], "query long, text string")
+    got = sorted((tuple(r) for r in search.search_many(spark, path, asked).collect()), key=str)
+    assert got == sorted(((k, c, i) for k, t in enumerate(["cat", "dog über", "", "none"]) for c, i in want(t)), key=str)
+    assert "PushedFilters: [In(token" in search.search(spark, path, "cat dog")._jdf.queryExecution().toString() or "In(token" in search.search(spark, path, "cat dog")._jdf.queryExecution().executedPlan().toString()
