@@ -181,6 +181,17 @@ def charts_long(df: DataFrame, names: Sequence[str] | None = None, *, by: Sequen
     return out if names is None else out.where(F.col("chart").isin(*names))
 
 
+def _one_chart(name: str):
+    def chart(df: DataFrame, *, by: Sequence[str] = BY) -> DataFrame:
+        return charts_long(df, [name], by=by)
+    return chart
+
+
+# One chart dataset alone, by its name.
+(chart_file_uniqueness, chart_file_languages, chart_emojis, chart_file_sizes, chart_file_types, chart_hashtags, chart_timeline, chart_monthly, chart_sources,
+ chart_mentions, chart_urls, chart_languages, chart_contributors) = map(_one_chart, CHARTS)
+
+
 __all__ = ["channel_rollup", "source_breakdown", "run_compare", "media_breakdown", "media_summary", "channel_overview",
            "report_status", "report", "validate_report", "charts_long", "CHARTS", "MONTH_NAMES"]
 
