@@ -34,27 +34,33 @@ def _bad(message_id: Column) -> Column:
     return extra.otherwise(F.array().cast("array<string>"))
 
 
-def write_archive(messages: DataFrame, path: str) -> None:
-    """Write the archive of ``messages`` below ``path``: one file for each shape and ``FILE_ROWS`` messages, one that breaks off, one blank."""
+def archive_lines(messages: DataFrame) -> DataFrame:
+    """Lines (file, value) of the archive of ``messages``, each file's in order: a file for each shape and ``FILE_ROWS`` messages, one that breaks off, one blank."""
     spark = messages.sparkSession
     files = max(1, -(-messages.count() // (FILE_ROWS * SHAPES)))
     i = F.col("message_id")
     shape = i % SHAPES
+    file = shape * files + F.pmod(F.xxhash64("message_id"), F.lit(files))
     lines = (messages.select("message_id", *[F.col(c) for c in FIELDS if c != "message_id"])
-             .withColumns({"shape": shape, "file": shape * files + F.pmod(F.xxhash64("message_id"), F.lit(files)), "at": i, "bad": _bad(i)})
+             .withColumns({"shape": shape, "file": file, "at": i, "bad": _bad(i)})
              .withColumns({"message_id": F.expr(SQL_ID), "channel_username": F.expr(SQL_CHANNEL), "date": F.col("date").cast("string")})  # all from the columns before
              .select("shape", "file", "at", F.posexplode(F.concat(F.array(F.to_json(F.struct(*FIELDS))), "bad")).alias("n", "value")))
-    first = F.row_number().over(Window.partitionBy("file").orderBy("at", "n")) == 1
-    comma = F.when(first | (F.col("shape") == 3), F.lit("")).otherwise(F.lit(", "))
-    body = lines.select("file", F.lit(1).alias("section"), "at", "n", F.concat(comma, "value").alias("value"))
+    body = lines.select("file", F.lit(1).alias("section"), "at", "n", "value", (F.col("shape") == 3).alias("bare"))
     ends = spark.createDataFrame([(0, f'[{{"metadata": {{"collected_at": "{COLLECTED}", "data_format": "structured_dataframe"}}, "messages": [', '], "total": "}"}]'),
                                   (1, '{"page": 1, "data": [', '], "has_more": false}'), (2, "[", "]")], "shape long, head string, foot string")
-    used = lines.select("shape", "file").distinct().join(F.broadcast(ends), "shape")
+    used = messages.select(shape.alias("shape"), file.alias("file")).distinct().join(F.broadcast(ends), "shape")
     frame = used.select("file", F.inline(F.array(F.struct(F.lit(0).alias("section"), F.col("head").alias("value")), F.struct(F.lit(2).alias("section"), F.col("foot").alias("value")))))
     odd = spark.createDataFrame([(-1, 0, '{"messages": [{"message_id": 1}'), (-2, 0, " ")], "file long, section int, value string")
-    whole = (body.unionByName(frame.unionByName(odd).withColumns({"at": F.lit(0).cast("long"), "n": F.lit(0)}))
-             .repartition("file").sortWithinPartitions("file", "section", "at", "n"))
-    whole.select("file", "value").write.mode("overwrite").partitionBy("file").text(path)
+    others = frame.unionByName(odd).select("*", F.lit(0).cast("long").alias("at"), F.lit(0).alias("n"), F.lit(True).alias("bare"))
+    # one shuffle and one sort, which the writer needs too: a line goes without a comma where the line before it is the head
+    behind = F.lag("section").over(Window.partitionBy("file").orderBy("section", "at", "n")) == 1
+    comma = F.when(F.col("bare") | ~behind, F.lit("")).otherwise(F.lit(", "))
+    return body.unionByName(others).select("file", F.concat(comma, "value").alias("value"))
+
+
+def write_archive(messages: DataFrame, path: str) -> None:
+    """Write the archive of ``messages`` below ``path``."""
+    archive_lines(messages).write.mode("overwrite").partitionBy("file").text(path)
 
 
 def archive(spark: SparkSession, sf_dir: str) -> str:
