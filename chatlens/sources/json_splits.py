@@ -30,6 +30,7 @@ from chatlens.session import cut_lineage, share_library
 RECORD_KEYS = ("messages", "data")  # arrays whose elements are messages
 TOP = "["  # names the array at the top of a file
 MAX_STATES = 200_000  # split states broadcast at once, some 20 MB
+ROWS = 256  # fragments of a batch that are Python objects at once
 MAX_DEPTH = 1000  # of brackets, as in Spark's own JSON parser
 
 # A string with the bracket that it names, if any; a quote without an end; a bracket.
@@ -135,10 +136,12 @@ def by_split(batches, columns: tuple[str, ...]):
 
     def rows():
         for b in batches:
-            for r in zip(*(b.column(c).to_pylist() for c in columns), b.column("value").to_pylist()):
-                yield r
+            for lo in range(0, b.num_rows, ROWS):
+                some = b.slice(lo, ROWS)
+                yield from zip(*(some.column(c).to_pylist() for c in columns), some.column("value").to_pylist())
     for key, group in itertools.groupby(rows(), key=lambda r: r[:-1]):
         yield key, (r[-1] for r in group)
+    pa.default_memory_pool().release_unused()  # Spark keeps its Python workers for later tasks
 
 
 def summarize(frags: DataFrame) -> DataFrame:
@@ -370,7 +373,7 @@ def units(frags: DataFrame, states: DataFrame) -> DataFrame:
                 if held is not None:
                     walk.feed(held, True)
                 held = t
-                if len(walk.rows) >= 2000 or sum(len(r[-1]) for r in walk.rows[-20:]) > 4 << 20:
+                if len(walk.rows) >= ROWS or sum(len(r[-1]) for r in walk.rows[-20:]) > 4 << 20:
                     yield batch(path, name, walk)
             if held is not None:
                 walk.feed(held, not tail_open)
