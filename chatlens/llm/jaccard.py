@@ -33,7 +33,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import LongType, StructField, StructType
 
-from chatlens.llm.base import Hashes, checkpoint, id_bitmap, maybe_in, mix, text_slices, without_ids
+from chatlens.llm.base import Hashes, checkpoint, give_back_memory, id_bitmap, maybe_in, mix, text_slices, without_ids
 from chatlens.llm.components import components
 
 WORDS = 5
@@ -46,18 +46,6 @@ WEIGHTS = np.array([0x9E3779B97F4A7C15, 0xBF58476D1CE4E5B9, 0x94D049BB133111EB,
 ORDER_B, ORDER_C = np.uint64(0x8CB92BA72F3D8DD7), np.uint64(0x2545F4914F6CDD1D)
 
 
-def give_back_memory() -> None:
-    """Return what a finished task held to the system: Spark keeps its Python workers for later tasks."""
-    import ctypes
-    import gc
-    gc.collect()
-    pa.default_memory_pool().release_unused()
-    try:
-        ctypes.CDLL(None).malloc_trim(0)
-    except (OSError, AttributeError):  # no such call on this system
-        pass
-
-
 def shingle_set(text: bytes, words: Hashes) -> np.ndarray:
     """Sorted distinct shingle hashes of a whole text (A-Z lower-cased, ASCII white space)."""
     w = words.of(text.lower().split())
