@@ -18,6 +18,7 @@ from chatlens.sinks import writers
 from chatlens.sources import collections
 
 MAX_TOUCHED = 100_000  # partitions of the store that are broadcast, some 5 MB
+MAX_REPEATED = 2_000_000  # repeated keys of a merge whose hashes are broadcast, some 80 MB
 LINEAGE_ORDER = ("source_file", "split_pos", "doc_pos", "msg_pos")
 
 
@@ -37,16 +38,22 @@ def touched_partitions(new: DataFrame) -> DataFrame:
     return writers.with_store_partition(new).select(writers.PART, writers.BLOCK).distinct()
 
 
-def touched_existing(spark: SparkSession, store_path: str, new: DataFrame) -> DataFrame:
-    """Stored rows in the partitions that ``new`` touches, exactly those the job will overwrite.
+def stored_partitions(spark: SparkSession, store_path: str, touched: DataFrame) -> DataFrame:
+    """Stored rows, with their partition columns, of the ``touched`` partitions.
 
     A semi join on the partition columns, which are never null, so Spark prunes the store's files to these partitions before it reads (dynamic
     partition pruning). The touched partitions are broadcast while they are at most ``MAX_TOUCHED``; beyond, Spark plans the join as it likes."""
     existing = collections.read_table_or_empty(spark, store_path, stored_schema(True))
-    touched = cut_lineage(touched_partitions(new), "touched").where(F.col(writers.BLOCK) >= -1)  # true for all; pruning wants a filter on this side
+    touched = touched.where(F.col(writers.BLOCK) >= -1)  # true for all; pruning wants a filter on this side
     if touched.count() <= MAX_TOUCHED:
         touched = F.broadcast(touched)
-    return existing.join(touched, [writers.PART, writers.BLOCK], "left_semi").drop(writers.PART, writers.BLOCK)
+    return existing.join(touched, [writers.PART, writers.BLOCK], "left_semi")
+
+
+def touched_existing(spark: SparkSession, store_path: str, new: DataFrame) -> DataFrame:
+    """Stored rows in the partitions that ``new`` touches, exactly those the job will overwrite."""
+    touched = cut_lineage(touched_partitions(new), "touched")
+    return stored_partitions(spark, store_path, touched).drop(writers.PART, writers.BLOCK)
 
 
 COMMITS = "_commits"  # below the store's folder, where readers of the store don't look
@@ -108,10 +115,12 @@ def begin(spark: SparkSession, store_path: str, touched: DataFrame) -> int:
 
 
 def commit(spark: SparkSession, store_path: str, combined: DataFrame, touched: DataFrame) -> int:
-    """Replace the touched partitions by ``combined`` between two entries of the commit log."""
+    """Replace the touched partitions by ``combined`` between two entries of the commit log.
+
+    ``combined`` may read these partitions: they are replaced when all of it is written (dynamic partition overwrite)."""
     seq = begin(spark, store_path, touched)
     writers.write_messages(combined, store_path)
-    _log(partition_rows(writers.with_store_partition(combined)), store_path, seq, "done")
+    _log(partition_rows(stored_partitions(spark, store_path, touched)), store_path, seq, "done")
     return seq
 
 
@@ -127,12 +136,47 @@ def to_store_rows(typed: DataFrame) -> DataFrame:
     return typed.select(*cols)
 
 
+def _latest(existing: DataFrame, new: DataFrame) -> DataFrame:
+    loads = merge.union_loads(existing.withColumn("_load", F.lit(0)), new.withColumn("_load", F.lit(1)))
+    return merge.keep_latest(loads, ["_load", *LINEAGE_ORDER]).drop("_load")
+
+
+def repeated_keys(existing: DataFrame, new: DataFrame) -> DataFrame:
+    """Hashes of the keys that several rows have (``_key``), with ``_contested``: whether one new row does not settle them.
+
+    Hashes and counts are all that is shuffled. Keys that share their hash are contested, as a second hash tells them apart."""
+    values = [x for k in merge.KEY for x in (F.col(k).isNull(), F.col(k))]  # hashing skips nulls
+    rows = [df.select(F.xxhash64(*values).alias("_key"), F.xxhash64(F.lit("other"), *values).alias("other"), F.lit(n).alias("new"))
+            for df, n in ((existing, 0), (new, 1))]
+    counts = rows[0].unionByName(rows[1]).groupBy("_key").agg(
+        F.count(F.lit(1)).alias("n"), F.sum("new").alias("n_new"), F.min("other").alias("least"), F.max("other").alias("most"))
+    return counts.where("n > 1").select("_key", ((F.col("n_new") != 1) | (F.col("least") != F.col("most"))).alias("_contested"))
+
+
 def merge_into(existing: DataFrame, new: DataFrame) -> DataFrame:
     """U1 + U2: union the stored rows with the new ones and keep the latest copy of every
     (channel, message_id): a new row wins over a stored one, then the later file name and position
-    win. The load time is information only, as bare arrays and JSON lines have none."""
-    loads = merge.union_loads(existing.withColumn("_load", F.lit(0)), new.withColumn("_load", F.lit(1)))
-    return merge.keep_latest(loads, ["_load", *LINEAGE_ORDER]).drop("_load")
+    win. The load time is information only, as bare arrays and JSON lines have none.
+
+    Most keys are settled by how many rows have them: a row alone stays, and of stored rows and one new row the new one does. Whole rows are
+    shuffled only for other keys (``_contested``). The repeated keys' hashes are broadcast while they are at most ``MAX_REPEATED``; beyond, rows
+    meet them in one hash join, unsorted."""
+    repeated = cut_lineage(repeated_keys(existing, new), "combine-repeated")
+    n = repeated.agg(F.count(F.lit(1)).alias("keys"), F.count_if("_contested").alias("contested")).first()
+    if not n["keys"]:
+        return merge.union_loads(existing, new)
+    small = n["keys"] <= MAX_REPEATED
+    repeated = F.broadcast(repeated) if small else repeated.hint("shuffle_hash")
+    values = [x for k in merge.KEY for x in (F.col(k).isNull(), F.col(k))]
+
+    def marked(df: DataFrame) -> DataFrame:
+        return df.withColumn("_key", F.xxhash64(*values)).join(repeated, "_key", "left").drop("_key")
+
+    stored, fresh = marked(existing), marked(new)
+    out = merge.union_loads(stored.where("_contested is null"), fresh.where("_contested is null or not _contested")).drop("_contested")
+    if n["contested"]:
+        out = out.unionByName(_latest(stored.where("_contested").drop("_contested"), fresh.where("_contested").drop("_contested")))
+    return out
 
 
 def read_loads(spark: SparkSession, raw_path: str, *, channels: str | list[str] = "all", glob: str | None = "*.json",
@@ -156,8 +200,8 @@ def combine(spark: SparkSession, raw_path: str, store_path: str, *, channels: st
     new, rejects = read_loads(spark, raw_path, channels=channels, glob=glob, lines_glob=lines_glob)
     new = cut_lineage(new, "combine-new")                       # files are parsed once
     touched = cut_lineage(touched_partitions(new), "combine-touched")
-    existing_touched = touched_existing(spark, store_path, new)
-    combined = cut_lineage(merge_into(existing_touched, new), "combine-merged")   # also frees the read of store_path
+    existing_touched = stored_partitions(spark, store_path, touched).drop(writers.PART, writers.BLOCK)
+    combined = merge_into(existing_touched, new)
     stored = cut_lineage(stored_counts(spark, store_path), "combine-stored")
     summary = merge.combine_summary(existing_touched, new, counted=stored)
     # U4: this load's files with their id ranges (lists as long as the load has files) and, over the ledger and this load, all files, the overall

@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from chatlens.operators import content, language, merge, search
-from chatlens.plans import archive, catalog
+from chatlens.plans import archive, catalog, jobs
 from chatlens.session import cut_lineage
 from chatlens.sources import json_splits, view
 
@@ -133,3 +133,50 @@ def test_fragments_come_in_small_slices():
 def test_written_stages_are_zstd(spark, tmp_dir):
     got = cut_lineage(spark.range(10), "codec")
     assert all(".zstd." in f for f in got.inputFiles())
+
+
+def store_rows(spark, rows):
+    """Store rows of (channel, id, text, file, position)."""
+    frame = spark.createDataFrame([(c, i, t, f, 0, 0, p) for c, i, t, f, p in rows],
+                                  "channel_username string, message_id long, text string, source_file string, split_pos long, doc_pos long, msg_pos long")
+    return cut_lineage(jobs.to_store_rows(frame), "test-store")
+
+
+def test_merge_moves_no_texts_of_settled_keys(spark, no_broadcast):
+    old = store_rows(spark, [("@a", i, f"old {i}", "f", i) for i in range(30)])
+    new = store_rows(spark, [("@a", i, f"new {i}", "g", i) for i in range(20, 50)])
+    got = jobs.merge_into(old, new)
+    assert nodes(got, "Exchange", "text") == nodes(got, "Sort", "text") == nodes(got, "SortAggregate", "text") == 0
+    assert sorted(r.text for r in got.collect()) == sorted([f"old {i}" for i in range(20)] + [f"new {i}" for i in range(20, 50)])
+
+
+@pytest.mark.parametrize("most", [jobs.MAX_REPEATED, 0])
+def test_merge_equals_keep_latest(spark, monkeypatch, most):
+    import itertools
+    import random
+    monkeypatch.setattr(jobs, "MAX_REPEATED", most)
+    r, place = random.Random(4), itertools.count()
+    channels, ids = ["@a", "b", "", None], [1, 2, 3, 4, 5, 6, None]
+    pick = lambda n, load: [(r.choice(channels), r.choice(ids), f"{load}{k}", r.choice(["f", "g", None]), next(place)) for k in range(n)]
+    old, new = store_rows(spark, pick(25, "old")), store_rows(spark, pick(18, "new"))
+    best = {}
+    for load, rows in enumerate((old.collect(), new.collect())):
+        for x in rows:
+            rank = (load, x.source_file is not None, x.source_file or "", x.msg_pos)
+            best[x.channel_username, x.message_id] = max(best.get((x.channel_username, x.message_id), ((),)), (rank, x.text))
+    got = jobs.merge_into(old, new)
+    assert got.columns == old.columns
+    assert sorted((str((x.channel_username, x.message_id)), x.text) for x in got.collect()) == sorted((str(k), v[1]) for k, v in best.items())
+    assert jobs.merge_into(old.limit(0), new.limit(0)).count() == 0
+
+
+def test_commit_replaces_what_it_reads(spark, tmp_dir):
+    store = f"{tmp_dir}/store"
+    first = store_rows(spark, [("@a", 1, "a", "f", 0), ("@a", 200_000, "far", "f", 1), ("@b", 1, "b", "f", 2)])
+    jobs.commit(spark, store, first, cut_lineage(jobs.touched_partitions(first), "t"))
+    new = store_rows(spark, [("@a", 1, "A", "g", 0), ("@a", 2, "c", "g", 1)])
+    touched = cut_lineage(jobs.touched_partitions(new), "t")
+    jobs.commit(spark, store, jobs.merge_into(jobs.touched_existing(spark, store, new), new), touched)
+    assert sorted(r.text for r in spark.read.schema(jobs.stored_schema(True)).parquet(store).collect()) == ["A", "b", "c", "far"]
+    counts = {(r.channel, r.id_block): r.rows for r in jobs.stored_counts(spark, store).collect()}
+    assert counts == {("a", 0): 2, ("a", 2): 1, ("b", 0): 1}
