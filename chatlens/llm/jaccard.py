@@ -225,7 +225,8 @@ def _may_reach():
 def class_sets(docs: DataFrame, needed: DataFrame) -> DataFrame:
     """Rows (class, n, tokens, c): the sets of the needed classes and their prefixes under order C.
 
-    ``needed`` has doc_id, class, n (one document per class). A bitmap lets other documents pass unread.
+    ``needed`` has doc_id, class, n (one document per class). A bitmap lets other documents pass unread. The sets lie in the shuffle by class and
+    are not written besides: both sides of the pairs read that shuffle.
     """
     maybe = maybe_in(docs.sparkSession, id_bitmap(needed, "doc_id"), "doc_id")
 
@@ -249,7 +250,7 @@ def class_sets(docs: DataFrame, needed: DataFrame) -> DataFrame:
 
     sets = docs.where(maybe).select(F.col("text").cast("string").alias("text")).mapInArrow(build, "class long, n int, tokens array<long>, c array<int>")
     wanted = needed.select("class", F.col("n").cast("int").alias("n"))
-    return checkpoint(sets.join(wanted, ["class", "n"], "left_semi").dropDuplicates(["class", "n"]), "jaccard-sets")
+    return sets.join(wanted, ["class", "n"], "left_semi").dropDuplicates(["class", "n"])
 
 
 def verified(pairs: DataFrame, prefixes: DataFrame, docs: DataFrame, named: DataFrame) -> DataFrame:
