@@ -146,6 +146,16 @@ def test_one_row_of_each_group_stays_with_repeated_and_null_ids(spark):
         [(1, long + "a"), (3, "a text of its own with words"), (4, ""), (None, "copies  without any ID at all"), (None, None)], key=str)
 
 
+def test_sets_lie_in_one_shuffle_and_are_not_written_besides(spark, monkeypatch):
+    written = []
+    monkeypatch.setattr(jaccard, "checkpoint", lambda df, name: written.append((name, df.columns)) or base.checkpoint(df, name))
+    long = "one long enough text of several words that others share "
+    docs = documents(spark, [(1, long + "a"), (2, long + "b"), (3, long + "b"), (4, "a text of its own with some words")])
+    got = {(r.doc_id, r.component_id) for r in jaccard.similar_documents(docs).collect()}
+    assert got == {(1, 1), (2, 1), (3, 1), (4, 4)}
+    assert written and not [name for name, columns in written if "tokens" in columns]
+
+
 def test_components_of_loops_and_paths(spark):
     edges = spark.createDataFrame([(1, 1), (1, 2), (2, 3), (9, 3), (5, 6), (6, 5), (5, 6)], "u long, v long")
     assert sorted(map(tuple, components.components(edges).collect())) == [(1, 1), (2, 1), (3, 1), (5, 5), (6, 5), (9, 1)]
@@ -576,6 +586,27 @@ def test_held_out_scores_are_above_the_base(spark, real):
     assert len(rest) and sum(r.score for r in rest) > sum(r.base_score for r in rest)
 
 
+def test_stages_hand_texts_over_in_small_batches(spark, monkeypatch):
+    seen, name = [], "spark.sql.execution.arrow.maxBytesPerBatch"
+    before = spark.conf.get(name)
+    monkeypatch.setattr(langid, "keep_identified", lambda docs: seen.append(int(spark.conf.get(name))) or docs)
+    monkeypatch.setattr(quality, "score_documents", lambda docs, labels: seen.append(int(spark.conf.get(name))) or 1 / 0)
+    docs = documents(spark, [(i, "word " * 2000) for i in range(600)])
+    corpus_pipeline.language(spark, docs, SF)
+    with pytest.raises(ZeroDivisionError):
+        corpus_pipeline.good_quality(spark, docs, SF)
+    assert seen == [base.BATCH_BYTES] * 2 and spark.conf.get(name) == before
+
+    import pyarrow as pa
+
+    def sizes(batches):
+        yield pa.RecordBatch.from_arrays([pa.array([b.nbytes for b in batches], pa.int64())], ["n"])
+
+    with base.small_batches(spark):
+        got = [r.n for r in docs.coalesce(1).select("text").mapInArrow(sizes, "n long").collect()]
+    assert len(got) > 4 and max(got) < base.BATCH_BYTES * 1.2
+
+
 # --- pipeline ----------------------------------------------------------------------------------------------------------
 def test_pipeline_stages_keep_columns_and_do_what_their_operators_say(spark):
     docs = spark.read.parquet(f"{SF}/documents.parquet")
