@@ -1,9 +1,9 @@
 """Byte-level BPE encoding by backtracking over longest token matches, and decoding by an offset table.
 
 A text is cut at special tokens and then into pieces by the byte-level pattern; pieces are encoded one by one. An Aho-Corasick
-automaton over the reversed tokens reads a piece from its end and so finds the longest token that starts at every place, in one pass.
-The encoder walks from left to right and takes the longest token that may follow the one before; if none may, the place is marked dead,
-the token before is taken back and its next shorter prefix token is tried. Every place dies at most once, so the work is linear.
+automaton over the tokens names leftmost longest matches one after another; as every byte is a token, the first is the longest token at the place where it starts.
+The encoder walks from left to right and takes the longest token that may follow the one before; if a shorter one has to be taken, matching starts anew behind it.
+If none may, the place is marked dead, the token before is taken back and its next shorter prefix token is tried. Every place dies at most once, so the work is linear.
 
 Two tokens may follow each other when merging their joined bytes by rank leaves the border between them (``Encoder.compatible``). This is so
 when no pair across the border is merged first: the rightmost parts of the left token and the leftmost parts of the right token
@@ -26,6 +26,7 @@ from array import array
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -35,7 +36,7 @@ from chatlens.llm.base import text_slices
 MAX_TOKENS = 1_000_000  # bound of the broadcast vocabulary
 CACHE_BYTES = 64 << 20  # pieces that a worker remembers with their ids, in each of two generations
 LONGEST_CACHED = 64
-DECODE_IDS = 1 << 18  # ids gathered at once
+DECODE_IDS = 1 << 18  # ids gathered and handed over at once; a longer single row is handed over alone
 
 # Code points that are letters or numbers only since a later Unicode version than 16.0, whose classes
 # the tokenizer's pattern has. As first-last in hex; the pattern takes them for other signs.
@@ -148,12 +149,12 @@ class Encoder:
                 usable.add(ab)
         self.whole = {tokens[i].decode("latin-1"): i for i in usable}
         self.shorter = [-1] * len(tokens)
-        backwards = ahocorasick.Automaton()
+        matches = ahocorasick.Automaton()
         for t, i in self.whole.items():
-            backwards.add_word(t[::-1], i)
+            matches.add_word(t, i)
             self.shorter[i] = next((self.whole[t[:k]] for k in range(len(t) - 1, 0, -1) if t[:k] in self.whole), -1)
-        backwards.make_automaton()
-        self.backwards = backwards
+        matches.make_automaton()
+        self.matches, self.reach = matches, max(map(len, self.whole), default=0)
         self.known: dict[tuple[int, int], bool] = {}
         self.cache = Remembered(self.piece)
         self.cuts = re.compile("(" + "|".join(re.escape(t) for t in sorted(self.special, key=len, reverse=True)) + ")") if self.special else None
@@ -188,13 +189,12 @@ class Encoder:
         s = data.decode("latin-1")
         if s in self.whole:
             return [self.whole[s]]
-        size, shorter, known = self.size, self.shorter, self.known
-        # By letters left to read: the longest token that starts there. At each end the automaton names the longest first; it must overwrite the others.
-        longest = dict(list(self.backwards.iter(s[::-1]))[::-1])
+        size, shorter, known, walk_from = self.size, self.shorter, self.known, self.matches.iter_long
         out: list[int] = []
         dead: set[int] = set()
-        left, before = len(s) - 1, -1
-        token = longest[left]
+        n, at, before, span = len(s), 0, -1, 4 * self.reach
+        walk, exact = walk_from(s[:span]), n if n <= span else span - self.reach  # matches that start before ``exact`` are the piece's own
+        token = longest = next(walk)[1]
         while True:
             while token >= 0:
                 if before < 0:
@@ -203,19 +203,22 @@ class Encoder:
                     ok = known.get((before, token))
                     if ok is None:
                         ok = self.compatible(before, token)
-                if ok and not (dead and left - size[token] in dead):
+                if ok and not (dead and at + size[token] in dead):
                     break
                 token = shorter[token]
             if token >= 0:
                 out.append(token)
-                left -= size[token]
-                if left < 0:
+                at += size[token]
+                if at == n:
                     return out
-                before, token = token, longest[left]
+                if token != longest or at >= exact:
+                    walk, exact = walk_from(s[at:at + span]), n if n - at <= span else at + span - self.reach
+                before, token = token, next(walk)[1]
+                longest = token
             else:
-                dead.add(left)
-                token = out.pop()
-                left += size[token]
+                dead.add(at)
+                token, longest = out.pop(), -1
+                at -= size[token]
                 before = out[-1] if out else -1
 
     def encode(self, text: str) -> np.ndarray:
@@ -264,19 +267,27 @@ def encode(docs: DataFrame, path: str) -> DataFrame:
     return docs.mapInArrow(run, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, ids array<int>")
 
 
+def decode_groups(batches, decoder: Decoder):
+    """Batches of ``doc_id, ids`` with ``decoded``, in groups of rows of about ``DECODE_IDS`` ids."""
+    for b in batches:
+        if not b.num_rows:
+            continue
+        block = np.cumsum(pc.list_value_length(b.column("ids")).fill_null(0).to_numpy()) // DECODE_IDS
+        cuts = [0, *(np.flatnonzero(np.diff(block)) + 1).tolist(), len(b)]
+        for lo, hi in zip(cuts, cuts[1:]):  # texts of bounded size are in memory beside the batch
+            some = b.slice(lo, hi - lo)
+            each = [x.values for x in some.column("ids")]
+            texts = ["" if x is None else decoder.decode(x.drop_null().to_numpy(zero_copy_only=False)) for x in each]
+            yield pa.RecordBatch.from_arrays([some.column("doc_id"), some.column("ids"), pa.array(texts, pa.string())], ["doc_id", "ids", "decoded"])
+
+
 def decode(encoded: DataFrame, path: str) -> DataFrame:
     """``doc_id, ids, decoded`` for every row of ``doc_id, ids array<int>``."""
     shared = encoded.sparkSession.sparkContext.broadcast(Vocabulary(path))
     encoded = encoded.select("doc_id", F.col("ids").cast("array<int>").alias("ids"))
 
     def run(batches):
-        decoder = Decoder(shared.value)
-        for b in batches:
-            ids = b.column("ids")
-            for k in range(len(b)):  # row by row: one text at a time is in memory beside the batch
-                mine = ids[k].values
-                mine = np.empty(0, np.int32) if mine is None else mine.drop_null().to_numpy(zero_copy_only=False)
-                yield pa.RecordBatch.from_arrays([b.column("doc_id").slice(k, 1), ids.slice(k, 1), pa.array([decoder.decode(mine)], pa.string())], ["doc_id", "ids", "decoded"])
+        yield from decode_groups(batches, Decoder(shared.value))
 
     return encoded.mapInArrow(run, f"doc_id {encoded.schema['doc_id'].dataType.simpleString()}, ids array<int>, decoded string")
 

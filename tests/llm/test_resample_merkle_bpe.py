@@ -8,6 +8,7 @@ import zlib
 from collections import Counter
 
 import public_tokenizers
+import pyarrow as pa
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -227,6 +228,25 @@ def test_merging_by_rank_gives_the_same_ids(encoder):
         assert encoder.piece(data) == merged(data)
 
 
+def test_matching_starts_anew_in_pieces_longer_than_the_longest_token(encoder, known):
+    """A piece is matched in spans of a few times the longest token; matches cut short by the end of a span are not used."""
+    rng = random.Random(5)
+    assert encoder.reach < 200
+    for text in ["a" * 3000, "-" * 2000, "=" * 511 + "é" * 700, *("".join(rng.choice("abeinrst") for _ in range(n)) for n in (500, 513, 1500, 4000))]:
+        assert encoder.encode(text).tolist() == known.encode(text, add_special_tokens=False).ids
+
+
+def test_decoded_rows_are_handed_over_in_groups(decoder, known, monkeypatch):
+    monkeypatch.setattr(bpe, "DECODE_IDS", 1000)
+    texts = [*("word " * (i % 7) for i in range(400)), "long " * 3000, None, "", "é!"]
+    ids = [None if t is None else known.encode(t, add_special_tokens=False).ids for t in texts]
+    whole = pa.RecordBatch.from_arrays([pa.array(range(len(texts))), pa.array(ids, pa.list_(pa.int32()))], ["doc_id", "ids"])
+    got = list(bpe.decode_groups([whole, whole.slice(0, 0), whole.slice(399)], decoder))
+    assert [x for b in got for x in b.column("decoded").to_pylist()] == [t or "" for t in [*texts, *texts[399:]]]
+    assert [x for b in got for x in b.column("doc_id").to_pylist()] == [*range(len(texts)), *range(399, len(texts))]
+    assert len(got) < 12 and sum(len(x) for x in ids if x) > 4000
+
+
 def test_queries_are_registered():
     assert {"op11_importance_resampling", "op12_merkle_manifest", "op13_bpe"} <= set(catalog.QUERIES)
     assert {"op11_importance_resampling", "op12_merkle_manifest"} <= set(catalog.ORACLE)
