@@ -228,7 +228,7 @@ def class_sets(docs: DataFrame, needed: DataFrame) -> DataFrame:
     ``needed`` has doc_id, class, n (one document per class). A bitmap lets other documents pass unread. The sets lie in the shuffle by class and
     are not written besides: both sides of the pairs read that shuffle.
     """
-    maybe = maybe_in(docs.sparkSession, id_bitmap(needed, "doc_id"), "doc_id")
+    bitmap = id_bitmap(needed, "doc_id")
 
     def build(batches):
         words, seen = Hashes(), set()
@@ -248,7 +248,7 @@ def class_sets(docs: DataFrame, needed: DataFrame) -> DataFrame:
         del words, seen
         give_back_memory()
 
-    sets = docs.where(maybe).select(F.col("text").cast("string").alias("text")).mapInArrow(build, "class long, n int, tokens array<long>, c array<int>")
+    sets = maybe_in(docs, bitmap, "doc_id").select(F.col("text").cast("string").alias("text")).mapInArrow(build, "class long, n int, tokens array<long>, c array<int>")
     wanted = needed.select("class", F.col("n").cast("int").alias("n"))
     return sets.join(wanted, ["class", "n"], "left_semi").dropDuplicates(["class", "n"])
 
@@ -351,9 +351,9 @@ def keep_one_of_each(docs: DataFrame) -> DataFrame:
     found = checkpoint(similar_documents(docs).select("doc_id", "component_id"), "jaccard-found")
     kept = without_ids(docs, found.where("doc_id != component_id"), "doc_id")
     repeated = checkpoint(docs.where("doc_id is not null").groupBy("doc_id").agg(F.count("*").alias("n")).where("n > 1").select("doc_id"), "jaccard-repeated")
-    maybe = maybe_in(docs.sparkSession, id_bitmap(repeated, "doc_id"), "doc_id")
+    bitmap = id_bitmap(repeated, "doc_id")
     named = F.col("doc_id").isNotNull()
-    out = kept.where(named & ~maybe).unionByName(first_rows(kept.where(maybe), ["doc_id"], docs.columns))
+    out = maybe_in(kept.where(named), bitmap, "doc_id", inside=False).unionByName(first_rows(maybe_in(kept, bitmap, "doc_id"), ["doc_id"], docs.columns))
     if docs.where(~named).isEmpty():
         return out
     nameless = checkpoint(with_sets(docs.where(~named)), "jaccard-nameless")

@@ -607,6 +607,31 @@ def test_stages_hand_texts_over_in_small_batches(spark, monkeypatch):
     assert len(got) > 4 and max(got) < base.BATCH_BYTES * 1.2
 
 
+def test_decontamination_stage_scans_small_batches_when_it_is_called(spark, monkeypatch):
+    import pyarrow as pa
+
+    def sizes(batches):
+        yield pa.RecordBatch.from_arrays([pa.array([b.nbytes for b in batches], pa.int64())], ["n"])
+
+    monkeypatch.setattr(decontaminate, "keep_clean", lambda docs, benchmark: docs.coalesce(1).select("text").mapInArrow(sizes, "n long"))
+    got = [r.n for r in corpus_pipeline.decontaminated(spark, documents(spark, [(i, "word " * 2000) for i in range(600)]), SF).collect()]
+    assert len(got) > 4 and max(got) < base.BATCH_BYTES * 1.2
+
+
+def test_ids_are_filtered_without_python_workers(spark, capsys):
+    rows = spark.createDataFrame([(i if i % 7 else None, str(i)) for i in range(3000)] + [(3, "again"), (-9, "x"), (1 << 62, "y")], "doc_id long, text string")
+    drop = rows.where("doc_id % 3 = 0").select("doc_id")
+    kept = base.without_ids(rows, drop, "doc_id")
+    assert sorted(((r.doc_id, r.text) for r in kept.collect()), key=str) == sorted(((r.doc_id, r.text) for r in rows.collect() if r.doc_id is None or r.doc_id % 3), key=str)
+    assert base.without_ids(rows, drop.where("false"), "doc_id").count() == rows.count()
+    bitmap = base.id_bitmap(drop, "doc_id")
+    inside = base.maybe_in(rows, bitmap, "doc_id")
+    assert drop.count() <= inside.count() == rows.count() - base.maybe_in(rows, bitmap, "doc_id", inside=False).count() < drop.count() * 1.1
+    capsys.readouterr()
+    kept.explain()
+    assert "BroadcastHashJoin" in (plan := capsys.readouterr().out) and "Python" not in plan
+
+
 # --- pipeline ----------------------------------------------------------------------------------------------------------
 def test_pipeline_stages_keep_columns_and_do_what_their_operators_say(spark):
     docs = spark.read.parquet(f"{SF}/documents.parquet")
