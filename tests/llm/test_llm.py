@@ -4,6 +4,7 @@ import hashlib
 import math
 import re
 import time
+import tracemalloc
 import zlib
 
 import numpy as np
@@ -581,6 +582,31 @@ def test_ids_of_one_class_are_told_apart_and_sum_to_one():
         assert math.isclose(g[i], (loss(flat + e) - loss(flat - e)) / 2e-4, abs_tol=2e-5)
 
 
+def test_steps_of_training_reuse_their_arrays_and_equal_plain_adam(monkeypatch):
+    monkeypatch.setattr(lm, "LEAST_STEPS", 3)
+    rng = np.random.default_rng(6)
+    classes = lm.Classes(rng.integers(1, 50, 60_000), (np.arange(60_000) % 3 == 0).astype(float))
+    windows, lengths = rng.integers(0, 60_000, (64, lm.SPAN + 1)), rng.integers(1, lm.SPAN + 1, 64)
+    first = lm.first_parameters(classes.mass, classes.rows)
+    order, want = np.random.default_rng(1), first.copy()
+    m, s = np.zeros_like(want), np.zeros_like(want)
+    for t in (1, 2, 3):
+        k = order.permutation(64)
+        real = (np.arange(lm.SPAN) < lengths[k][:, None]).astype(np.float32)
+        g = lm.gradient(want, windows[k][:, :-1], windows[k][:, 1:], real, classes)
+        g *= 1 / max(1.0, float(np.linalg.norm(g)))
+        m, s = 0.9 * m + 0.1 * g, 0.99 * s + 0.01 * g * g
+        want -= 1.2e-2 * (m / (1 - 0.9 ** t)) / (np.sqrt(s / (1 - 0.99 ** t)) + 1e-8)
+    tracemalloc.start()
+    try:
+        got = lm.train(first, windows, lengths, 1, 1.2e-2, classes)
+        peak = tracemalloc.get_traced_memory()[1]
+    finally:
+        tracemalloc.stop()
+    assert np.allclose(got, want, rtol=1e-6, atol=1e-7) and not np.allclose(got, first)
+    assert peak < 7 * first.nbytes  # parameters, gradient, two means and the scores inside a class; with fresh arrays in every step 8.6
+
+
 def test_held_out_scores_are_above_the_base(spark, real):
     rest = lm.score_documents(real).where("held_out").collect()
     assert len(rest) and sum(r.score for r in rest) > sum(r.base_score for r in rest)
